@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm, mixing, quality, warc
+from . import bagminhash, bpe, exact_dedup, lm, mixing, quality, warc
 from ._io import table
 
 
@@ -30,6 +30,10 @@ def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", F.round("rate", 6))
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op3_warc": op3_warc,
     "op4_poisson_mix": op4_poisson_mix,
+    "op5_bagminhash": op5_bagminhash,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_bpe": op10_bpe,
