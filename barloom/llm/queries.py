@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, exact_dedup, lm, mixing, quality, warc
+from . import bagminhash, bpe, embeddings, exact_dedup, lm, mixing, quality, warc
 from ._io import table
 
 
@@ -17,6 +17,10 @@ def ranks_file() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rp_forest": op1_rp_forest,
     "op2_lm_score": op2_lm_score,
     "op3_warc": op3_warc,
     "op4_poisson_mix": op4_poisson_mix,
