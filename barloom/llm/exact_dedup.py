@@ -8,8 +8,10 @@ Three stages, each grouping by digest *and* the full normalised text:
    rows share is spread over ``salts`` tasks,
 3. global: the at most ``salts`` salt winners of a text meet.
 
-Members learn their group through a join on digest, text and salt, so a large
-group is spread there too.  Ties: of equal texts the row with the largest
+Stage 3 also finds how many contents a digest has.  As that is proven to be one,
+members learn their group by digest and salt alone, and no text is moved a third
+time; two contents of one digest would stop the query instead of mixing groups.
+Ties: of equal texts the row with the largest
 doc_id stays; rows that repeat a doc_id and text are all kept if it is the largest.
 A null doc_id sorts below all others.  An empty table gives an empty result.
 """
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._io import partitions
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 32
 
@@ -30,15 +34,20 @@ def normalised(text: Column) -> Column:
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = SALTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), normalised(F.col(f"`{text}`")).alias("__norm"))
-    rows = rows.select("doc_id", "__norm", F.unhex(F.sha2("__norm", 256)).alias("__digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("__salt"))
+    digest = F.unhex(F.sha2("__norm", 256)).alias("__digest")
+    rows = rows.select("doc_id", "__norm", digest, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("__salt"))
     salted = rows.groupBy("__digest", "__norm", "__salt").agg(F.max("doc_id").alias("__keep"), F.count(F.lit(1)).alias("__n"))
-    whole = (
-        salted.groupBy("__digest", "__norm")
-        .agg(F.max("__keep").alias("keep_id"), F.sum("__n").alias("group_size"), F.collect_set("__salt").alias("__salts"))
-        .select("keep_id", "group_size", F.col("__digest").alias("__d"), F.col("__norm").alias("__t"), F.explode("__salts").alias("__s"))
+    # one exchange by digest serves both groupings
+    contents = (
+        salted.repartition(partitions(docs.sparkSession), "__digest")
+        .groupBy("__digest", "__norm")
+        .agg(F.max("__keep").alias("__keep"), F.sum("__n").alias("__n"), F.collect_set("__salt").alias("__salts"))
     )
-    same = (F.col("__digest") == F.col("__d")) & (F.col("__salt") == F.col("__s")) & (F.col("__norm") == F.col("__t"))
-    return rows.join(whole, same).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"))
+    whole = contents.groupBy(F.col("__digest").alias("__d")).agg(F.max("__keep").alias("keep_id"), F.sum("__n").alias("group_size"), F.count(F.lit(1)).alias("__contents"), F.first("__salts").alias("__salts"))
+    whole = whole.where(F.when(F.col("__contents") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("two contents of one SHA-256")).cast("boolean")))
+    whole = whole.select("keep_id", "group_size", "__d", F.explode("__salts").alias("__s"))
+    found = rows.drop("__norm").join(whole, (F.col("__digest") == F.col("__d")) & (F.col("__salt") == F.col("__s")))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"))
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = SALTS) -> DataFrame:
