@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, embeddings, exact_dedup, lm, mixing, prefix_doubling, quality, warc
+from . import bagminhash, bpe, debruijn, embeddings, exact_dedup, lm, mixing, prefix_doubling, quality, warc
 from ._io import table
 
 
@@ -50,6 +50,10 @@ def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_doubling.removed(table(spark, sf_dir, "documents"))
 
 
+def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.removed(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks_file(), keep=["doc_id"], ids=False)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_prefix_doubling": op8_prefix_doubling,
+    "op9_debruijn": op9_debruijn,
     "op10_bpe": op10_bpe,
 }
 
