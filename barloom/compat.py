@@ -26,6 +26,11 @@ def nullif_blank(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
+def strip(x: Column) -> Column:
+    """Without white space at both ends; trim alone takes off blanks only."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def present(x: Column) -> Column:
     """Neither null nor 0."""
     return F.coalesce(x != 0, F.lit(False))

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from barloom.compat import nullif_blank
+from barloom.compat import nullif_blank, strip
 
 # Patterns of prescriptions and references in text.
 REP_SCHEME = r"\d+\s*[xX×]\s*\d+\s*(?:@|at)?\s*\d+%"
@@ -121,7 +121,7 @@ def plain_name(name: Column) -> Column:
 
 
 def first_sentence(text: Column, most: int = 400) -> Column:
-    return F.trim(F.substring(F.split_part(text, F.lit("."), F.lit(1)), 1, most))
+    return strip(F.substring(F.split_part(text, F.lit("."), F.lit(1)), 1, most))
 
 
 def without_article(text: Column) -> Column:
@@ -158,12 +158,12 @@ def plausible_author(name: Column) -> Column:
 
 def without_page_suffix(title: Column) -> Column:
     """A title without a trailing page range or site name."""
-    return F.trim(F.regexp_replace(F.regexp_replace(title, r"\s*[-|–]\s*(?:p{1,2}\.\s*)?\d+\s*-\s*\d+\s*$", ""), r"\s*\|.*$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(title, r"\s*[-|–]\s*(?:p{1,2}\.\s*)?\d+\s*-\s*\d+\s*$", ""), r"\s*\|.*$", ""))
 
 
 def unfenced(text: Column) -> Column:
     """A reply without the code fence around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
 
 
 def lenient_json(text: Column) -> Column:
@@ -214,7 +214,7 @@ def query_term(limiter: Column) -> Column:
 
 def heading_sections(text: Column) -> Column:
     """Array of {heading, body} of a text with markdown headings; a body before any has heading ''."""
-    parts = F.filter(F.split(F.concat(F.lit("\n"), text), r"(?m)^(?=#{1,6}\s)"), lambda p: F.trim(p) != "")
-    heading = lambda p: F.regexp_extract(p, r"^#{1,6}\s+([^\n]*)", 1)
-    body = lambda p: F.trim(F.regexp_replace(p, r"^#{1,6}\s+[^\n]*\n?", ""))
+    parts = F.filter(F.split(F.concat(F.lit("\n"), text), r"(?m)^(?=#{1,6}\s)"), lambda p: strip(p) != "")
+    heading = lambda p: F.regexp_extract(strip(p), r"^#{1,6}\s+([^\n]*)", 1)
+    body = lambda p: strip(F.regexp_replace(strip(p), r"^#{1,6}\s+[^\n]*\n?", ""))
     return F.transform(parts, lambda p: F.struct(heading(p).alias("heading"), body(p).alias("body")))

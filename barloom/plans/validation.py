@@ -91,7 +91,7 @@ def avoided(rows: DataFrame, athletes: DataFrame) -> DataFrame:
 
 def principles(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """rules: rule_id, max_exercises, lifts_first; a rule table, applied to every session."""
-    per = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("__n"), F.min_by("intensity_reference", F.struct("exercise_order", "row_id")).alias("__first"))
+    per = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("__n"), F.min_by("intensity_reference", F.struct(F.coalesce("exercise_order", F.lit(2**31 - 1)), "row_id")).alias("__first"))
     both = per.join(rules)
     return rows_of(both, finding((F.col("max_exercises") > 0) & (F.col("__n") > F.col("max_exercises")), "too_many_exercises", "warning", "rule_id"), finding(F.col("lifts_first") & ~is_comp("__first"), "lifts_first", "warning", "rule_id"))
 

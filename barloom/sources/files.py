@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.compat import strip
 from barloom.session import ship
 
 # Elements without content, candidates for the main content in order, elements that end a line.
@@ -131,7 +132,7 @@ def with_fallback(readers: Sequence[Callable[[bytes], list[str]]], least: int =
 
 def split_page_reply(raw: Column, n: int) -> Column:
     """Array of n page texts from a reply with page marks; too few are padded, without marks all is page one."""
-    parts = F.filter(F.transform(F.split(raw, r"===\s*Page\s+\d+\s*==="), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(raw, r"===\s*Page\s+\d+\s*==="), strip), lambda p: p != "")
     return F.slice(F.concat(parts, F.array_repeat(F.lit(""), n)), 1, n)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from barloom.compat import strip
 from barloom.functions.text import plausible_author, without_page_suffix
 
 # Status codes worth another try, least characters of an article.
@@ -60,7 +61,7 @@ def article(title: Column, author: Column, text: Column, archived: bool = False)
 
 def head_title(html: Column) -> Column:
     """Content of the title element, else of the first heading."""
-    inside = lambda tag: F.trim(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))
+    inside = lambda tag: strip(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))
     return F.coalesce(F.nullif(inside("title"), F.lit("")), F.nullif(inside("h1"), F.lit("")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from barloom.compat import strip
 from barloom.operators.relational import keep_first
 
 EMBED_CHARS, EMBED_BATCH = 30_000, 100
@@ -15,7 +16,7 @@ EMBED_CHARS, EMBED_BATCH = 30_000, 100
 
 def new_chunks(batch: DataFrame, loaded: DataFrame | None, order: str = "position") -> DataFrame:
     """Rows of a batch to load: not empty, first of their hash, hash not loaded yet.  Dedup comes before embedding."""
-    rows = batch.withColumn("content_hash", F.sha2("raw_content", 256)).where(F.trim("raw_content") != "")
+    rows = batch.withColumn("content_hash", F.sha2("raw_content", 256)).where(strip(F.col("raw_content")) != "")
     rows = keep_first(rows, ["content_hash"], F.col(order))
     return rows if loaded is None else rows.join(loaded.select("content_hash"), "content_hash", "left_anti")
 
