@@ -213,8 +213,12 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.12
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr("barloom.llm.components.LOCAL_LINKS", local)
     rng = random.Random(1)
+    none = spark.createDataFrame([], "a long, b long")
+    assert components(none).count() == 0
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(80)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(25)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {}
