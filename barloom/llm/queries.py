@@ -99,6 +99,35 @@ counts AS (
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c::INT AS copy_no, round(r.rate, 6) AS rate,
        md5('mix-1|' || d.doc_id::VARCHAR || '|copy|' || c::VARCHAR) AS shuffle_key
 FROM documents d JOIN counts USING (doc_id) JOIN rates r ON d.source IS NOT DISTINCT FROM r.source, unnest(range(0, counts.n)) AS t(c)
+""",
+    "op1_rp_forest": """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v, label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+n AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM u WHERE ok),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id
+""",
+    "op8_prefix_doubling": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+b AS (SELECT doc_id, p, n, substr(x, (2 * p + 1)::INT, 2) AS byte, CASE WHEN p + 100 <= n THEN md5(substr(x, (2 * p + 1)::INT, 200)) END AS h FROM d, unnest(range(0, n)) AS t(p)),
+m AS (SELECT *, h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1 AS hit FROM b),
+g AS (SELECT doc_id, p, byte, coalesce(max(CASE WHEN hit THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) >= p - 99, false) AS gone FROM m),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM g),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS rest FROM s GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+""",
+    "op9_debruijn": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, p, ws[p] AS word, CASE WHEN p + 49 <= len(ws) THEN md5(array_to_string(ws[p:p + 49], ' ')) END AS h FROM d, unnest(range(1, len(ws) + 1)) AS t(p)),
+m AS (SELECT *, h IS NOT NULL AND min(doc_id) OVER (PARTITION BY h) < doc_id AS hit FROM w),
+g AS (SELECT doc_id, p, word, coalesce(max(CASE WHEN hit THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) >= p - 49, false) AS gone FROM m),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS rest FROM g GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """,
     "op7_exact_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
