@@ -11,9 +11,10 @@ document needs about COMPONENTS * ln(COMPONENTS) points however long it is.
 
 Documents with the same words in the same order are one class from the start.
 Signatures are banded; candidates of a bucket are linked to its smallest member
-first, then all pairs of a bucket that are still in different groups are compared
-by signature, in blocks, and every candidate pair is verified on the whole
-multisets.  No bucket is capped.
+first, by verification of the whole multisets.  Then the pairs of a bucket that are
+still in different groups are compared by signature, in blocks; what may be a near
+copy across groups forms families, and within a family such pairs are verified
+until their groups are joined.  No bucket is capped and no pairs are listed.
 
 Null, empty and blank texts have no shingles: each is a group of its own.  Rows
 with the same doc_id fall in one group only if their texts do; rows that repeat
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import _kernels as K
 from ._io import ship, staged
-from .components import components
+from .components import components, joins
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 6
@@ -40,8 +41,8 @@ COMPONENTS = BANDS * ROWS
 #: A pair whose signatures agree less is not verified: five standard deviations below THRESHOLD.
 ESTIMATE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5
 BATCH_BYTES = 6 << 20
-#: Members of a bucket compared in one block.
-BLOCK = 1024
+#: Members of a bucket or family compared in one block.
+BLOCK = 512
 
 
 def multisets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,35 +202,78 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def blocked(members: DataFrame) -> DataFrame:
-    """a, b: pairs within a bucket, of different groups, whose signatures agree well enough.
-
-    members: bucket, node, comp, sig, n (members of the bucket).  A bucket is cut into blocks of about BLOCK
-    members; every pair of blocks is one piece of work, so a large bucket is many tasks.
-    """
+def blocks(members: DataFrame) -> DataFrame:
+    """Rows for each pair of blocks of a group: n (members of the group) over BLOCK blocks, so a large group is many tasks."""
     rows = members.withColumn("__k", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    rows = rows.withColumn("__mine", F.pmod(F.xxhash64("node"), F.col("__k")).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("__k")).cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    rows = rows.withColumn("__lo", F.least("__mine", "__other")).withColumn("__hi", F.greatest("__mine", "__other"))
+    return rows.withColumns({"lo": F.least("mine", "__other"), "hi": F.greatest("mine", "__other")}).drop("__k", "__other")
+
+
+def sides(key: tuple, table: pa.Table) -> tuple[pa.Table, slice, slice, bool]:
+    """A block pair's rows, those of the lower block first, and where both blocks are."""
+    mine = np.asarray(table.column("mine"))
+    lo, hi = key[1].as_py(), key[2].as_py()
+    table = table.take(pa.array(np.argsort(mine != lo, kind="stable")))
+    n, cut = len(mine), int((mine == lo).sum())
+    return (table, slice(0, n), slice(0, n), True) if lo == hi else (table, slice(0, cut), slice(cut, n), False)
+
+
+def alike(table: pa.Table, rows: slice, cols: slice) -> np.ndarray:
+    """Which pairs are of different groups and have signatures that agree well enough."""
+    comp = np.asarray(table.column("comp"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+    need = int(np.ceil((ESTIMATE * (1 - 1 / 256) + 1 / 256) * COMPONENTS - 1e-9))
+    hit = comp[rows, None] != comp[None, cols]
+    left, right = sig[rows], sig[cols]
+    for i in np.flatnonzero(hit.any(axis=1)):
+        hit[i] &= (right == left[i]).sum(axis=1) >= need
+    return hit
+
+
+def families(members: DataFrame) -> DataFrame:
+    """Links that join all pairs of a bucket which may be near copies but are in different groups, at most one a member and block.
+
+    members: bucket, node, comp, sig, n (members of the bucket).
+    """
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        node, comp = np.asarray(table.column("node")), np.asarray(table.column("comp"))
-        mine = np.asarray(table.column("__mine"))
-        lo, hi = key[1].as_py(), key[2].as_py()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COMPONENTS)
-        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        need = int(np.ceil((ESTIMATE * (1 - 1 / 256) + 1 / 256) * COMPONENTS - 1e-9))
-        found = []
-        for i in left:
-            to = right[right > i] if lo == hi else right
-            to = to[comp[to] != comp[i]]
-            if len(to):
-                to = to[(sig[to] == sig[i]).sum(axis=1) >= need]
-                found += [np.column_stack([np.maximum(node[i], node[to]), np.minimum(node[i], node[to])])] * bool(len(to))
-        got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        table, rows, cols, same = sides(key, table)
+        got = joins(alike(table, rows, cols), np.asarray(table.column("node")), rows, cols, same)
         return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
 
-    return rows.groupBy("bucket", "__lo", "__hi").applyInArrow(work, "a long, b long").distinct()
+    return blocks(members).groupBy("bucket", "lo", "hi").applyInArrow(work, "a long, b long").distinct()
+
+
+def settled(members: DataFrame) -> DataFrame:
+    """Links between groups of a family, each verified on the whole multisets.
+
+    members: family, node, comp, sig, bag, n (members of the family).  Pairs are compared until their groups are
+    joined, so a block gives no more links than it has groups.
+    """
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        table, rows, cols, same = sides(key, table)
+        hit = alike(table, rows, cols)
+        node, bag, offset = np.asarray(table.column("node")), table.column("bag").to_pylist(), 0 if same else cols.start
+        group: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := group.get(c, c)) != c:
+                c = up
+            return c
+
+        comp, out = np.asarray(table.column("comp")).tolist(), []
+        for i, j in zip(*np.nonzero(hit)):
+            j = int(j) + offset
+            if same and j <= i or root(comp[i]) == root(comp[j]) or overlap(bag[i], bag[j]) < THRESHOLD:
+                continue
+            group[root(comp[i])] = root(comp[j])
+            out.append((max(node[i], node[j]), min(node[i], node[j])))
+        got = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
+
+    return blocks(members).groupBy("family", "lo", "hi").applyInArrow(work, "a long, b long")
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -273,15 +317,20 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     links = staged(links.unionByName(verified(rest, bags)), "bag-links")
     groups = staged(components(links), "bag-groups")
 
-    # buckets that still hold several groups: all pairs across them
-    members = grouped(shared, "node", "comp")
-    mixed = members.groupBy(F.col("bucket").alias("__b")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    members = members.join(mixed, F.col("bucket") == F.col("__b")).join(nodes.select(F.col("node").alias("__s"), "sig"), F.col("node") == F.col("__s"))
-    pairs = blocked(members.select("bucket", "node", "comp", "sig", "n"))
-    pairs = staged(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "bag-pairs")
-    more = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(wanted, "node", "left_anti")
-    late = bags.unionByName(staged(bags_of(more), "bag-texts")) if not pairs.isEmpty() else bags
-    links = staged(links.unionByName(verified(pairs, late)), "bag-links")
+    # buckets that still hold several groups: families of nodes that may be near copies across them, then all their pairs
+    sig = nodes.select(F.col("node").alias("__s"), "sig")
+
+    def several(rows: DataFrame, key: str) -> DataFrame:
+        mixed = rows.groupBy(F.col(key).alias("__b")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+        return rows.drop("n").join(mixed.drop("lo", "hi"), F.col(key) == F.col("__b")).drop("__b")
+
+    members = several(grouped(shared.select("bucket", "node"), "node", "comp"), "bucket").join(sig, F.col("node") == F.col("__s"))
+    kin = components(staged(families(members.select("bucket", "node", "comp", "sig", "n")), "bag-families"))
+    kin = staged(kin.select("node", F.col("component").alias("family")), "bag-kin")
+    rest = staged(bags_of(kin.select("node").join(wanted, "node", "left_anti")), "bag-texts")
+    both = bags.unionByName(rest).select(F.col("node").alias("__t"), "bag")
+    members = several(grouped(kin, "node", "comp"), "family").join(sig, F.col("node") == F.col("__s")).join(both, F.col("node") == F.col("__t"))
+    links = staged(links.unionByName(settled(members.select("family", "node", "comp", "sig", "bag", "n"))), "bag-links")
     groups = components(links)
 
     whole = grouped(nodes.select("node", "doc_id", "rows"), "node", "comp")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _kernels as K
 from ._io import ship, staged
-from .components import components
+from .components import components, joins
 
 TREES, LEAF, SPILL, DEPTH, SAMPLE, BLOCK, ROUNDS = 4, 256, 0.035, 6, 4096, 512, 12
 THRESHOLD = 0.93
@@ -198,28 +198,6 @@ def compared(points: DataFrame, found: DataFrame, threshold: float) -> DataFrame
     return rows.groupBy("node", "lo", "hi").applyInArrow(work, "pid long, links long, low long")
 
 
-def joins(hit: np.ndarray, pid: np.ndarray, rows: slice, cols: slice, same: bool) -> np.ndarray:
-    """Links (pid, smallest pid of its component in this block): at most one for each vector."""
-    n = len(pid)
-    full = np.zeros((n, n), bool)
-    full[rows, cols] = hit
-    if not same:
-        full[cols, rows] = hit.T
-    label = np.full(n, -1)
-    out = []
-    for i in np.argsort(pid):
-        if label[i] >= 0 or not full[i].any():
-            continue
-        label[i] = i
-        front = np.array([i])
-        while len(front):
-            nxt = np.flatnonzero(full[front].any(axis=0) & (label < 0))
-            label[nxt] = i
-            out.append(np.column_stack([pid[nxt], np.full(len(nxt), pid[i])]))
-            front = nxt
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     ship(vectors.sparkSession)
