@@ -40,13 +40,21 @@ def rows_of(df: DataFrame, *findings: Column) -> DataFrame:
     return df.select("session_id", F.explode(F.array_compact(F.array(*findings))).alias("f")).select("session_id", "f.check", "f.severity", "f.subject")
 
 
-def storable(rows: DataFrame) -> DataFrame:
-    """Sets, reps and order from 1, percent in (0, 120], no order twice."""
+def with_repeats(rows: DataFrame) -> DataFrame:
+    """Marks the second and later rows of an order within a session."""
     again = F.row_number().over(Window.partitionBy("session_id", "exercise_order").orderBy("row_id")) > 1
-    df = rows.withColumn("__again", again & (F.col("exercise_order") >= 1))
+    return rows.withColumn("__again", again & (F.col("exercise_order") >= 1))
+
+
+def storable_findings() -> list[Column]:
+    """Sets, reps and order from 1, percent in (0, 120], no order twice."""
     low = lambda c: F.coalesce(F.col(c), F.lit(0)) < 1
     pct = F.col("intensity_pct")
-    return rows_of(df, finding(low("sets"), "sets", "error"), finding(low("reps"), "reps", "error"), finding((pct <= 0) | (pct > 120), "intensity_range", "error"), finding(low("exercise_order"), "order", "error"), finding(F.col("__again"), "duplicate_order", "error", "exercise_order"))
+    return [finding(low("sets"), "sets", "error"), finding(low("reps"), "reps", "error"), finding((pct <= 0) | (pct > 120), "intensity_range", "error"), finding(low("exercise_order"), "order", "error"), finding(F.col("__again"), "duplicate_order", "error", "exercise_order")]
+
+
+def storable(rows: DataFrame) -> DataFrame:
+    return rows_of(with_repeats(rows), *storable_findings())
 
 
 def zone_reps(rows: DataFrame) -> DataFrame:
@@ -70,71 +78,87 @@ def weekly_budget(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows_of(per, finding((F.col("budget") > 0) & (F.col("__total") > F.col("budget") * BUDGET_TOLERANCE), "weekly_budget", "warning", "__total"))
 
 
-def intensity(rows: DataFrame) -> DataFrame:
-    """Rows have week_floor and week_ceiling."""
+def intensity_findings() -> list[Column]:
+    """Against week_floor and week_ceiling, which rows have."""
     pct, comp = F.col("intensity_pct"), is_comp()
     over = pct > F.coalesce("week_ceiling", F.lit(100.0))
     under = (pct < F.coalesce("week_floor", F.lit(0.0))) & (pct > WARMUP) & comp
-    return rows_of(rows, finding(over & comp, "above_ceiling", "error"), finding(over & ~comp & (pct > SUPRAMAX), "supramaximal", "warning"), finding(under, "below_floor", "warning"))
+    return [finding(over & comp, "above_ceiling", "error"), finding(over & ~comp & (pct > SUPRAMAX), "supramaximal", "warning"), finding(under, "below_floor", "warning")]
 
 
-def reps_per_set(rows: DataFrame) -> DataFrame:
+def intensity(rows: DataFrame) -> DataFrame:
+    return rows_of(rows, *intensity_findings())
+
+
+def reps_findings() -> list[Column]:
     pct, reps = F.coalesce("intensity_pct", F.lit(0.0)), F.coalesce("reps", F.lit(0))
-    return rows_of(rows, finding((pct >= 90) & (reps > 2), "reps_per_set", "error"), finding((pct >= 80) & (pct < 90) & (reps > 4), "reps_per_set", "warning"))
+    return [finding((pct >= 90) & (reps > 2), "reps_per_set", "error"), finding((pct >= 80) & (pct < 90) & (reps > 4), "reps_per_set", "warning")]
+
+
+def reps_per_set(rows: DataFrame) -> DataFrame:
+    return rows_of(rows, *reps_findings())
+
+
+def avoided_finding() -> Column:
+    return finding(F.array_contains(F.transform("avoid", plain_name), plain_name(F.col("exercise_name"))), "avoided", "error")
 
 
 def avoided(rows: DataFrame, athletes: DataFrame) -> DataFrame:
     """athletes: athlete_id, avoid (names)."""
-    a = athletes.select("athlete_id", F.transform("avoid", plain_name).alias("__avoid"))
-    return rows_of(rows.join(a, "athlete_id"), finding(F.array_contains("__avoid", plain_name(F.col("exercise_name"))), "avoided", "error"))
+    return rows_of(rows.join(athletes.select("athlete_id", "avoid"), "athlete_id"), avoided_finding())
 
 
-def principles(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """rules: rule_id, max_exercises, lifts_first; a rule table, applied to every session."""
-    per = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("__n"), F.min_by("intensity_reference", F.struct(F.coalesce("exercise_order", F.lit(2**31 - 1)), "row_id")).alias("__first"))
-    both = per.join(rules)
-    return rows_of(both, finding((F.col("max_exercises") > 0) & (F.col("__n") > F.col("max_exercises")), "too_many_exercises", "warning", "rule_id"), finding(F.col("lifts_first") & ~is_comp("__first"), "lifts_first", "warning", "rule_id"))
+def per_session(rows: DataFrame) -> DataFrame:
+    """One aggregate for the checks of whole sessions: exercises, first reference, names, minutes."""
+    first = F.min_by("intensity_reference", F.struct(F.coalesce("exercise_order", F.lit(2**31 - 1)), "row_id"))
+    seconds = F.sum(session_seconds(F.col("sets"), F.col("rest_seconds")))
+    return rows.groupBy("session_id", "athlete_id").agg(F.count(F.lit(1)).alias("n_exercises"), first.alias("first_reference"), F.collect_set(F.lower("exercise_name")).alias("names"), (seconds / 60).alias("minutes"))
 
 
-def minutes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("session_id").agg((F.sum(session_seconds(F.col("sets"), F.col("rest_seconds"))) / 60).alias("minutes"))
+def principles(per: DataFrame, rules: DataFrame) -> DataFrame:
+    """rules: rule_id, max_exercises, lifts_first; a rule table, applied to every session of per_session()."""
+    over = (F.col("max_exercises") > 0) & (F.col("n_exercises") > F.col("max_exercises"))
+    return rows_of(per.join(rules), finding(over, "too_many_exercises", "warning", "rule_id"), finding(F.col("lifts_first") & ~is_comp("first_reference"), "lifts_first", "warning", "rule_id"))
 
 
-def duration(rows: DataFrame, available: DataFrame) -> DataFrame:
-    """available: session_id, available_minutes."""
-    per = minutes(rows).join(available, "session_id", "left")
+def duration_finding() -> Column:
+    """minutes against available_minutes."""
     most = F.coalesce(nullif_zero(F.col("available_minutes")), F.lit(DEFAULT_MINUTES)) * DURATION_TOLERANCE
-    return rows_of(per, finding(F.col("minutes") > most, "duration", "warning", F.bround("minutes", 0).cast("int")))
+    return finding(F.col("minutes") > most, "duration", "warning", F.bround("minutes", 0).cast("int"))
 
 
-def effort(rows: DataFrame) -> DataFrame:
+def effort_findings() -> list[Column]:
     pct, rpe = F.coalesce("intensity_pct", F.lit(0.0)), F.col("rpe_target")
-    return rows_of(rows, finding((pct >= 90) & (rpe < 8), "low_effort_target", "warning"), finding((pct >= 80) & (pct < 90) & (rpe < 7), "low_effort_target", "warning"))
+    return [finding((pct >= 90) & (rpe < 8), "low_effort_target", "warning"), finding((pct >= 80) & (pct < 90) & (rpe < 7), "low_effort_target", "warning")]
+
+
+def effort(rows: DataFrame) -> DataFrame:
+    return rows_of(rows, *effort_findings())
 
 
-def fault_coverage(rows: DataFrame, athletes: DataFrame, fault_names: Sequence[str]) -> DataFrame:
-    """athletes: athlete_id, technical_faults."""
-    per = rows.groupBy("session_id", "athlete_id").agg(F.collect_set(F.lower("exercise_name")).alias("__names")).join(athletes.select("athlete_id", "technical_faults"), "athlete_id")
+def fault_finding(fault_names: Sequence[str]) -> Column:
+    """names against exercises for the athlete's technical_faults."""
     known = F.array(*[F.lit(n.lower()) for n in fault_names]).cast("array<string>")
-    return rows_of(per, finding((F.size("technical_faults") > 0) & (F.size(F.array_intersect("__names", known)) == 0), "fault_coverage", "warning", F.array_join("technical_faults", ", ")))
+    return finding((F.size("technical_faults") > 0) & (F.size(F.array_intersect("names", known)) == 0), "fault_coverage", "warning", F.array_join("technical_faults", ", "))
 
 
-def limiter_coverage(rows: DataFrame, athletes: DataFrame) -> DataFrame:
-    """athletes: athlete_id, strength_limiters."""
+def limiter_findings() -> list[Column]:
+    """names against the athlete's strength_limiters."""
     from barloom.functions.text import limiter_covered
 
-    per = rows.groupBy("session_id", "athlete_id").agg(F.collect_set(F.lower("exercise_name")).alias("__names")).join(athletes.select("athlete_id", "strength_limiters"), "athlete_id")
-    return rows_of(per, *[finding(F.array_contains("strength_limiters", name) & ~limiter_covered(F.col("__names"), words), "limiter_coverage", "warning", F.lit(name)) for name, words in LIMITERS.items()])
+    return [finding(F.array_contains("strength_limiters", name) & ~limiter_covered(F.col("names"), words), "limiter_coverage", "warning", F.lit(name)) for name, words in LIMITERS.items()]
 
 
 def all_checks(rows: DataFrame, sessions: DataFrame, athletes: DataFrame, rules: DataFrame, fault_names: Sequence[str] | None = None) -> DataFrame:
-    """All findings.  rows: row_id, session_id, athlete_id and the exercise columns; sessions further have
-    program_id, week, day, budget, available_minutes, week_floor and week_ceiling."""
-    with_week = rows.join(sessions.select("session_id", "week_floor", "week_ceiling"), "session_id")
-    parts = [storable(rows), zone_volume(rows), weekly_budget(rows, sessions), intensity(with_week), reps_per_set(rows), avoided(rows, athletes), principles(rows, rules), duration(rows, sessions.select("session_id", "available_minutes")), effort(rows), limiter_coverage(rows, athletes)]
-    if fault_names is not None:
-        parts.append(fault_coverage(rows, athletes, fault_names))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All findings, from one pass over the rows and one aggregate by session.
+
+    rows: row_id, session_id, athlete_id and the exercise columns; sessions: session_id, program_id, week, day, budget,
+    available_minutes, week_floor, week_ceiling; athletes: athlete_id, avoid, strength_limiters, technical_faults.
+    """
+    wide = with_repeats(rows).join(sessions.select("session_id", "week_floor", "week_ceiling"), "session_id", "left").join(athletes.select("athlete_id", "avoid"), "athlete_id", "left")
+    by_row = rows_of(wide, *storable_findings(), *intensity_findings(), *reps_findings(), avoided_finding(), *effort_findings())
+    per = per_session(rows)
+    known = per.join(sessions.select("session_id", "available_minutes"), "session_id", "left").join(athletes.drop("avoid"), "athlete_id", "left")
+    faults = [] if fault_names is None else [fault_finding(fault_names)]
+    by_session = rows_of(known, duration_finding(), *limiter_findings(), *faults)
+    return by_row.unionByName(by_session).unionByName(principles(per, rules)).unionByName(zone_volume(rows)).unionByName(weekly_budget(rows, sessions))
