@@ -325,7 +325,10 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     names, counts = model["frequent"]
     floor = float(n + v + 1)
     unigrams = collected(model["word_segments"], model["word_sizes"], buckets)
-    everything = None
+    # all passes of a document share the id of its row, so it is written down where there are several
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
+    rows = staged(rows, "lm-documents") if len(model["shards"]) > 1 else rows
+    passes = []
     for k, shard in enumerate(model["shards"]):
         shard_filter = collected(model["segments"], shard, buckets)
         shared = spark.sparkContext.broadcast((names, counts, unigrams, shard_filter))
@@ -333,12 +336,10 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         mine[[bucket for bucket, _ in shard]] = True
 
         def work(batches: Iterator[pa.RecordBatch], k=k, shared=shared, mine=mine) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
             names, counts, unigrams, grams = shared.value
-            rid = TaskContext.get().partitionId() << 33
             for batch in batches:
-                data, offsets = K.text_buffer(batch.column(2))
+                rid = np.asarray(batch.column(0))
+                data, offsets = K.text_buffer(batch.column(3))
                 for a, b in K.chunks(offsets):
                     toks, at = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     m = b - a
@@ -362,8 +363,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                     back = np.maximum(back, 1.0)  # a context that was seen has a successor; others back off whole
                     p = (np.minimum(c, s[c_inv] if len(s) else c) + back[c_inv] * p1[inv[here]]) / (s + back)[c_inv]
                     score = np.bincount(doc[here], np.log10(np.minimum(p, 1.0)), minlength=m)
-                    ids = rid + np.arange(m)
-                    rid += m
+                    ids = rid[a:b]
                     if k:
                         yield rows_of(ids, batch, a, m, score=score)
                         continue
@@ -378,14 +378,13 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                     tf = np.diff(np.append(new, len(key)))
                     yield rows_of(ids[key[new] // len(word)], None, 0, len(new), name=word[key[new] % len(word)].view(np.int64), tf=tf)
 
-        part = docs.select("doc_id", "held_out", "text").mapInArrow(work, ROWS)
-        everything = part if everything is None else everything.unionByName(part)
-    if everything is None:
-        raise AssertionError("a model has one shard at least")
-    found = everything.join(model["words"].withColumnRenamed("name", "__name"), F.col("name") == F.col("__name"), "left")
+        passes.append(rows.mapInArrow(work, ROWS))
+    found = passes[0].join(model["words"].withColumnRenamed("name", "__name"), F.col("name") == F.col("__name"), "left")
     rare_log = F.col("tf") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + 1) / F.lit(floor))
-    rows = found.select("rid", "doc_id", "held_out", "tokens", (F.col("known") + F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known"), (F.col("base") + F.coalesce(rare_log, F.lit(0.0))).alias("base"), "score")
-    out = rows.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    out = found.select("rid", "doc_id", "held_out", "tokens", (F.col("known") + F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known"), (F.col("base") + F.coalesce(rare_log, F.lit(0.0))).alias("base"), "score")
+    for more in passes[1:]:
+        out = out.unionByName(more.select(out.columns))
+    out = out.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.drop("rid")
 
 
@@ -394,7 +393,7 @@ ROWS = "rid long, doc_id long, held_out boolean, tokens long, known long, base d
 
 def rows_of(ids: np.ndarray, batch: pa.RecordBatch | None, a: int, m: int, **given: np.ndarray) -> pa.RecordBatch:
     zero = {"tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-    cols = [pa.array(ids), batch.column(0).slice(a, m) if batch else pa.nulls(m, pa.int64()), batch.column(1).slice(a, m) if batch else pa.nulls(m, pa.bool_())]
+    cols = [pa.array(ids), batch.column(1).slice(a, m) if batch else pa.nulls(m, pa.int64()), batch.column(2).slice(a, m) if batch else pa.nulls(m, pa.bool_())]
     cols += [pa.array(np.asarray(given.get(c, np.zeros(m)))).cast(t) for c, t in zero.items()]
     cols += [pa.array(given[c]).cast(pa.int64()) if c in given else pa.nulls(m, pa.int64()) for c in ("name", "tf")]
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in ROWS.split(", ")])

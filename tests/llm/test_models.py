@@ -50,6 +50,19 @@ def test_lm_base_is_exact_and_score_is_better(make):
     assert lm.score(make([])).count() == 0
 
 
+def test_lm_shards_give_the_rows_and_scores_of_one(make, monkeypatch):
+    rows = texts() + [(3, "a b"), (900, None), (None, "a b")]
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    want = sorted(lm.score(make(rows)).collect(), key=key)
+    fit, shards = lm.fit, []
+    monkeypatch.setattr(lm, "fit", lambda docs: shards.append(fit(docs)) or shards[-1])
+    monkeypatch.setattr(lm, "SHARD_BYTES", 600)
+    got = sorted(lm.score(make(rows)).collect(), key=key)
+    assert len(shards[0]["shards"]) > 1 and len(got) == len(want) == len(rows)
+    for g, w in zip(got, want):
+        assert g[:5] == w[:5] and g.base_score == pytest.approx(w.base_score) and g.score == pytest.approx(w.score)
+
+
 def test_lm_filter_never_loses_counts():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 2**63, 3000).astype(np.uint64)
