@@ -3,9 +3,9 @@
 A bigram model is learned from the training documents.  Counts are quantised to
 powers of BASE; a key whose quantised count is q is entered q times, as
 (key, 1) ... (key, q), so its count is found again by probing (key, 1), (key, 2)
-... until one is missing.  The filter holds bigrams counted twice or more, and for
-each context the kept mass S and the back-off mass B (occurrences of bigrams seen
-once, plus the number of distinct successors, as in Witten-Bell smoothing):
+... until one is missing.  The filter holds every bigram, and for each context the
+mass S of its bigrams and the back-off mass B (the number of distinct successors, as
+in Witten-Bell smoothing):
 
     p(w | h) = (c(h w) + B(h) p1(w)) / (S(h) + B(h)),   p1(w) = (c(w) + 1) / (N + V + 1)
 
@@ -188,17 +188,15 @@ def merged(rows: list[tuple[bytes, bytes, bytes, bytes]], hot: np.ndarray) -> tu
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     key, count = key[new], np.add.reduceat(count, new)
     g = (key >> K.U64(40)).astype(np.int64)
-    level = np.maximum(quantised(count) - 1, 0)
-    kept = level > 0
-    value = np.where(kept, VALUES[level + 1], 0.0)
-    s = np.bincount(g, value, minlength=len(h))
-    b = np.bincount(g, np.where(kept, 0, count) + 1, minlength=len(h))
+    level = quantised(count)
+    s = np.bincount(g, VALUES[level], minlength=len(h))
+    b = np.bincount(g, minlength=len(h))
     at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
     is_hot = hot[at] == h if len(hot) else np.zeros(len(h), bool)
     mass = np.column_stack([at[is_hot].astype(float), s[is_hot], b[is_hot]])
     own = h[~is_hot]
-    keys = np.concatenate([K.pair(h[g[kept]], key[kept] & LOW40), kept_key(own), backoff_key(own)])
-    levels = np.concatenate([level[kept], quantised(s[~is_hot]), quantised(b[~is_hot])])
+    keys = np.concatenate([K.pair(h[g], key & LOW40), kept_key(own), backoff_key(own)])
+    levels = np.concatenate([level, quantised(s[~is_hot]), quantised(b[~is_hot])])
     return segment(keys, levels).tobytes(), mass.tobytes()
 
 
@@ -351,7 +349,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                     bucket, is_hot = pair_bucket(h, code, hot, buckets)
                     here = mine[bucket] if len(mine) else np.zeros(0, bool)
                     level = grams.count(K.pair(h[here], code[here]), bucket[here])
-                    c = np.where(level > 0, VALUES[level + 1], 0.0)
+                    c = VALUES[level]
                     p1 = (VALUES[unigrams.count(word, bucket_of(word, buckets))] + 1) / floor
                     ctx, c_inv = np.unique(h[here], return_inverse=True)
                     spot = np.minimum(np.searchsorted(hot, ctx), max(len(hot) - 1, 0))

@@ -63,6 +63,20 @@ def test_lm_shards_give_the_rows_and_scores_of_one(make, monkeypatch):
         assert g[:5] == w[:5] and g.base_score == pytest.approx(w.base_score) and g.score == pytest.approx(w.score)
 
 
+def test_lm_filter_holds_bigrams_counted_once():
+    from barloom.llm import _kernels as K
+
+    h, w, hot = np.repeat(K.mix(np.arange(40, dtype=np.uint64)), 5), K.mix(np.arange(200, dtype=np.uint64) + np.uint64(999)), np.zeros(0, np.uint64)
+    code = lm.code_of(h, w)
+    again = np.arange(200) % 5 == 0  # one successor of each context is counted twice
+    batch = lm.packed_pairs(np.concatenate([h, h[again]]), np.concatenate([code, code[again]]), hot, 1)
+    bits, _ = lm.merged(list(zip(*(batch.column(i).to_pylist() for i in range(1, 5)))), hot)
+    f, zeros = lm.Filter(1, np.array([0]), [bits]), np.zeros(200, int)
+    level = f.count(K.pair(h, code), zeros)
+    assert (level >= np.where(again, 2, 1)).all() and (level == np.where(again, 2, 1)).mean() > 0.95
+    assert (f.count(lm.kept_key(h), zeros) >= lm.quantised(np.array(6))).all() and (f.count(lm.backoff_key(h), zeros) >= lm.quantised(np.array(5))).all()
+
+
 def test_lm_filter_never_loses_counts():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 2**63, 3000).astype(np.uint64)
