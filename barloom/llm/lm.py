@@ -12,8 +12,8 @@ in Witten-Bell smoothing):
 Keys of one context share a segment of the filter, so every reducer builds its
 own segment; segments are packed into shards of at most SHARD_BYTES, and each
 shard is broadcast for one pass over the texts.  The unigram filter is broadcast
-with each; beyond UNIGRAM_BYTES the model refuses to be built rather than drop
-words.  The counts of contexts among the HOT most frequent words are split over
+with each; beyond UNIGRAM_BYTES it is split likewise, and passes of its own write the
+level of every token beside the texts.  The counts of contexts among the HOT most frequent words are split over
 all reducers, as one word may precede a third of all tokens.
 
 base_score uses exact counts: the FREQUENT most frequent words are broadcast, all
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._io import partitions, ship, staged
+from ._io import dropped, partitions, ship, staged
 
 BASE, BITS, PROBES = 1.5, 12, 4
 SHARD_BYTES, UNIGRAM_BYTES, FETCH_BYTES = 64 << 20, 256 << 20, 12 << 20
@@ -262,8 +262,8 @@ def fit(docs: DataFrame) -> dict:
         bits = segment(name, quantised(np.asarray(table.column("c")))).tobytes()
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
-    packed = docs.where(~F.col("held_out")).select("text").mapInArrow(pairs, "bucket int, ctx binary, runs binary, codes binary, counts binary")
-    segments = staged(packed.groupBy("bucket").applyInArrow(build, "bucket int, bits binary, mass binary"), "lm-segments")
+    counted = docs.where(~F.col("held_out")).select("text").mapInArrow(pairs, "bucket int, ctx binary, runs binary, codes binary, counts binary")
+    segments = staged(counted.groupBy("bucket").applyInArrow(build, "bucket int, bits binary, mass binary"), "lm-segments")
     def word_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = bucket_of(np.asarray(batch.column(0)).view(K.U64), buckets).astype(np.int32)
@@ -272,23 +272,25 @@ def fit(docs: DataFrame) -> dict:
     by_word = words.mapInArrow(word_buckets, "name long, c long, bucket int")
     word_segments = staged(by_word.groupBy("bucket").applyInArrow(build_words, "bucket int, bits binary"), "lm-word-segments")
     word_sizes = sorted(tuple(r) for r in word_segments.select("bucket", F.octet_length("bits")).collect())
-    total = sum(n for _, n in word_sizes)
-    if total > UNIGRAM_BYTES:
-        raise ValueError(f"the unigram filter takes {total} bytes; UNIGRAM_BYTES allows {UNIGRAM_BYTES}")
     mass = np.zeros((len(hot), 2))
     sizes = []
     for bucket, length, blob in segments.select("bucket", F.octet_length("bits"), "mass").collect():
         sizes.append((bucket, length))
         part = np.frombuffer(blob).reshape(-1, 3)
         np.add.at(mass, part[:, 0].astype(np.int64), part[:, 1:])
-    shards, size = [[]], 0
-    for bucket, length in sorted(sizes):
-        if shards[-1] and size + length > SHARD_BYTES:
-            shards.append([])
+    return {"n": int(n), "v": int(v), "words": words, "segments": segments, "word_segments": word_segments, "word_shards": packed(word_sizes, UNIGRAM_BYTES), "shards": packed(sorted(sizes), SHARD_BYTES), "hot": hot, "mass": mass, "buckets": buckets, "frequent": (names[order], counts[order])}
+
+
+def packed(sizes: list[tuple[int, int]], most: int) -> list[list[tuple[int, int]]]:
+    """Runs of (bucket, bytes) of at most so many bytes, or of one bucket."""
+    out, size = [[]], 0
+    for bucket, length in sizes:
+        if out[-1] and size + length > most:
+            out.append([])
             size = 0
-        shards[-1].append((bucket, length))
+        out[-1].append((bucket, length))
         size += length
-    return {"n": int(n), "v": int(v), "words": words, "segments": segments, "word_segments": word_segments, "word_sizes": word_sizes, "shards": shards, "hot": hot, "mass": mass, "buckets": buckets, "frequent": (names[order], counts[order])}
+    return out
 
 
 def packed_words(top: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -316,16 +318,48 @@ def collected(df: DataFrame, sizes: list[tuple[int, int]], buckets: int) -> Filt
     return Filter(buckets, np.array(ids, np.int64), blobs)
 
 
+def levelled(rows: DataFrame, model: dict) -> DataFrame:
+    """rows with the unigram level of each token as a byte, found shard by shard; each pass adds its own words' levels."""
+    spark, buckets = rows.sparkSession, model["buckets"]
+    rows = rows.withColumn("levels", F.lit(None).cast("binary"))
+    for shard in model["word_shards"]:
+        shared = spark.sparkContext.broadcast(collected(model["word_segments"], shard, buckets))
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            unigrams = shared.value
+            for batch in batches:
+                data, offsets = K.text_buffer(batch.column(3))
+                for a, b in K.chunks(offsets):
+                    toks, at = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    word, inv = np.unique(toks, return_inverse=True)
+                    level = unigrams.count(word, bucket_of(word, buckets)).astype(np.uint8)[inv]
+                    part = batch.slice(a, b - a)
+                    if not part.column(4).null_count:
+                        level += np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8)
+                    blobs = pa.array([level[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:4], blobs], names=part.schema.names)
+
+        done = staged(rows.mapInArrow(work, rows.schema), "lm-levels")
+        dropped(spark, rows)
+        shared.destroy()
+        rows = done
+    return rows
+
+
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
     n, v, buckets, hot, mass = model["n"], model["v"], model["buckets"], model["hot"], model["mass"]
     names, counts = model["frequent"]
     floor = float(n + v + 1)
-    unigrams = collected(model["word_segments"], model["word_sizes"], buckets)
+    several = len(model["word_shards"]) > 1
+    unigrams = None if several else collected(model["word_segments"], model["word_shards"][0], buckets)
     # all passes of a document share the id of its row, so it is written down where there are several
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    rows = staged(rows, "lm-documents") if len(model["shards"]) > 1 else rows
+    if several:
+        rows = levelled(rows, model)
+    elif len(model["shards"]) > 1:
+        rows = staged(rows, "lm-documents")
     passes = []
     for k, shard in enumerate(model["shards"]):
         shard_filter = collected(model["segments"], shard, buckets)
@@ -350,7 +384,10 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                     here = mine[bucket] if len(mine) else np.zeros(0, bool)
                     level = grams.count(K.pair(h[here], code[here]), bucket[here])
                     c = VALUES[level]
-                    p1 = (VALUES[unigrams.count(word, bucket_of(word, buckets))] + 1) / floor
+                    if several:
+                        p1 = (VALUES[np.frombuffer(b"".join(batch.column(4).slice(a, m).to_pylist()), np.uint8)[here]] + 1) / floor
+                    else:
+                        p1 = ((VALUES[unigrams.count(word, bucket_of(word, buckets))] + 1) / floor)[inv[here]]
                     ctx, c_inv = np.unique(h[here], return_inverse=True)
                     spot = np.minimum(np.searchsorted(hot, ctx), max(len(hot) - 1, 0))
                     ctx_hot = hot[spot] == ctx if len(hot) else np.zeros(len(ctx), bool)
@@ -359,7 +396,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                     back = VALUES[grams.count(backoff_key(ctx), cb)]
                     s[ctx_hot], back[ctx_hot] = mass[spot[ctx_hot], 0], mass[spot[ctx_hot], 1]
                     back = np.maximum(back, 1.0)  # a context that was seen has a successor; others back off whole
-                    p = (np.minimum(c, s[c_inv] if len(s) else c) + back[c_inv] * p1[inv[here]]) / (s + back)[c_inv]
+                    p = (np.minimum(c, s[c_inv] if len(s) else c) + back[c_inv] * p1) / (s + back)[c_inv]
                     score = np.bincount(doc[here], np.log10(np.minimum(p, 1.0)), minlength=m)
                     ids = rid[a:b]
                     if k:

@@ -63,6 +63,18 @@ def test_lm_shards_give_the_rows_and_scores_of_one(make, monkeypatch):
         assert g[:5] == w[:5] and g.base_score == pytest.approx(w.base_score) and g.score == pytest.approx(w.score)
 
 
+def test_lm_word_shards_give_the_rows_and_scores_of_one(make, monkeypatch):
+    rows = texts() + [(900, None), (901, ""), (None, "a b")]
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    want = sorted(lm.score(make(rows)).collect(), key=key)
+    monkeypatch.setattr(lm, "UNIGRAM_BYTES", 400)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 1200)
+    got = sorted(lm.score(make(rows)).collect(), key=key)
+    assert len(got) == len(want) == len(rows)
+    for g, w in zip(got, want):
+        assert g[:5] == w[:5] and g.base_score == pytest.approx(w.base_score) and g.score == pytest.approx(w.score)
+
+
 def test_lm_filter_holds_bigrams_counted_once():
     from barloom.llm import _kernels as K
 
