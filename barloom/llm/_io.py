@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..session import ship, table
 
+__all__ = ["dropped", "fresh_path", "partitions", "released", "shared_dir", "ship", "staged", "table", "unused", "written"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+#: Paths of stage files of this process, in the order they were written.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of this machine only where none is set, as in tests."""
+    """The folder that all executors share.
+
+    A folder of this machine only where none is set and all executors are threads of this process, as in tests.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: stage files need a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,15 +44,43 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._stage_path = path
+    _WRITTEN.append(path)
     return out
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of stages that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_stage_path", None):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _deleted(spark, path)
+
+
+def written() -> int:
+    """A mark for released()."""
+    return len(_WRITTEN)
+
+
+def released(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the stage files written since a mark, but those of ``keep``."""
+    kept = {getattr(df, "_stage_path", None) for df in keep}
+    for path in _WRITTEN[since:]:
+        if path not in kept:
+            _deleted(spark, path)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores after it until no column is called so (Spark compares names without case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
