@@ -1,12 +1,16 @@
 """Connected components of a graph of links, in DataFrames alone.
 
-Alternating large-star and small-star steps: each node links its larger
-neighbours (then its smaller ones) to the smallest node it knows.  Minima are
-aggregates with map-side combining and go back to the links by a join that
-adaptive execution may split, so a node with very many links is no hot spot.
-Links are written to the shared folder after each round; nothing but the number
-of links and their checksum reaches the driver.  A graph of at most LOCAL_LINKS
-links, a fixed amount of memory, is solved by union-find in one task instead.
+Rounds of three steps, the same at every size:
+
+1. each task joins what its own links connect, some links at a time (a map-side
+   combine: chains inside a partition are gone after one round),
+2. large-star: each node links its larger neighbours to the smallest node it knows,
+3. small-star: each node links its smaller neighbours likewise.
+
+Minima are aggregates with map-side combining and go back to the links by a join
+that adaptive execution may split, so a node with very many links is no hot spot.
+Links are written to the shared folder after each round; nothing but the number of
+links and their checksum reaches the driver.  Rounds end when both stay the same.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 from ._io import dropped, ship, staged
 
 ROUNDS = 60
-#: Links that one task solves: 16 bytes each as they come, some hundred MB at work.
-LOCAL_LINKS = 1_000_000
+#: Links that a task joins at a time.
+TOGETHER = 200_000
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -35,7 +39,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         low = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         out = edges.join(low, F.col("a") == F.col("n")).select("b", "m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out.unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
 
 
 def joins(hit: np.ndarray, pid: np.ndarray, rows: slice, cols: slice, same: bool) -> np.ndarray:
@@ -60,45 +64,54 @@ def joins(hit: np.ndarray, pid: np.ndarray, rows: slice, cols: slice, same: bool
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over all links of the task; the smaller root stays."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while (up := parent.get(top, top)) != top:
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node but the smallest of each component of these links, and that smallest node."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    top = np.arange(len(node))
+    while True:
+        p, q = top[x], top[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(top, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (up := top[top]).tobytes() != top.tobytes():
             top = up
-        while x != top:
-            parent[x], x = top, parent.get(x, x)
-        return top
+    rest = np.flatnonzero(top != np.arange(len(node)))
+    return node[rest], node[top[rest]]
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task, each component of TOGETHER links as a star around its smallest node."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        a, b = (np.concatenate([np.asarray(x.column(i)) for x in held]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in united(a, b)], names=["a", "b"])
 
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = root(a), root(b)
-            parent.setdefault(a, x)
-            parent.setdefault(b, y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    node = np.fromiter(parent, np.int64, len(parent))
-    top = np.fromiter((root(x) for x in node.tolist()), np.int64, len(node))
-    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(top)], names=["node", "component"])
+        held.append(batch)
+        if sum(map(len, held)) >= TOGETHER:
+            yield flush()
+            held = []
+    if held:
+        yield flush()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component for every node of a link; component is the smallest node reachable."""
     spark = links.sparkSession
-    own = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    edges = staged(own, "links")
-    if edges.count() <= LOCAL_LINKS:
-        ship(spark)
-        return edges.repartition(1).mapInArrow(_solved, "node long, component long")
+    ship(spark)
+    own = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b")
+    edges = staged(own.mapInArrow(_combined, "a long, b long").distinct(), "links")
     seen = None
     for _ in range(ROUNDS):
         mark = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == seen or not mark[0]:
             break
         seen = mark
-        after = staged(_star(_star(edges, True), False), "links")
+        after = staged(_star(_star(edges, True), False).mapInArrow(_combined, "a long, b long").distinct(), "links")
         dropped(spark, edges)
         edges = after
     else:
