@@ -18,7 +18,9 @@ until their groups are joined.  No bucket is capped and no pairs are listed.
 
 Null, empty and blank texts have no shingles: each is a group of its own.  Rows
 with the same doc_id fall in one group only if their texts do; rows that repeat
-the kept doc_id in a group all stay.  A null doc_id sorts below all others.
+the kept doc_id in a group all stay.  A null doc_id sorts below all others.  Ties:
+the smallest doc_id of a group stays.  An empty table gives an empty result.
+Further columns, whatever their names, pass through representatives() unchanged.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
@@ -121,8 +123,13 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return names
 
 
+def content(text: Column) -> Column:
+    """A digest that tells texts of one doc_id apart."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, node (the words' name; null for none), sig (a byte a position) and bands (array of long)."""
+    """doc_id, content, node (the words' name; null for none), sig (a byte a position) and bands (array of long)."""
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +142,13 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
                 node = node_names(words, at)
                 low = (sig & K.U64(0xFF)).astype(np.uint8)
                 cols = [
-                    batch.column(0).slice(a, b - a), pa.array(node, mask=empty), pa.array([None if z else r.tobytes() for z, r in zip(empty, low)], pa.binary()),
+                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(node, mask=empty), pa.array([None if z else r.tobytes() for z, r in zip(empty, low)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands(sig).view(np.int64).ravel())),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "content", "node", "sig", "bands"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(work, "doc_id long, node long, sig binary, bands array<long>")
+    own = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own.alias("text"), content(own).alias("content")).mapInArrow(work, "doc_id long, content binary, node long, sig binary, bands array<long>")
 
 
 def agreement(a: list[bytes] | np.ndarray, b: list[bytes] | np.ndarray) -> np.ndarray:
@@ -278,12 +286,17 @@ def settled(members: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    kept = classes(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left_semi")
+    # by doc_id and content, as an id may repeat with other texts
+    kept = classes(docs, text, doc_id, content=True).where("kept").select("doc_id", "content").distinct()
+    same = docs[f"`{doc_id}`"].cast("long").eqNullSafe(kept["doc_id"]) & (content(docs[f"`{text}`"]) == kept["content"])
+    return docs.join(kept, same, "left_semi")
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, class_id (the group's smallest doc_id), kept, class_size: one row per row of ``docs``."""
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", content: bool = False) -> DataFrame:
+    """doc_id, class_id (the group's smallest doc_id), kept, class_size: one row per row of ``docs``.
+
+    content: also a column of that name, SHA-256 of the text (null as empty).
+    """
     sigs = staged(signed(docs, text, doc_id), "bag-signatures")
     # equal word sequences are one node; its signature is the same in every row
     nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
@@ -336,6 +349,6 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     whole = grouped(nodes.select("node", "doc_id", "rows"), "node", "comp")
     ids = whole.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
     of = whole.select("node", "comp").join(ids, "comp").select(F.col("node").alias("__n"), "class_id", "class_size")
-    out = sigs.select("doc_id", "node").join(of, F.col("node") == F.col("__n"), "left")
+    out = sigs.select("doc_id", "content", "node").join(of, F.col("node") == F.col("__n"), "left")
     alone = F.col("node").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+    return out.select("doc_id", *["content"] * content, F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
