@@ -13,6 +13,7 @@ Nulls: a null source is a source of its own, a null doc_id hashes as "null", a
 null or empty text counts one character so that every source has a size.  Rows
 repeated with the same doc_id get the same count each.  Sources with target
 weight 0 or missing from ``weights`` give no rows; an empty table gives none.
+Further columns, whatever their names, pass through unchanged.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import partitions, staged
+from ._io import partitions, staged, unused
 
 #: Largest mean inverted in one piece, and the terms that reach probability 1 - 1e-15 there.
 PART, TERMS = 8.0, 48
@@ -62,20 +63,23 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     else:
         wanted = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "__w string, __target double")
         sizes = sizes.join(wanted, F.col("__source").eqNullSafe(F.col("__w")), "left").na.fill(0.0, ["__target"])
-    totals = sizes.agg(F.sum("__size").alias("__all"), F.sum("__target").alias("__targets"))
-    return sizes.join(totals).select("__source", F.when(F.col("__targets") > 0, F.col("__target") / F.col("__targets") * F.col("__all") / F.col("__size")).otherwise(F.lit(0.0)).alias("__rate"))
+    # scalar subqueries over one row per source: no join
+    all_, targets = (sizes.agg(F.sum(c)).scalar() for c in ("__size", "__target"))
+    return sizes.select("__source", F.when(targets > 0, F.col("__target") / targets * all_ / F.col("__size")).otherwise(F.lit(0.0)).alias("__rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = SEED, source: str = "source", text: str = "text", doc_id: str = "doc_id", extra: bool = True) -> DataFrame:
-    """All copies, globally shuffled.  extra: also copy_no (from 0), rate and shuffle_key."""
-    columns = [c for c in docs.columns if not (extra and c in RESERVED)]
+    """All copies, globally shuffled.  extra: also copy_no (from 0), rate and shuffle_key, in place of columns of ``docs`` so called."""
+    columns = [c for c in docs.columns if not (extra and c.lower() in RESERVED)]
     key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")))
     # the rates are written, so the planner knows their size and broadcasts them only below its threshold
     found = staged(rates(docs, weights, source, text).coalesce(1), "rates")
-    rows = docs.join(found, F.col(f"`{source}`").eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__n", poisson(key, F.col("__rate"))).where("__n > 0")
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    rows = rows.withColumn("__key", F.md5(F.concat_ws("|", key, F.lit("copy"), F.col("__copy").cast("string"))))
-    rows = rows.repartition(partitions(docs.sparkSession), "__key").sortWithinPartitions("__key")
-    added = [F.col("__copy").cast("int").alias("copy_no"), F.col("__rate").alias("rate"), F.col("__key").alias("shuffle_key")] if extra else []
+    # names of its own that no column of docs has
+    of, rate, count, copy, place = (unused(c, docs) for c in ("mix_source", "mix_rate", "mix_count", "mix_copy", "mix_key"))
+    rows = docs.join(found.toDF(of, rate), F.col(f"`{source}`").eqNullSafe(F.col(of)))
+    rows = rows.withColumn(count, poisson(key, F.col(rate))).where(F.col(count) > 0)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+    rows = rows.withColumn(place, F.md5(F.concat_ws("|", key, F.lit("copy"), F.col(copy).cast("string"))))
+    rows = rows.repartition(partitions(docs.sparkSession), place).sortWithinPartitions(place)
+    added = [F.col(copy).cast("int").alias("copy_no"), F.col(rate).alias("rate"), F.col(place).alias("shuffle_key")] if extra else []
     return rows.select(*[F.col(f"`{c}`") for c in columns], *added)
