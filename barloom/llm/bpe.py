@@ -8,6 +8,9 @@ from character classes, and each distinct pre-token of a batch is looked up
 once, so the work in Python follows the distinct pre-tokens.
 
 Null and empty texts have no tokens.  Texts of any length are encoded whole.
+Repeated rows are encoded each, whatever their ids; an empty table gives an empty
+result.  Columns of the input that are called as those added, in any case of
+letters, are replaced by them; all others pass through unchanged.
 """
 
 from __future__ import annotations
@@ -25,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _kernels as K
+from ._io import unused
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: What a pre-token may be after an apostrophe.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Characters of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Distinct merged pre-tokens that a worker remembers before it starts afresh.
-MEMO = 400_000
+#: The pattern that pretokens() stands for; encode() refuses any other.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Distinct merged pre-tokens, and their bytes, that a worker remembers before it starts afresh.
+MEMO, MEMO_BYTES = 400_000, 64 << 20
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:
@@ -153,6 +159,7 @@ class Codec:
         self.names, self.ids = names, np.fromiter(ranks.values(), np.int64, len(ranks))
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.memo: dict[bytes, list[int]] = {}
+        self.memo_bytes = 0
         # by id, for decoding and for the decimal form
         most = int(self.ids.max()) + 1
         by_id: list[bytes] = [b""] * most
@@ -210,9 +217,11 @@ class Codec:
             piece = raw[s[i] : e[i]]
             ids = memo.get(piece)
             if ids is None:
-                if len(memo) >= MEMO:
+                if len(memo) >= MEMO or self.memo_bytes > MEMO_BYTES:
                     memo.clear()
+                    self.memo_bytes = 0
                 ids = memo[piece] = self.merge(piece)
+                self.memo_bytes += len(piece) + 8 * len(ids)
             merged.append(ids)
         lens[missed] = [len(x) for x in merged]
         pool_at = np.concatenate([[0], np.cumsum(lens)])
@@ -243,20 +252,22 @@ def codec(ranks_file: str, content: bytes) -> Codec:
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, ranks_file: str, text: str = "text", keep: list[str] | None = None, ids: bool = True, digests: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, text: str = "text", keep: list[str] | None = None, ids: bool = True, digests: bool = True, pattern: str = PATTERN) -> DataFrame:
     """Encode ``text`` of every row, decode the ids again, and return the columns ``keep`` with what was found.
 
     ids: a column token_ids (array of int) with them.  digests: columns n_tokens, ids_sha256, decoded_sha256 and
     round_trip (the decoded bytes are the text's).  The ranks file is read on the driver and broadcast; its size is
-    the vocabulary's.  Columns of these names in the input are replaced if they are not in ``keep``.
+    the vocabulary's.  pattern: the tokenizer's, which has to be the one that this module splits by.
     """
+    if pattern != PATTERN:
+        raise ValueError(f"pre-tokens are found by {PATTERN!r}, not by {pattern!r}")
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     with open(ranks_file, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     added = [pa.field("n_tokens", pa.int64())] + [pa.field("token_ids", pa.list_(pa.int32()))] * ids + [pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string()), pa.field("round_trip", pa.bool_())] * digests
     types = {"int64": "long", "list<item: int32>": "array<int>", "string": "string", "bool": "boolean"}
-    columns = [c for c in keep if c not in {f.name for f in added}]
+    columns = [c for c in keep if c.lower() not in {f.name for f in added}]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"{f.name} {types[str(f.type)]}" for f in added])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +290,7 @@ def encode(docs: DataFrame, ranks_file: str, text: str = "text", keep: list[str]
                     out.append(pa.array([raw[x:y] == src[u:v] for (x, y), u, v in zip(spans, at[:-1].tolist(), at[1:].tolist())], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(columns))] + out, names=columns + [f.name for f in added])
 
-    return docs.select(*[docs[f"`{c}`"] for c in columns], docs[f"`{text}`"].alias("__text")).mapInArrow(work, schema)
+    return docs.select(*[docs[f"`{c}`"] for c in columns], docs[f"`{text}`"].alias(unused("__text", docs))).mapInArrow(work, schema)
 
 
 def decode(rows: DataFrame, ranks_file: str, ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
@@ -297,4 +308,4 @@ def decode(rows: DataFrame, ranks_file: str, ids: str = "token_ids", keep: list[
             out = [bytes(own.decode(np.asarray(x or [], np.int64), np.array([0, len(x or [])]))[0]) for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    return rows.select(*[rows[f"`{c}`"] for c in keep], rows[f"`{ids}`"].alias("__ids")).mapInArrow(work, schema)
+    return rows.select(*[rows[f"`{c}`"] for c in keep], rows[f"`{ids}`"].alias(unused("__ids", rows))).mapInArrow(work, schema)

@@ -17,6 +17,12 @@ def ranks_file() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +61,7 @@ def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), ranks_file(), keep=["doc_id"], ids=False)
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks_file(), keep=["doc_id"], ids=False, pattern=pattern())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
