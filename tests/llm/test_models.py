@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import bagminhash, embeddings, lm, quality, warc
 from barloom.llm._io import fresh_path
@@ -235,6 +236,31 @@ def test_near_duplicates_against_brute_force(make, monkeypatch, block):
     assert bagminhash.classes(make([])).count() == 0
 
 
+def test_near_duplicates_keep_rows_by_id_and_text(make):
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, one), (5, one + " end"), (5, other), (8, other + " end"), (5, None)]
+    kept = bagminhash.representatives(make(rows).withColumn("content", F.lit(1)).withColumn("__id", F.lit(2)))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, one), (5, other), (5, None)], key=str)
+    assert kept.columns[-2:] == ["content", "__id"]
+
+
+def test_isolated_pairs_just_above_the_threshold_are_found(make):
+    rng = random.Random(21)
+    rows, above, below = [], [], []
+    for k in range(260):
+        a = [f"w{rng.randrange(400)}" for _ in range(rng.randint(60, 200))]
+        b = list(a)
+        for _ in range(max(1, round(len(a) * rng.uniform(0.015, 0.026)))):
+            b[rng.randrange(len(b))] = f"new{rng.random()}"
+        s = jaccard([w.encode() for w in a], [w.encode() for w in b])
+        if 0.8 <= s < 0.86 or 0.74 <= s < 0.8:
+            (above if s >= 0.8 else below).append(k)
+            rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    size = {r.doc_id: r.class_size for r in bagminhash.classes(make(rows)).collect()}
+    assert len(above) > 40 and len(below) > 20
+    assert [k for k in above if size[2 * k] != 2] == [] and [k for k in below if size[2 * k] != 1] == []
+
+
 def test_signatures_estimate_weighted_jaccard():
     import pyarrow as pa
 
@@ -252,9 +278,9 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.12
 
 
-@pytest.mark.parametrize("local", [0, 1000])
-def test_components(spark, monkeypatch, local):
-    monkeypatch.setattr("barloom.llm.components.LOCAL_LINKS", local)
+@pytest.mark.parametrize("together", [7, 100_000])
+def test_components(spark, monkeypatch, together):
+    monkeypatch.setattr("barloom.llm.components.TOGETHER", together)
     rng = random.Random(1)
     none = spark.createDataFrame([], "a long, b long")
     assert components(none).count() == 0

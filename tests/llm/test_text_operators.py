@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import bpe, debruijn, exact_dedup, mixing, prefix_doubling
 from barloom.llm.queries import ranks_file
@@ -55,6 +56,32 @@ def test_exact_dedup_odd_rows(make):
     assert exact_dedup.groups(make([])).count() == 0
 
 
+def test_exact_dedup_keeps_rows_by_id_and_text(make):
+    rows = [(5, "aaa"), (9, "AAA"), (5, "bbb"), (None, "n"), (None, "n"), (None, "c"), (4, "c")]
+    df = make(rows).withColumn("__id", F.lit(1)).withColumn("digest", F.lit(2))
+    kept = exact_dedup.survivors(df)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(9, "AAA"), (5, "bbb"), (None, "n"), (None, "n"), (4, "c")], key=str)
+    assert kept.columns == df.columns
+
+
+def test_clashing_columns_pass_through(make):
+    rows = [(i, f"text {i}", "a" if i % 2 else "b") for i in range(40)]
+    df = make(rows).withColumns({c: F.lit(77) for c in ("__n", "__copy", "__source", "mix_source", "MIX_KEY", "Copy_No")})
+    out = mixing.mix(df)
+    assert [c.lower() for c in out.columns].count("copy_no") == 1
+    assert {(r["__n"], r["__copy"], r["__source"], r["mix_source"], r["MIX_KEY"]) for r in out.collect()} == {(77,) * 5}
+    coded = bpe.encode(df.withColumns({"N_Tokens": F.lit(1), "__text": F.lit("t")}), ranks_file())
+    assert [c.lower() for c in coded.columns].count("n_tokens") == 1 and {r["__text"] for r in coded.collect()} == {"t"}
+
+
+def test_another_pattern_is_refused(make):
+    import public_tokenizers as P
+
+    assert bpe.PATTERN == P.PATTERN
+    with pytest.raises(ValueError):
+        bpe.encode(make([]), ranks_file(), pattern=r"\S+")
+
+
 def test_mix_counts(make):
     rows = [(i, f"text {i} " * (1 + i % 3), "big" if i % 10 else "small") for i in range(400)] + [(None, None, None), (7, "", "big")]
     out = mixing.mix(make(rows)).collect()
