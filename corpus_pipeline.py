@@ -3,6 +3,13 @@
 quality classifier -> exact deduplication -> near-deduplication -> mixing to target weights -> BPE encoding.
 All but the last return the columns of documents; the last returns the documents' columns without the text,
 with their token ids and digests.
+
+Each stage handles odd rows as its operator's docstring states.  A null text is an
+empty one and a null doc_id is a row like any other: neither is dropped for being so,
+but empty texts are equal, so one of them passes the second stage.  Ties: of equal
+texts the largest doc_id stays, of near copies the smallest; rows that repeat the
+kept doc_id and text all stay.  Empty tables give empty results.  Columns of
+documents beyond those used pass through every stage.
 """
 
 from __future__ import annotations
@@ -12,8 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import bagminhash, bpe, exact_dedup, mixing, quality
-from barloom.llm._io import ship, staged, table
-from barloom.llm.queries import ranks_file
+from barloom.llm._io import dropped, released, ship, staged, table, written
+from barloom.llm.queries import pattern, ranks_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and digests of ids and decoded bytes."""
-    return bpe.encode(docs, ranks_file())
+    return bpe.encode(docs, ranks_file(), pattern=pattern())
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -56,9 +63,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    What a stage wrote on its way goes once its result is written, and so does the result before it.
+    """
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        since, before = written(), docs
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        released(spark, since, docs)
+        dropped(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
