@@ -20,7 +20,7 @@ from . import _kernels as K
 from ._io import ship, staged
 
 CHUNK = "chunk long, ids binary, offsets binary, body binary"
-#: Where a null doc_id stands in the order of documents: after all others.
+#: Where a null doc_id stands in the order of documents: with the largest long, after all others.
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -38,17 +38,17 @@ def chunked(docs: DataFrame, text: str, doc_id: str, most: int = K.CHUNK_BYTES)
 
         def flush() -> pa.RecordBatch:
             nonlocal at
-            ids = np.concatenate([h[0] for h in held])
+            ids = np.concatenate([h[0] for h in held]).tobytes() + np.packbits(np.concatenate([h[3] for h in held])).tobytes()
             offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[2]) for h in held]))]).astype(np.int64)
             body = squeeze.compress(np.concatenate([h[1] for h in held]).tobytes())
             at += 1
-            return pa.RecordBatch.from_arrays([pa.array([at - 1])] + [pa.array([x], pa.binary()) for x in (ids.tobytes(), offsets.tobytes(), body)], names=["chunk", "ids", "offsets", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([at - 1])] + [pa.array([x], pa.binary()) for x in (ids, offsets.tobytes(), body)], names=["chunk", "ids", "offsets", "body"])
 
         for batch in batches:
             data, offsets = K.text_buffer(batch.column(1))
-            ids = np.asarray(batch.column(0).fill_null(NULL_ID))
+            ids, nulls = np.asarray(batch.column(0).fill_null(NULL_ID)), np.asarray(batch.column(0).is_null())
             for a, b in K.chunks(offsets, most):
-                held.append((ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                held.append((ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], nulls[a:b]))
                 size += len(held[-1][1])
                 if size >= most // 2:
                     yield flush()
@@ -59,21 +59,28 @@ def chunked(docs: DataFrame, text: str, doc_id: str, most: int = K.CHUNK_BYTES)
     return staged(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(work, CHUNK), "chunks")
 
 
-def opened(ids: bytes, offsets: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, bytes and offsets of a chunk row."""
+def opened(ids: bytes, offsets: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids, bytes, offsets and null ids of a chunk row."""
     import zstandard
 
-    return np.frombuffer(ids, np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), np.frombuffer(offsets, np.int64)
+    at = np.frombuffer(offsets, np.int64)
+    n = len(at) - 1
+    nulls = np.unpackbits(np.frombuffer(ids, np.uint8, offset=8 * n), count=n).astype(bool)
+    return np.frombuffer(ids, np.int64, n), np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), at, nulls
 
 
-def each_chunk(df: DataFrame, work: Callable[..., Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
-    """work(chunk, ids, data, offsets, *other columns) for each row of a table that begins with the columns of CHUNK."""
+def each_chunk(df: DataFrame, work: Callable[..., Iterator[pa.RecordBatch] | None], schema: str, nulls: bool = False) -> DataFrame:
+    """work(chunk, ids, data, offsets, *other columns) for each row of a table that begins with the columns of CHUNK.
+
+    nulls: the ids are an Arrow array with its nulls instead of numbers alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = [batch.column(c)[i].as_py() for c in range(batch.num_columns)]
-                yield from work(row[0], *opened(*row[1:4]), *row[4:])
+                ids, data, offsets, null = opened(*row[1:4])
+                yield from work(row[0], pa.array(ids, mask=null) if nulls else ids, data, offsets, *row[4:])
 
     return df.mapInArrow(run, schema)
 
@@ -130,6 +137,11 @@ def sliding(op: Callable, x: np.ndarray, width: int) -> np.ndarray:
     """op over each run of ``width`` values, by doubling."""
     if len(x) < width:
         return x[:0]
+    if len(x) > 2 * K.BLOCK + width:
+        whole = np.empty(len(x) - width + 1, x.dtype)
+        for i in range(0, len(whole), K.BLOCK):
+            whole[i : i + K.BLOCK] = sliding(op, x[i : i + K.BLOCK + width - 1], width)
+        return whole
     have, out = 1, x
     while have * 2 <= width:
         out = op(out[: len(out) - have], out[have:])

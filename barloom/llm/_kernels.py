@@ -8,6 +8,7 @@ Python object per word.  Hashes are 64 bits wide.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,17 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Values worked on at once by long kernels: what fits the inner caches.
+BLOCK = 1 << 15
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads 64 bits over 64 bits, one to one."""
+    if x.ndim == 1 and len(x) > 2 * BLOCK:
+        out = np.empty(len(x), U64)
+        for i in range(0, len(x), BLOCK):
+            out[i : i + BLOCK] = mix(x[i : i + BLOCK])
+        return out
     x = x ^ (x >> U64(30))
     x *= U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
@@ -38,6 +48,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Name of the ordered pair of two names."""
+    if a.ndim == 1 and len(a) > 2 * BLOCK and b.ndim == 1 and len(b) == len(a):
+        out = np.empty(len(a), U64)
+        for i in range(0, len(a), BLOCK):
+            out[i : i + BLOCK] = mix(a[i : i + BLOCK] * PAIR + b[i : i + BLOCK])
+        return out
     return mix(a * PAIR + b)
 
 
@@ -142,3 +157,57 @@ def shingles(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
         nxt = words[np.minimum(first + j, max(len(words) - 1, 0))] if len(words) else np.zeros(0, U64)
         names = np.where(inside, names * PAIR + nxt, names)
     return mix(names), np.concatenate([[0], np.cumsum(counts)])
+
+
+#: Multiplier of Checks and its inverse modulo 2**64.
+_STEP = 0x9FB21C651E98DF25
+_BACK = pow(_STEP, -1, 1 << 64)
+_CODE = _rng.integers(0, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+
+
+def _powers(base: int, x: np.ndarray) -> np.ndarray:
+    """base ** x modulo 2**64, from two small tables."""
+    top = int(x.max()) if len(x) else 0
+    low, high = np.full(4096, base, U64), np.full((top >> 12) + 1, pow(base, 4096, 1 << 64), U64)
+    low[0] = high[0] = 1
+    return np.cumprod(low)[x & 4095] * np.cumprod(high)[x >> 12]
+
+
+@lru_cache(maxsize=1)
+def _run_of_powers(n: int) -> np.ndarray:
+    out = np.full(n, _STEP, U64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+class Checks:
+    """Second names of spans, from a polynomial over their symbols: any span in constant time, independent of the first names."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray | None, place: np.ndarray | None):
+        """codes: a symbol's code times its power.  Span i to j is from symbol starts[i] and place[i] up to those of j (None: i itself)."""
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(codes)])
+        self.sums, self.place = sums if starts is None else sums[starts], place
+
+    @classmethod
+    def of_bytes(cls, data: np.ndarray) -> Checks:
+        """Spans are ranges of bytes."""
+        powers = _run_of_powers(2 * CHUNK_BYTES) if len(data) <= 2 * CHUNK_BYTES else _powers(_STEP, np.arange(len(data)))
+        return cls(_CODE[data] * powers[: len(data)], None, None)
+
+    @classmethod
+    def of_words(cls, data: np.ndarray, starts: np.ndarray) -> Checks:
+        """Spans are ranges of words; the white space between them does not count."""
+        word = ~IS_SPACE[data]
+        begins = np.zeros(len(data), np.int64)
+        begins[starts] = 1
+        symbol = np.concatenate([[0], np.cumsum(word)])
+        edge = np.append(starts, len(data))
+        at = np.flatnonzero(word)
+        # a word's bytes follow a free place, so places tell where words begin
+        places = np.arange(len(at)) + np.cumsum(begins)[at]
+        powers = _run_of_powers(4 * CHUNK_BYTES)[places] if len(data) <= 2 * CHUNK_BYTES else _powers(_STEP, places)
+        return cls(_CODE[data[at]] * powers, symbol[edge], symbol[edge] + np.arange(len(edge)))
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        p, q = (a, b) if self.place is None else (self.place[a], self.place[b])
+        return mix((self.sums[b] - self.sums[a]) * _powers(_BACK, p) + (q - p).astype(U64) * MULT)

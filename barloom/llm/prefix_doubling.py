@@ -17,11 +17,15 @@ string (equal strings have equal anchors).  Then the rounds rerank what is left:
 
 In each round Spark moves the names to the buckets that own them, where they are
 sorted; a name occurs there once for each chunk of documents that has it, so a
-passage that a third of all documents hold is no hot spot.  Names have 64 bits.
-
-Null and empty texts have no bytes.  A null doc_id sorts after all others.  Rows
-with the same doc_id count as one document's: of equal strings at equal offsets both
-stay.  Matches never cross rows.
+passage that a third of all documents hold is no hot spot.  Every name goes with a
+check, a second name of another kind made from the same bytes where they stand, and
+only rows that agree in both, 128 bits, count as equal.  A bucket holds the names of
+about BUCKET_BYTES of compressed texts, however large the input is.
+
+Null and empty texts have no bytes.  A null doc_id sorts with the largest long, after
+all others.  Rows with the same doc_id count as one document's: of equal strings at
+equal offsets both stay.  Matches never cross rows.  An empty table gives an empty
+result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ from ._io import partitions, staged
 LENGTH, SEED = 100, 32
 WIDTH = LENGTH - SEED + 1
 BEFORE = LENGTH - SEED
+BUCKET_BYTES = 16 << 20
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -67,6 +72,7 @@ class Ranks:
         self.ok[K.ranges(offsets[:-1], np.maximum(doc_size - LENGTH + 1, 0))] = True
         self.anchors, self.floor = C.minimizers(self.h32, self.ok, WIDTH) if n >= LENGTH else (np.zeros(0, np.int64), np.zeros(0, K.U64))
         self.names = self.h32[self.anchors]
+        self.checks = K.Checks.of_bytes(data)
         self.doc = np.searchsorted(offsets, self.anchors, "right") - 1
 
     @staticmethod
@@ -78,8 +84,8 @@ class Ranks:
         h64 = K.pair(self.h32[at], self.h32[at + 32])
         return K.pair(K.pair(h64, self.h32[at + 64]), self.w4[at + 96] & K.U64(0xFFFFFFFF))
 
-    def reach(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Names of all bytes that strings through the anchors can reach."""
+    def reach(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names and checks of all bytes that strings through the anchors can reach."""
         left, right = np.maximum(at - BEFORE, self.offsets[doc]), np.minimum(at + LENGTH, self.offsets[doc + 1])
         full = (at - left == BEFORE) & (right - at == LENGTH)
         out = np.zeros(len(at), K.U64)
@@ -90,29 +96,52 @@ class Ranks:
         for i in np.flatnonzero(~full).tolist():
             body = raw[left[i] : right[i]] + int(at[i] - left[i]).to_bytes(2, "little")
             out[i] = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little")
-        return out
-
-
-def firsts(names: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct names, the index of the earliest (id, pos) of each, and which name each row has."""
-    order = np.lexsort((pos, ids, names))
-    s = names[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-    which = np.empty(len(names), np.int64)
+        return out, K.pair(self.checks.between(left, right), (at - left).astype(K.U64))
+
+
+def firsts(names: tuple[np.ndarray, ...], *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index of the first row, by place, of each distinct combination of names (in order), and which of those each row has."""
+    order = np.lexsort((*place[::-1], *names[::-1]))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in names:
+        s = x[order]
+        new[1:] |= s[1:] != s[:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def distinct(key: np.ndarray, names: tuple[np.ndarray, ...], *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As firsts(names, *place), in the order of key, a name of all names, where rows come in the order of place."""
+    for i in range(len(place)):
+        same = np.logical_and.reduce([x[1:] == x[:-1] for x in place[:i]]) if i else True
+        if (same & (place[i][1:] < place[i][:-1])).any():
+            return firsts((key, *names), *place)
+    order = np.argsort(key)
+    s = key[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    for x in names:
+        s = x[order]
+        if (~new[1:] & (s[1:] != s[:-1])).any():  # one key for two
+            return firsts((key, *names), *place)
+    which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
-    return s[new], order[new], which
+    return (np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order), which
 
 
-def repeated(asker: np.ndarray, names: np.ndarray, twice: np.ndarray) -> np.ndarray:
+def repeated(asker: np.ndarray, names: np.ndarray, checks: np.ndarray, twice: np.ndarray) -> np.ndarray:
     """1 if a name occurs more than once anywhere."""
-    _, inv, count = np.unique(names, return_inverse=True, return_counts=True)
-    flagged = np.bincount(inv, twice, minlength=len(count)) > 0
-    return ((count > 1) | flagged)[inv]
+    _, which = firsts((names, checks))
+    count = np.bincount(which)
+    flagged = np.bincount(which, twice, minlength=len(count)) > 0
+    return ((count > 1) | flagged)[which]
 
 
-def decided(asker: np.ndarray, names: np.ndarray, reach: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def decided(asker: np.ndarray, names: np.ndarray, reach: np.ndarray, checks: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Bit 0: the same reach starts earlier elsewhere; bit 1: the prefix has several reaches."""
-    _, first, which = firsts(K.pair(names, reach), ids, pos)
+    first, which = firsts((names, reach, checks), ids, pos)
     f_id, f_pos = ids[first][which], pos[first][which]
     earlier = (f_id < ids) | ((f_id == ids) & (f_pos < pos))
     _, own = np.unique(names[first], return_inverse=True)
@@ -120,32 +149,34 @@ def decided(asker: np.ndarray, names: np.ndarray, reach: np.ndarray, ids: np.nda
     return earlier.astype(np.uint8) | several.astype(np.uint8) << 1
 
 
-def started(asker: np.ndarray, names: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def started(asker: np.ndarray, names: np.ndarray, checks: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """1 if the same string starts earlier elsewhere."""
-    _, first, which = firsts(names, ids, pos)
+    first, which = firsts((names, checks), ids, pos)
     f_id, f_pos = ids[first][which], pos[first][which]
     return (f_id < ids) | ((f_id == ids) & (f_pos < pos))
 
 
-def first_round(r: Ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct names of anchors, whether each occurs twice here, and which name each anchor has."""
-    names, which, count = np.unique(r.names, return_inverse=True, return_counts=True)
-    return names, (count > 1).astype(np.uint8), which
+def first_round(r: Ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct names and checks of anchors, whether each occurs twice here, and which one each anchor has."""
+    checks = r.checks.between(r.anchors, r.anchors + SEED)
+    first, which = distinct(r.names, (checks,))
+    return r.names[first], checks[first], (np.bincount(which) > 1).astype(np.uint8), which
 
 
 def second_round(r: Ranks, ids: np.ndarray, said: list[dict] | None, buckets: int):
-    """Repeated anchors; the distinct (name, reach) among them with their earliest place; which one each has."""
-    names, _, which = first_round(r)
+    """Repeated anchors; the distinct (name, reach, check) among them with their earliest place; which one each has."""
+    names, _, _, which = first_round(r)
     rep = np.flatnonzero(C.heard(names, buckets, said)[which])
     at, doc = r.anchors[rep], r.doc[rep]
-    reach = r.reach(at, doc)
-    _, first, own = firsts(K.pair(r.names[rep], reach), ids[doc], at - r.offsets[doc])
-    return at, doc, first, own, r.names[rep][first], reach[first], ids[doc][first], (at - r.offsets[doc])[first]
+    reach, checks = r.reach(at, doc)
+    pos = at - r.offsets[doc]
+    first, own = distinct(K.pair(r.names[rep], reach), (r.names[rep], reach, checks), ids[doc], pos)
+    return at, doc, first, own, r.names[rep][first], reach[first], checks[first], ids[doc][first], pos[first]
 
 
 def third_round(r: Ranks, ids: np.ndarray, said1: list[dict] | None, said2: list[dict] | None, buckets: int):
-    """A mask of bytes that round two removes; undecided strings: places, distinct names with earliest place, which."""
-    at, doc, first, own, names, reach, _, _ = second_round(r, ids, said1, buckets)
+    """A mask of bytes that round two removes; undecided strings: places, distinct names and checks with earliest place, which."""
+    at, doc, first, own, names, *_ = second_round(r, ids, said1, buckets)
     # questions of one name stand together in their bucket in the order asked
     bits = C.heard(names, buckets, said2)[own]
     is_first = np.zeros(len(at), bool)
@@ -164,39 +195,41 @@ def third_round(r: Ranks, ids: np.ndarray, said1: list[dict] | None, said2: list
     s = K.ranges(lo, count)
     s = np.unique(s[r.floor[s] == np.repeat(r.h32[l_at], count)])
     s_doc = np.searchsorted(r.offsets, s, "right") - 1
-    names, first, own = firsts(r.strings(s), ids[s_doc], s - r.offsets[s_doc])
-    return np.cumsum(gone[:-1]) > 0, s, names, first, own, ids[s_doc][first], (s - r.offsets[s_doc])[first]
+    name, check, pos = r.strings(s), r.checks.between(s, s + LENGTH), s - r.offsets[s_doc]
+    first, own = distinct(name, (check,), ids[s_doc], pos)
+    return np.cumsum(gone[:-1]) > 0, s, name[first], check[first], first, own, ids[s_doc][first], pos[first]
 
 
 def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kept_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; kept_text: also the remaining bytes."""
     spark = docs.sparkSession
     chunks = C.chunked(docs, text, doc_id)
-    buckets = 2 * partitions(spark)
+    size = chunks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    buckets = max(2 * partitions(spark), -(-size // BUCKET_BYTES))
 
     def ask1(chunk, ids, data, offsets) -> Iterator[pa.RecordBatch]:
-        names, twice, _ = first_round(Ranks(data, offsets))
-        yield from C.questions(chunk, names, buckets, twice)
+        names, checks, twice, _ = first_round(Ranks(data, offsets))
+        yield from C.questions(chunk, names, buckets, checks, twice)
 
-    said1 = staged(C.answers(C.each_chunk(chunks, ask1, C.question_schema(1)), repeated, [np.uint8]), "ranks-1")
+    said1 = staged(C.answers(C.each_chunk(chunks, ask1, C.question_schema(2)), repeated, [K.U64, np.uint8]), "ranks-1")
 
     def ask2(chunk, ids, data, offsets, said) -> Iterator[pa.RecordBatch]:
-        _, _, _, _, names, reach, first_id, first_pos = second_round(Ranks(data, offsets), ids, said, buckets)
-        yield from C.questions(chunk, names, buckets, reach, first_id, first_pos.astype(np.int64))
+        _, _, _, _, names, reach, checks, first_id, first_pos = second_round(Ranks(data, offsets), ids, said, buckets)
+        yield from C.questions(chunk, names, buckets, reach, checks, first_id, first_pos.astype(np.int64))
 
-    asked = C.each_chunk(C.with_answers(chunks, said1), ask2, C.question_schema(3))
-    said2 = staged(C.answers(asked, decided, [K.U64, np.int64, np.int64]), "ranks-2")
+    asked = C.each_chunk(C.with_answers(chunks, said1), ask2, C.question_schema(4))
+    said2 = staged(C.answers(asked, decided, [K.U64, K.U64, np.int64, np.int64]), "ranks-2")
 
     def ask3(chunk, ids, data, offsets, said_1, said_2) -> Iterator[pa.RecordBatch]:
-        _, _, names, _, _, first_id, first_pos = third_round(Ranks(data, offsets), ids, said_1, said_2, buckets)
-        yield from C.questions(chunk, names, buckets, first_id, first_pos.astype(np.int64))
+        _, _, names, checks, _, _, first_id, first_pos = third_round(Ranks(data, offsets), ids, said_1, said_2, buckets)
+        yield from C.questions(chunk, names, buckets, checks, first_id, first_pos.astype(np.int64))
 
-    asked = C.each_chunk(C.with_answers(chunks, said1, said2), ask3, C.question_schema(2))
-    said3 = staged(C.answers(asked, started, [np.int64, np.int64]), "ranks-3")
+    asked = C.each_chunk(C.with_answers(chunks, said1, said2), ask3, C.question_schema(3))
+    said3 = staged(C.answers(asked, started, [K.U64, np.int64, np.int64]), "ranks-3")
 
     def finish(chunk, ids, data, offsets, said_1, said_2, said_3) -> Iterator[pa.RecordBatch]:
         r = Ranks(data, offsets)
-        gone, s, names, first, own, _, _ = third_round(r, ids, said_1, said_2, buckets)
+        gone, s, names, _, first, own, _, _ = third_round(r, np.asarray(ids.fill_null(C.NULL_ID)), said_1, said_2, buckets)
         is_first = np.zeros(len(s), bool)
         is_first[first] = True
         s = s[~is_first | (C.heard(names, buckets, said_3)[own] > 0)]
@@ -211,8 +244,8 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kept_te
         left = data[~gone].tobytes()
         at = np.concatenate([[0], np.cumsum(~gone)])[offsets].tolist()
         rest = [left[a:b] for a, b in zip(at[:-1], at[1:])]
-        cols = [pa.array(ids, mask=ids == C.NULL_ID), pa.array(np.diff(offsets)), pa.array(total(gone)), pa.array(total(begins)), pa.array([hashlib.sha256(x).hexdigest() for x in rest])]
+        cols = [ids, pa.array(np.diff(offsets)), pa.array(total(gone)), pa.array(total(begins)), pa.array([hashlib.sha256(x).hexdigest() for x in rest])]
         names_ = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         yield pa.RecordBatch.from_arrays(cols + [pa.array(rest, pa.binary())] * kept_text, names=names_ + ["kept"] * kept_text)
 
-    return C.each_chunk(C.with_answers(chunks, said1, said2, said3), finish, OUT + ", kept binary" * kept_text)
+    return C.each_chunk(C.with_answers(chunks, said1, said2, said3), finish, OUT + ", kept binary" * kept_text, nulls=True)
