@@ -3,7 +3,7 @@
 A bigram model is learned from the training documents.  Counts are quantised to
 powers of BASE; a key whose quantised count is q is entered q times, as
 (key, 1) ... (key, q), so its count is found again by probing (key, 1), (key, 2)
-... until one is missing.  The filter holds every bigram, and for each context the
+... until one is missing.  An entry is a pattern of PROBES bits in one 64-bit word.  The filter holds every bigram, and for each context the
 mass S of its bigrams and the back-off mass B (the number of distinct successors, as
 in Witten-Bell smoothing):
 
@@ -11,7 +11,8 @@ in Witten-Bell smoothing):
 
 Keys of one context share a segment of the filter, so every reducer builds its
 own segment; segments are packed into shards of at most SHARD_BYTES, and each
-shard is broadcast for one pass over the texts.  The unigram filter is broadcast
+shard is broadcast for one pass over the texts, whose result is written before the
+next shard is fetched, so one shard at a time is in memory.  The unigram filter is broadcast
 with each; beyond UNIGRAM_BYTES it is split likewise, and passes of its own write the
 level of every token beside the texts.  The counts of contexts among the HOT most frequent words are split over
 all reducers, as one word may precede a third of all tokens.
@@ -49,6 +50,15 @@ _EDGES = BASE ** np.arange(0, 110)
 VALUES = np.array([0.0] + [(np.ceil(a - 1e-9) + max(np.ceil(a - 1e-9), np.ceil(b - 1e-9) - 1)) / 2 for a, b in zip(_EDGES[:-1], _EDGES[1:])])
 
 
+def _patterns() -> np.ndarray:
+    """Words with PROBES different bits set, by a fixed rule."""
+    draws = np.argsort(K.mix(np.arange((1 << 14) * 64, dtype=K.U64) ^ K.U64(0xB10F)).reshape(-1, 64), axis=1)[:, :PROBES]
+    return np.bitwise_or.reduce(K.U64(1) << draws.astype(K.U64), axis=1)
+
+
+PATTERNS = _patterns()
+
+
 def quantised(c: np.ndarray) -> np.ndarray:
     """0 for counts under 1, else 1 + floor(log(c) to BASE)."""
     return np.searchsorted(_EDGES, np.asarray(c, float) + 1e-9, "right")
@@ -79,50 +89,45 @@ def contexts(toks: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
-def bits_of(keys: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-    a, b = K.mix(keys ^ K.U64(0xA5A5)), K.mix(keys ^ K.U64(0x5A5A)) | K.U64(1)
-    for i in range(PROBES):
-        yield starts + ((a + K.U64(i) * b) % sizes).astype(np.int64)
+def entries(keys: np.ndarray, levels: np.ndarray | int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each entry (key, level) in its segment of so many words, and its bits there."""
+    h = K.pair(keys, np.asarray(levels, K.U64))
+    return ((h >> K.U64(32)) * np.asarray(words, K.U64) >> K.U64(32)).astype(np.int64), PATTERNS[h & K.U64(len(PATTERNS) - 1)]
 
 
 def segment(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Packed bits with each key entered once for each of its levels."""
-    entries = int(levels.sum())
-    size = max(64, -(-entries * BITS // 8) * 8)
-    bits = np.zeros(size, np.uint8)
-    rep = np.repeat(keys, levels)
-    level = K.ranges(np.ones(len(keys), np.int64), levels)
-    for at in bits_of(K.pair(rep, level.astype(K.U64)), K.U64(size), np.int64(0)):
-        bits[at] = 1
-    return np.packbits(bits)
+    """Words of bits with each key entered once for each of its levels."""
+    words = max(1, -(-int(levels.sum()) * BITS // 64))
+    at, bits = entries(np.repeat(keys, levels), K.ranges(np.ones(len(keys), np.int64), levels), words)
+    out = np.zeros(words, K.U64)
+    order = np.argsort(at)
+    at, first = np.unique(at[order], return_index=True)
+    if len(at):
+        out[at] = np.bitwise_or.reduceat(bits[order], first)
+    return out
 
 
 class Filter:
     """Segments side by side; probes count up until a level is missing."""
 
     def __init__(self, buckets: int, ids: np.ndarray, blobs: list[bytes]):
-        lens = np.zeros(buckets, np.int64)
-        lens[ids] = [len(b) for b in blobs]
+        self.words = np.zeros(buckets, np.int64)
+        self.words[ids] = [len(b) // 8 for b in blobs]
         order = np.argsort(ids, kind="stable")
-        self.bits = np.frombuffer(b"".join(blobs[i] for i in order), np.uint8)
-        self.sizes, self.starts = lens * 8, np.concatenate([[0], np.cumsum(lens)[:-1]]) * 8
-        self.has = lens > 0
+        self.bits = np.frombuffer(b"".join(blobs[i] for i in order), K.U64)
+        self.starts = np.concatenate([[0], np.cumsum(self.words)[:-1]])
 
     def count(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Levels found for each key."""
         out = np.zeros(len(keys), np.int64)
-        live = np.flatnonzero(self.has[bucket])
+        live = np.flatnonzero(self.words[bucket])
+        keys, words, starts = keys[live], self.words[bucket[live]].astype(K.U64), self.starts[bucket[live]]
         level = 0
         while len(live):
             level += 1
-            names = K.pair(keys[live], np.full(len(live), level, K.U64))
-            sizes, starts = self.sizes[bucket[live]].astype(K.U64), self.starts[bucket[live]]
-            a, b = K.mix(names ^ K.U64(0xA5A5)), K.mix(names ^ K.U64(0x5A5A)) | K.U64(1)
-            here = np.arange(len(live))
-            for i in range(PROBES):
-                at = starts[here] + ((a[here] + K.U64(i) * b[here]) % sizes[here]).astype(np.int64)
-                here = here[(self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
-            live = live[here]
+            at, bits = entries(keys, level, words)
+            found = self.bits[starts + at] & bits == bits
+            live, keys, words, starts = live[found], keys[found], words[found], starts[found]
             out[live] = level
         return out
 
@@ -264,6 +269,7 @@ def fit(docs: DataFrame) -> dict:
 
     counted = docs.where(~F.col("held_out")).select("text").mapInArrow(pairs, "bucket int, ctx binary, runs binary, codes binary, counts binary")
     segments = staged(counted.groupBy("bucket").applyInArrow(build, "bucket int, bits binary, mass binary"), "lm-segments")
+
     def word_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = bucket_of(np.asarray(batch.column(0)).view(K.U64), buckets).astype(np.int32)
@@ -271,14 +277,22 @@ def fit(docs: DataFrame) -> dict:
 
     by_word = words.mapInArrow(word_buckets, "name long, c long, bucket int")
     word_segments = staged(by_word.groupBy("bucket").applyInArrow(build_words, "bucket int, bits binary"), "lm-word-segments")
-    word_sizes = sorted(tuple(r) for r in word_segments.select("bucket", F.octet_length("bits")).collect())
+    word_sizes, sizes = (sorted(tuple(r) for r in x.select("bucket", F.octet_length("bits")).collect()) for x in (word_segments, segments))
+
+    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(hot), 2))
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                part = np.frombuffer(blob).reshape(-1, 3)
+                np.add.at(total, part[:, 0].astype(np.int64), part[:, 1:])
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at, 0]), pa.array(total[at, 1])], names=["at", "s", "b"])
+
+    # one row for each hot context reaches the driver; the masses are halves of whole numbers, so their order does not matter
     mass = np.zeros((len(hot), 2))
-    sizes = []
-    for bucket, length, blob in segments.select("bucket", F.octet_length("bits"), "mass").collect():
-        sizes.append((bucket, length))
-        part = np.frombuffer(blob).reshape(-1, 3)
-        np.add.at(mass, part[:, 0].astype(np.int64), part[:, 1:])
-    return {"n": int(n), "v": int(v), "words": words, "segments": segments, "word_segments": word_segments, "word_shards": packed(word_sizes, UNIGRAM_BYTES), "shards": packed(sorted(sizes), SHARD_BYTES), "hot": hot, "mass": mass, "buckets": buckets, "frequent": (names[order], counts[order])}
+    for at, kept, back in segments.select("mass").mapInArrow(masses, "at long, s double, b double").groupBy("at").agg(F.sum("s"), F.sum("b")).collect():
+        mass[at] = kept, back
+    return {"n": int(n), "v": int(v), "words": words, "segments": segments, "word_segments": word_segments, "word_shards": packed(word_sizes, UNIGRAM_BYTES), "shards": packed(sizes, SHARD_BYTES), "hot": hot, "mass": mass, "buckets": buckets, "frequent": (names[order], counts[order])}
 
 
 def packed(sizes: list[tuple[int, int]], most: int) -> list[list[tuple[int, int]]]:
@@ -413,12 +427,16 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                     tf = np.diff(np.append(new, len(key)))
                     yield rows_of(ids[key[new] // len(word)], None, 0, len(new), name=word[key[new] % len(word)].view(np.int64), tf=tf)
 
-        passes.append(rows.mapInArrow(work, ROWS))
+        found = rows.mapInArrow(work, ROWS)
+        if len(model["shards"]) > 1:
+            found = staged(found.select("rid", "score") if k else found, "lm-pass")
+            shared.destroy()
+        passes.append(found)
     found = passes[0].join(model["words"].withColumnRenamed("name", "__name"), F.col("name") == F.col("__name"), "left")
     rare_log = F.col("tf") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + 1) / F.lit(floor))
     out = found.select("rid", "doc_id", "held_out", "tokens", (F.col("known") + F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known"), (F.col("base") + F.coalesce(rare_log, F.lit(0.0))).alias("base"), "score")
     for more in passes[1:]:
-        out = out.unionByName(more.select(out.columns))
+        out = out.unionByName(more, allowMissingColumns=True)
     out = out.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.drop("rid")
 
