@@ -31,17 +31,18 @@ from . import _kernels as K
 from ._io import ship, staged
 from .components import components, joins
 
-TREES, LEAF, SPILL, DEPTH, SAMPLE, BLOCK, ROUNDS = 4, 256, 0.035, 6, 4096, 512, 12
+TREES, LEAF, SPILL, DEPTH, SAMPLE, BLOCK, ROUNDS = 8, 64, 0.035, 6, 4096, 2048, 12
 THRESHOLD = 0.93
 #: Rows of a node that one task splits.
 PIECE = 4096
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of equally long float lists, as doubles."""
+    """Rows of equally long float lists, as doubles, each scaled by a power of two so that squares neither overflow nor vanish."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+    x = np.asarray(column.flatten(), float).reshape(len(column), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
