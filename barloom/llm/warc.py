@@ -2,13 +2,16 @@
 
 Each archive begins with one skippable frame (magic 0x184D2A5D) that embeds a
 dictionary built from the archive's own first records; every record is then a
-Zstandard frame of its own, compressed with that dictionary, so a record can be
-read from its offset and the whole file is a plain sequence of frames.
+Zstandard frame of its own, compressed with that dictionary, so the whole file is a
+plain sequence of frames and a record can be read alone, by record_at() from the
+offset that the manifest gives.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the
 smallest page_id is a response and the others revisit it; smaller payloads are
 all responses.  Payloads are compared by SHA-256 and length.  Only narrow rows
-are aggregated, and copies are folded map-side before they meet.
+are aggregated, and copies are folded map-side before they meet; what a payload's
+copies learn is dealt over ``salts`` tasks, so a payload that a third of all pages
+share is no hot spot.
 
 Nulls: a null html is an empty payload; a null url gives no target URI; a row
 with a null page_id revisits if a row with an id has its payload, else it is a
@@ -26,6 +29,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,17 +44,24 @@ REVISIT_LEAST = 100
 ARCHIVE_BYTES = 32 << 20
 DICT_BYTES, SAMPLE_BYTES = 64 << 10, 3 << 20
 DATE = "2024-01-01T00:00:00Z"
-MANIFEST = "path string, records long, bytes long"
+MANIFEST = "path string, records long, bytes long, offsets array<long>"
+#: At most 63: the salts of a payload are the bits of one long.
+SALTS = 32
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _TAG = 0x7061676549640000 << 64
 
 
-def typed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_LEAST) -> DataFrame:
+def typed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_LEAST, salts: int = SALTS) -> DataFrame:
     """page_id, url, payload (string), payload_bytes, payload_digest, record_type, refers_to for every row."""
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    first = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes")).agg(F.min("page_id").alias("__first"))
-    rows = rows.join(first, (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") == F.col("__bytes")), "left")
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    # the smallest page of each payload, once for each salt that its pages have
+    first = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes"))
+    first = first.agg(F.min("page_id").alias("__first"), F.bit_or(F.expr("shiftleft(1L, __salt)")).alias("__salts"))
+    spread = F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.getbit(F.col("__salts"), s) == 1)
+    first = first.select("__digest", "__bytes", "__first", F.explode(spread).alias("__s"))
+    rows = rows.join(first, (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") == F.col("__bytes")) & (F.col("__salt") == F.col("__s")), "left")
     again = F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first"))
     return rows.select(
         "page_id", "url", F.when(again, F.lit("")).otherwise(F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
@@ -101,13 +112,23 @@ def dictionary(records: list[bytes]) -> bytes:
         return b"".join(sample)[-DICT_BYTES:]
 
 
-def pack(records: list[bytes]) -> bytes:
-    """A whole archive."""
+def pack(records: list[bytes]) -> tuple[bytes, list[int]]:
+    """A whole archive, and the offset of each record's frame in it."""
     import zstandard
 
     raw = dictionary(records)
     cctx = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=True)
-    return b"".join([struct.pack("<II", SKIPPABLE, len(raw)), raw, *map(cctx.compress, records)])
+    frames = [struct.pack("<II", SKIPPABLE, len(raw)) + raw, *map(cctx.compress, records)]
+    return b"".join(frames), list(accumulate(map(len, frames[:-1])))
+
+
+def record_at(archive: bytes, offset: int) -> bytes:
+    """One WARC record, from the dictionary frame and the record's own alone."""
+    import zstandard
+
+    _, size = struct.unpack_from("<II", archive)
+    dctx = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(archive[8 : 8 + size]))
+    return dctx.decompressobj().decompress(memoryview(archive)[offset:])
 
 
 def unpack(archive: bytes) -> Iterator[tuple]:
@@ -148,10 +169,10 @@ def write(records: DataFrame, path: str) -> DataFrame:
         store.create_dir(top, recursive=True)
 
         def flush(rows: list[bytes]) -> pa.RecordBatch:
-            name, content = f"{top}/{uuid.uuid4().hex}.warc.zst", pack(rows)
+            name, (content, offsets) = f"{top}/{uuid.uuid4().hex}.warc.zst", pack(rows)
             with store.open_output_stream(name, compression=None) as f:
                 f.write(content)
-            return pa.RecordBatch.from_pydict({"path": [name], "records": [len(rows)], "bytes": [len(content)]})
+            return pa.RecordBatch.from_pydict({"path": [name], "records": [len(rows)], "bytes": [len(content)], "offsets": [offsets]})
 
         held, size = [], 0
         for batch in batches:
