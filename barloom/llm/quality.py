@@ -2,8 +2,8 @@
 
 Document statistics (character classes, word and line shapes, repetition) are
 standardised and mapped by random Fourier features, which approximate a Gaussian
-kernel.  Every partition sums its own normal equations; the sums meet in a small
-tree and the driver solves one ridge system of fixed size.  Scores of rows held
+kernel.  Every partition sums its own normal equations; the sums meet in a tree of
+FAN_IN sums a node and the driver solves one ridge system of fixed size.  Scores of rows held
 out from their own fold are then calibrated by isotonic regression on a fixed
 number of bins.
 
@@ -13,7 +13,9 @@ used; none are sampled.
 
 Nulls: a null text is empty; null labels are skipped; several labels of a row all
 count; a row with a null doc_id is never learned from.  Empty texts get a score like any other.
-Without any label every score is 0.5.  Repeated rows are scored alike.
+Without any label every score is 0.5.  Repeated rows are scored alike.  An empty
+table gives an empty result; further columns are not looked at, and pass through
+accepted() unchanged.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from ._io import ship, staged
 
 WIDTH, RIDGE, SEED, FOLDS, BINS = 256, 1e-3, 6, 3, 2048
 HELD_OUT_OF, HELD_OUT = 3, 1
+#: Sums that one task of pooled() adds up.
+FAN_IN = 64
 
 #: Classes of bytes: 0 control, 1 blank, 2 newline, 3 lower, 4 upper, 5 digit, 6 stop, 7 pause, 8 exclamation, 9 mark, 10 other punctuation, 11 non-ASCII.
 _CLASS = np.zeros(256, np.uint8)
@@ -70,7 +74,6 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     l_ends = np.append(l_starts[1:], len(data))
     l_doc = np.searchsorted(offsets, l_starts, "right") - 1
     lines = np.bincount(l_doc, minlength=n)
-    line_hash = K.mix(l_doc.astype(K.U64)) * K.U64(0)
     cum = np.concatenate([np.zeros(1, K.U64), np.cumsum(names * K.MULT)])
     w_at = np.searchsorted(starts, np.append(l_starts, len(data)))
     line_hash = K.mix(cum[w_at[1:]] - cum[w_at[:-1]])
@@ -149,7 +152,7 @@ def matrix(column: pa.Array, width: int = N_FEATURES) -> np.ndarray:
 
 
 def pooled(df: DataFrame, blobs: list[str]) -> list[np.ndarray]:
-    """Sum equally shaped double arrays, one row a partition, by a tree of two levels; one row reaches the driver."""
+    """Sum equally shaped double arrays, one row a partition, by a tree; one row reaches the driver."""
     names = [x.split()[0] for x in blobs]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +165,11 @@ def pooled(df: DataFrame, blobs: list[str]) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in total], names=names)
 
     schema = ", ".join(f"{x} binary" for x in names)
-    rows = df.repartition(8).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema).collect()
+    left = df.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // FAN_IN)
+        df = df.repartition(left).mapInArrow(add, schema)
+    rows = df.mapInArrow(add, schema).collect()
     return [np.frombuffer(rows[0][x]) for x in names] if rows else []
 
 
