@@ -51,6 +51,32 @@ def test_lm_base_is_exact_and_score_is_better(make):
     assert lm.score(make([])).count() == 0
 
 
+def test_lm_score_is_the_smoothed_bigram_model(make):
+    rows = texts(3) + [(900, None), (901, "")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    c, g = collections.Counter(), collections.defaultdict(collections.Counter)
+    seqs = {i: [*words(t), "end"] for i, t in rows}
+    for i, toks in seqs.items():
+        if not held(i):
+            c.update(toks)
+            for h, w in zip(["end", *toks], toks):
+                g[h][w] += 1
+    n, v = sum(c.values()), len(c)
+    value = lambda x: float(lm.VALUES[int(lm.quantised(np.array(x)))])
+    hot = {w for w, _ in c.most_common(lm.HOT)}  # all words here: their masses are exact sums
+    assert len(c) <= lm.HOT and hot
+    diffs = []
+    for r in lm.score(make(rows)).collect():
+        want = 0.0
+        toks = seqs[r.doc_id]
+        for h, w in zip(["end", *toks], toks):
+            s, b = sum(map(value, g[h].values())), max(len(g[h]), 1)
+            want += math.log10(min(1.0, (min(value(g[h][w]), s) + b * (value(c[w]) + 1) / (n + v + 1)) / (s + b)))
+        diffs.append((r.score - want) / len(toks))
+    # a filter errs upwards, for a few keys in a hundred
+    assert np.median(np.abs(diffs)) < 0.02 and np.mean(diffs) < 0.02 and np.mean(np.abs(diffs) < 1e-9) > 0.1
+
+
 def test_lm_shards_give_the_rows_and_scores_of_one(make, monkeypatch):
     rows = texts() + [(3, "a b"), (900, None), (None, "a b")]
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
@@ -98,7 +124,7 @@ def test_lm_filter_never_loses_counts():
     found = f.count(keys, np.full(3000, 2))
     assert (found >= levels).all() and (found == levels).mean() > 0.95
     other = rng.integers(0, 2**63, 3000).astype(np.uint64)
-    assert (f.count(other, np.full(3000, 2)) > 0).mean() < 0.03 and (f.count(other, np.zeros(3000, int)) == 0).all()
+    assert (f.count(other, np.full(3000, 2)) > 0).mean() < 0.04 and (f.count(other, np.zeros(3000, int)) == 0).all()
 
 
 def test_quality_held_out_accuracy(spark, make):
@@ -121,6 +147,68 @@ def test_quality_held_out_accuracy(spark, make):
     assert quality.score(make([]), labels).count() == 0
 
 
+def test_quality_against_brute_force(spark, make):
+    """The same model from all rows at once: statistics, ridge by least squares, isotonic values by minimax."""
+    rng = random.Random(8)
+    rows, marks = [], {}
+    for i in range(400):
+        good = rng.random() < 0.6
+        body = [("".join(rng.choice("aeiounst") for _ in range(rng.randint(2, 8)))) + ("" if good or rng.random() < 0.7 else "#") for _ in range(rng.randint(5, 60))]
+        rows.append((i, " ".join(body)))
+        marks[i] = int(good if rng.random() < 0.9 else not good)
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score(make(rows), labels).collect()}
+
+    import pyarrow as pa
+
+    from barloom.llm import _kernels as K
+
+    data, offsets = K.text_buffer(pa.array([t for _, t in rows]))
+    x = quality.statistics(data, offsets).astype(np.float32).astype(float)
+    z = quality.fourier(np.clip((x - x.mean(0)) / np.sqrt(np.maximum((x * x).mean(0) - x.mean(0) ** 2, 1e-8)), -4, 4))
+    train = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows])
+    y = np.array([marks[i] for i, _ in rows], float)
+    fold = np.array([r.f for r in spark.range(len(rows)).select(F.pmod(F.xxhash64("id"), F.lit(quality.FOLDS)).cast("int").alias("f")).collect()])
+
+    def ridge(own):
+        w = np.sqrt(quality.RIDGE * own.sum() / quality.WIDTH)
+        return np.linalg.lstsq(np.vstack([z[own], w * np.eye(z.shape[1])]), np.concatenate([y[own], np.zeros(z.shape[1])]), rcond=None)[0]
+
+    raw = z @ ridge(train)
+    out_of_fold = np.array([z[i] @ ridge(train & (fold != fold[i])) for i in range(len(rows))])
+    at = np.clip(((out_of_fold + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = sorted(set(at[train]))
+    mean = np.array([y[train & (at == b)].mean() for b in bins])
+    count = np.array([(train & (at == b)).sum() for b in bins])
+    place = np.array([out_of_fold[train & (at == b)].mean() for b in bins])
+    avg = lambda i, j: (mean[i : j + 1] * count[i : j + 1]).sum() / count[i : j + 1].sum()
+    iso = np.array([max(min(avg(i, j) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))])
+    knots = []
+    for u in dict.fromkeys(np.round(iso, 10)):
+        own = np.abs(iso - u) < 1e-9
+        knots.append((np.average(place[own], weights=count[own]), u))
+    want = np.interp(raw, [k for k, _ in knots], [u for _, u in knots])
+    assert max(abs(got[i] - w) for (i, _), w in zip(rows, want)) < 1e-5
+
+
+def test_warc_record_alone_and_very_long(spark):
+    body = "".join(chr(97 + (i * i) % 26) for i in range(1000)) * 40_000  # 40 MB: longer than an archive's aim
+    df = spark.createDataFrame([(1, "u", "<p>one " * 40), (2, "u", body), (3, "u", body), (4, "u", "<p>four " * 40)], "page_id long, url string, html string")
+    path = fresh_path(spark, "test-warc")
+    manifest = warc.write(warc.typed(df), path)
+    got = {r.page_id: r for r in warc.read(manifest, path).collect()}
+    assert {i: (r.record_type, r.refers_to, r.payload_bytes) for i, r in got.items()} == {1: ("response", None, 280), 2: ("response", None, len(body)), 3: ("revisit", 2, len(body)), 4: ("response", None, 320)}
+    seen = set()
+    for m in manifest.collect():
+        raw = open(m.path, "rb").read()
+        assert len(m.offsets) == m.records
+        for offset in m.offsets:
+            one = warc.record_at(raw, offset)
+            assert one.startswith(b"WARC/1.1\r\n")
+            seen.add(warc.page_of(re.search(rb"WARC-Record-ID: (\S+)", one).group(1).decode()))
+    assert seen == {1, 2, 3, 4}
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(2)
     long = "<p>" + "x" * 200_000
@@ -193,6 +281,29 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_recall_of_the_forest_as_it_is(spark):
+    """Default parameters on one label of 1,200 vectors, well over a leaf: pairs just over the threshold."""
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((600, 24))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    c = rng.uniform(0.931, 0.95, 600)[:, None]
+    b = rng.standard_normal((600, 24))
+    b -= (a * b).sum(1)[:, None] * a
+    x = np.vstack([a, a * c + b / np.linalg.norm(b, axis=1)[:, None] * np.sqrt(1 - c * c)])
+    hit = x @ x.T >= 0.93
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    assert len(x) > 4 * embeddings.LEAF and sum(got.values()) >= 0.95 * hit.sum() and all(got[i] <= k for i, k in enumerate(hit.sum(1)))
+
+
+def test_embeddings_of_extreme_size(spark):
+    one = [1.0, 2.0, -3.0]
+    rows = [(1, [v * 1e200 for v in one], 0), (2, [v * 1e-200 for v in one], 0), (3, one, 0), (4, [3.0, -1.0, 1.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 def jaccard(a, b):
     x, y = (collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (a, b))
     both = sum((x & y).values())

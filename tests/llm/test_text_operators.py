@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,55 @@ def test_repeated_substrings_odd_rows(make):
     assert sorted((r.doc_id or 9, r.n_removed, len(r.kept)) for r in got) == [(1, 0, len(t)), (1, 0, len(t)), (9, len(t), 0)]
 
 
+def test_largest_doc_id_is_not_null(make):
+    t = " ".join(f"word{i}" for i in range(80))
+    top = 2**63 - 1
+    rows = [(top, t), (5, "x"), (None, t), (None, None)]
+    for found in (prefix_doubling.removed(make(rows)), debruijn.removed(make(rows))):
+        got = sorted(((r.doc_id, r.n_removed > 0) for r in found.collect()), key=str)
+        assert got[0] == (5, False) and got[1][0] == top and [g[0] for g in got[2:]] == [None, None]
+
+
+def test_rows_of_one_name_with_other_checks_are_told_apart():
+    n = np.array([7, 7, 7, 9, 9, 7], np.uint64)
+    c = np.array([1, 2, 1, 3, 3, 2], np.uint64)
+    place = np.array([5, 1, 2, 0, 4, 3])
+    for first, which in (prefix_doubling.firsts((n, c), place), prefix_doubling.distinct(n, (c,), place)):
+        assert [(int(n[i]), int(c[i]), int(place[i])) for i in first] == [(7, 1, 2), (7, 2, 1), (9, 3, 0)] and which.tolist() == [0, 1, 0, 2, 2, 1]
+    ids, ones = np.arange(6), np.zeros(6, np.uint8)
+    assert prefix_doubling.repeated(None, n, np.arange(6, dtype=np.uint64), ones).tolist() == [0] * 6
+    assert prefix_doubling.started(None, n, c, ids, ids).tolist() == [False, False, True, False, True, True]
+    w = debruijn.Windows(n, c, np.array([3, 4, 2, 6, 5, 1]))
+    assert w.lo.tolist() == [2, 1, 5] and w.hi.tolist() == [3, 4, 6] and w.which.tolist() == [0, 1, 0, 2, 2, 1]
+
+
+def test_an_edge_whose_words_differ_is_on_no_path(spark):
+    rows = [(1, 11, 10, 5, 0, 2, 3), (1, 11, 20, 5, 0, 2, 3), (2, 12, 10, 6, 5, 0, 0), (2, 13, 20, 6, 5, 0, 0)]
+    df = spark.createDataFrame(rows, "edge long, check long, doc long, link long, before long, after long, gap int")
+    got = {r.edge: r for r in debruijn.repeated(df).collect()}
+    assert (got[1].link, got[1].after) == (5, 2) and (got[2].link, got[2].before) == (None, None)
+    paths = {r.edge: (r.path, r.place) for r in debruijn.compacted(debruijn.repeated(df)).collect()}
+    assert paths == {1: (1, 0), 2: (2, 0)}
+    same = spark.createDataFrame([(*r[:1], 12 if r[0] == 2 else 11, *r[2:]) for r in rows], df.schema)
+    assert {r.edge: (r.path, r.place) for r in debruijn.compacted(debruijn.repeated(same)).collect()} == {1: (1, 0), 2: (1, 3)}
+
+
+def test_checks_tell_spans_apart():
+    import pyarrow as pa
+
+    from barloom.llm import _kernels as K
+
+    data, offsets = K.text_buffer(pa.array(["ab c ab  c", "abc ab\nc x", "a bc"]))
+    starts, _, at = K.word_spans(data, offsets)
+    words, own = K.Checks.of_words(data, starts), K.Checks.of_bytes(data)
+    span = lambda d, a, b: int(words.between(at[d : d + 1] + a, at[d : d + 1] + b)[0])
+    assert span(0, 0, 2) == span(0, 2, 4) == span(1, 1, 3) != span(1, 0, 2) and span(2, 0, 2) not in (span(0, 0, 2), span(1, 0, 1))
+    raw = bytes(data)
+    pairs = [(a, b) for a in range(len(raw)) for b in range(a + 1, len(raw) + 1)]
+    names = own.between(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])).tolist()
+    assert len(set(names)) == len({raw[a:b] for a, b in pairs}) == len({(raw[a:b], n) for (a, b), n in zip(pairs, names)})
+
+
 def test_repeated_spans(make):
     rows = sample(3)
     seen, got = set(), {r.doc_id: r for r in debruijn.removed(make(rows)).collect()}
