@@ -28,13 +28,14 @@ def resolved_weight(maximum: Column, pct: Column) -> Column:
 
 def scaled_pct(v: Column, lo: Column, hi: Column) -> Column:
     """Place of v between lo and hi in whole percent, within 0 and 100."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround((v - lo) / (hi - lo) * 100, 0))).cast("int")
+    place = F.bround((v - lo) / (hi - lo) * 100, 0)
+    return F.when(place.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), place))).cast("int")
 
 
 def progress(current: Column, target: Column) -> tuple[Column, Column]:
     """Gap to the target and percent reached, at most 100; null without a target."""
     c, t = F.coalesce(current, F.lit(0.0)), nullif_zero(target)
-    return F.bround(t - c, 1), F.least(F.lit(100.0), F.bround(c / t * 100, 0)).cast("int")
+    return F.bround(t - c, 1), F.when(t.isNotNull(), F.least(F.lit(100.0), F.bround(c / t * 100, 0))).cast("int")
 
 
 def ratio_status(value: Column, target: Column, tolerance: float = 0.04) -> Column:

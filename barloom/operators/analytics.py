@@ -91,6 +91,26 @@ def rollup_of_attempts(df: DataFrame, key: str, at: str, ok: Column, failed: Col
     return out.withColumn("duration_seconds", F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("ended_at")) / 1_000_000)
 
 
+def last_text(rows: DataFrame, keys: Sequence[str], text: Column, counts: Column, n: int) -> DataFrame:
+    """The n keys with most rows that count, and the largest of their texts (by character order, not by time)."""
+    out = rows.groupBy(*keys).agg(F.max(F.when(counts, text)).alias("largest_text"), F.count_if(counts).alias("n"))
+    return out.orderBy(F.desc("n"), *keys).limit(n)
+
+
+def overshoot(entries: DataFrame, keys: Sequence[str], actual: str = "rpe", target: str = "rpe_target", least: float = 1.0) -> DataFrame:
+    """Exercises whose mean effort is more than ``least`` above target, over the rows that have both."""
+    rows = entries.where(F.col(actual).isNotNull() & F.col(target).isNotNull())
+    out = rows.groupBy(*keys).agg(F.avg(F.col(actual) - F.col(target)).alias("avg_overshoot"), F.count(F.lit(1)).alias("sessions"))
+    return out.where(F.col("avg_overshoot") > least)
+
+
+def make_rates_by_week(entries: DataFrame, exercises: DataFrame, category: str = "competition") -> DataFrame:
+    """Mean make rate by exercise and week, for the exercises of a category."""
+    own = exercises.where(F.col("category") == category).select(F.col("id").alias("__e"))
+    rows = entries.join(own, F.col("exercise_id") == F.col("__e"), "left_semi")
+    return rows.groupBy("exercise_name", "week_number").agg(F.avg("make_rate").alias("avg_make_rate"))
+
+
 def before_after(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Non-zero differences of values that both snapshots have."""
     a, b = before.select(*keys, F.col(value).alias("before")), after.select(*keys, F.col(value).alias("after"))
@@ -112,15 +132,22 @@ def outcomes(sessions: DataFrame, logs: DataFrame, entries: DataFrame) -> DataFr
     planned = sessions.groupBy("program_id").agg(F.count(F.lit(1)).alias("planned"))
     logged = sessions.join(logs, "session_id")
     done = logged.groupBy("program_id").agg(F.countDistinct("session_id").alias("completed"))
+    # entries are dealt by programme once: place of each value from the end, then one aggregate by week and one over weeks
+    newest = Window.partitionBy("program_id").orderBy(*[F.col(c).desc() for c in ("week", "day", "position", "entry_id")])
     rows = logged.join(entries, "log_id")
-    order = ["week", "day", "position", "entry_id"]
-    means = rows.groupBy("program_id").agg(F.avg("rpe_deviation").alias("__d"), F.avg("make_rate").alias("__m"))
-    efforts = last_values(rows.where("rpe_deviation IS NOT NULL"), ["program_id"], order, "rpe_deviation", 6, "__efforts")
-    makes = last_values(rows.where("make_rate IS NOT NULL"), ["program_id"], order, "make_rate", 6, "__makes")
-    by_week = weekly_reps(rows, ["program_id", "week"]).groupBy("program_id").agg(F.avg("reps").alias("__reps"))
-    out = planned
-    for part in (done, means, efforts, makes, by_week):
-        out = out.join(part, "program_id", "left")
+    for c in ("rpe_deviation", "make_rate"):
+        rows = rows.withColumn(f"__{c}", F.when(F.col(c).isNotNull(), F.count(c).over(newest.rowsBetween(Window.unboundedPreceding, 0))))
+    last = lambda c: F.collect_list(F.when(F.col(f"__{c}") <= 6, F.struct((-F.col(f"__{c}")).alias("at"), F.col(c).cast("double").alias("v"))))
+    by_week = rows.groupBy("program_id", "week").agg(
+        F.sum("rpe_deviation").alias("__ds"), F.count("rpe_deviation").alias("__dn"), F.sum("make_rate").alias("__ms"), F.count("make_rate").alias("__mn"),
+        F.sum(F.when(F.col("reps_per_set").isNotNull(), dual_reps(F.col("sets"), F.col("reps_per_set")))).alias("__reps"), last("rpe_deviation").alias("__d6"), last("make_rate").alias("__m6"),
+    )
+    ordered = lambda c: F.transform(F.array_sort(F.flatten(F.collect_list(c))), lambda x: x["v"])
+    means = by_week.groupBy("program_id").agg(
+        F.try_divide(F.sum("__ds"), F.sum("__dn")).alias("__d"), F.try_divide(F.sum("__ms"), F.sum("__mn")).alias("__m"), F.avg("__reps").alias("__reps"),
+        ordered("__d6").alias("__efforts"), ordered("__m6").alias("__makes"),
+    )
+    out = planned.join(done, "program_id", "left").join(means, "program_id", "left")
     zero = lambda c, n: F.bround(F.coalesce(F.col(c), F.lit(0.0)), n)
     none = F.array().cast("array<double>")
     return out.select(

@@ -99,6 +99,15 @@ def deleted(table: DataFrame, gone: DataFrame, on: str, gone_key: str | None = N
     return table.join(ids, F.col(on) == F.col("__gone"), "left_anti")
 
 
+def deleted_keys(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table without the rows that agree with one of ``gone`` in all keys."""
+    ids = gone.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    return table.join(ids, same, "left_anti")
+
+
 def unlinked(table: DataFrame, gone: DataFrame, on: str, gone_key: str | None = None) -> DataFrame:
     """The table with null for references to rows that are in ``gone``."""
     ids = gone.select(F.col(gone_key or on).alias("__gone")).distinct()
@@ -162,7 +171,11 @@ def source_titles(sources: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select(*rows.drop("title").columns, F.substring(title, 1, 300).alias("title"), F.coalesce("__by_url", F.when(~taken, F.col("__by_name"))).alias("source_id"))
 
 
-def write_csv(df: DataFrame, path: str, **options: str) -> None:
-    """One CSV file with a header; text that a spreadsheet would run is quoted, nulls are empty."""
+def write_csv(df: DataFrame, path: str, files: int | None = 1, **options: str) -> None:
+    """CSV with a header; text that a spreadsheet would run is quoted, nulls are empty.
+
+    files: 1 for a person's export, which is small; None for as many as there are partitions, each with the header.
+    """
     safe = [csv_safe(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
-    df.select(*safe).coalesce(1).write.options(header="true", emptyValue="", nullValue="", **options).csv(path)
+    out = df.select(*safe)
+    (out if files is None else out.coalesce(files)).write.options(header="true", emptyValue="", nullValue="", **options).csv(path)

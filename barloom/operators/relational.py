@@ -43,9 +43,8 @@ def band_join(df: DataFrame, value: str, bands: DataFrame, low: str = "low", hig
 
 def nearest(df: DataFrame, value: str, table: DataFrame, key: str) -> DataFrame:
     """df with the key of the small rule table that is nearest to its value; the smaller key wins a tie."""
-    best = F.array_min(F.transform(F.col("__keys"), lambda k: F.struct(F.abs(k - F.col(value)).alias("d"), k.alias("k"))))
-    keys = table.agg(F.array_sort(F.collect_set(key)).alias("__keys"))
-    return df.join(keys).withColumn(key, best["k"]).drop("__keys")
+    keys = table.agg(F.array_sort(F.collect_set(key))).scalar()
+    return df.withColumn("__keys", keys).withColumn(key, F.array_min(F.transform("__keys", lambda k: F.struct(F.abs(k - F.col(value)).alias("d"), k.alias("k"))))["k"]).drop("__keys")
 
 
 def merged_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], zero: Sequence[str] = ()) -> DataFrame:
@@ -54,6 +53,14 @@ def merged_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], zero: S
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})
 
 
+def lookup(df: DataFrame, json_columns: Sequence[str] = (), **keys: object) -> DataFrame:
+    """Rows by key values (null is none of them), with JSON text columns as variants."""
+    rows = df
+    for c, v in keys.items():
+        rows = rows.where(F.col(c) == F.lit(v))
+    return rows.withColumns({c: F.try_parse_json(c) for c in json_columns})
+
+
 def missing_from(df: DataFrame, other: DataFrame, on: Column | Sequence[str]) -> DataFrame:
     return df.join(other, on, "left_anti")
 
@@ -62,6 +69,43 @@ def present_in(df: DataFrame, other: DataFrame, on: Column | Sequence[str]) -> D
     return df.join(other, on, "left_semi")
 
 
+def any_of(df: DataFrame, column: str, values: DataFrame, of: str) -> DataFrame:
+    """Rows whose column is among the values of a table: an array parameter of any length."""
+    given = values.select(F.col(of).alias("__of")).distinct()
+    return df.join(given, F.col(column) == F.col("__of"), "left_semi")
+
+
+def same_name(a: Column, b: Column) -> Column:
+    """Equality without regard to case."""
+    return F.lower(a) == F.lower(b)
+
+
+def dictionary_ids(rows: DataFrame, column: str, names: DataFrame, name: str = "name", id_column: str = "id", to: str = "exercise_id") -> DataFrame:
+    """Adds the id of a name, found without regard to case; null for unknown names.  Of names that differ in case the smallest id counts."""
+    table = names.groupBy(F.lower(name).alias("__k")).agg(F.min(id_column).alias(to))
+    return rows.join(table, F.lower(F.col(column)) == F.col("__k"), "left").drop("__k")
+
+
+def without(df: DataFrame, *columns: str) -> DataFrame:
+    """The table without some columns, whether it has them or not: what may go into a snapshot."""
+    return df.drop(*columns)
+
+
+def scalar_of(df: DataFrame, value: Column, *order: Column) -> Column:
+    """The value of the first row as a scalar subquery; null if there is none."""
+    return df.orderBy(*order).limit(1).select(value.alias("v")).scalar()
+
+
+def ordered_top(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows of the whole table in an order of several keys."""
+    return df.orderBy(*order).limit(n)
+
+
+def prefix_per(df: DataFrame, position: str, n: int) -> DataFrame:
+    """Rows at the first n positions (from 0) of their sequence; 0 is no limit."""
+    return df.where(F.col(position) < n) if n else df
+
+
 def nested(parents: DataFrame, children: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Each parent with the ordered array of its children; parents without any have an empty one."""
     rest = [c for c in children.columns if c not in keys]

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from barloom.compat import all_of, any_of, array_length, asc, desc
 from barloom.functions.collections import contains_all, open_or_contains, open_or_equal, overlaps
 from barloom.operators.relational import first_seen_union, top_per
+from barloom.session import ship
 
 LEVELS = {"low": 1, "medium": 2, "high": 3}
 DEFAULT_K, MIN_SIMILARITY = 5, 0.45
+#: Queries compared in one pass over the vectors.
+QUERY_BLOCK = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,11 +68,45 @@ def cosine_topk(vectors: DataFrame, query: Sequence[float] | Column, k: int = DE
 def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, floor: float | None = None) -> DataFrame:
     """As cosine_topk for a table of queries (query, qvec), each with its own top k over all vectors.
 
-    The queries are the small side; partial tops are kept map-side by max_by on structs of similarity and id.
+    Queries go through in blocks of about QUERY_BLOCK, one pass over the vectors each, so what is sent to the tasks is
+    bounded.  A task compares its vectors with the block batch by batch and keeps k a query: no pairs are listed, and
+    only those rows are shuffled.  Similarities within 1e-12 count as equal, and ids break ties.
     """
-    scored = vectors.join(queries).select("query", "vec_id", cosine(F.col("embedding"), F.col("qvec")).alias("similarity"))
-    scored = scored.where("similarity IS NOT NULL") if floor is None else scored.where(F.col("similarity") >= floor)
-    return top_per(scored, ["query"], k, F.col("similarity").desc(), F.col("vec_id"))
+    spark = vectors.sparkSession
+    ship(spark)
+    kinds = {"query": queries.schema["query"].dataType, "vec_id": vectors.schema["vec_id"].dataType}
+    schema = pa.schema([*[(c, to_arrow_type(t)) for c, t in kinds.items()], ("similarity", pa.float64())])
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = []
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", F.col("qvec").cast("array<double>").alias("q")).where("q IS NOT NULL").toArrow()
+        shared = spark.sparkContext.broadcast(block)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value.column("query").combine_chunks(), np.array(shared.value.column("q").to_pylist(), float)
+            query, vec, sim = np.zeros(0, np.int64), np.asarray(pa.array([], schema.field("vec_id").type)), np.zeros(0)
+            for batch in batches:
+                if not len(batch) or not len(q):
+                    continue
+                v = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), -1)
+                size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = np.where(size > 0, np.round(q @ v.T / size, 12), -np.inf)
+                least = np.partition(s, -min(k, len(batch)), axis=1)[:, -min(k, len(batch))]
+                at, col = np.nonzero((s >= least[:, None]) & np.isfinite(s) & (s >= (-1.5 if floor is None else floor)))
+                query, vec, sim = (np.concatenate(x) for x in ((query, at), (vec, np.asarray(batch.column(0))[col]), (sim, s[at, col])))
+                order = np.lexsort((vec, -sim, query))
+                query, vec, sim = query[order], vec[order], sim[order]
+                kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+                query, vec, sim = query[kept], vec[kept], sim[kept]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(vec, schema.field("vec_id").type), pa.array(sim)], schema=schema)
+
+        parts.append(rows.mapInArrow(work, StructType().add("query", kinds["query"]).add("vec_id", kinds["vec_id"]).add("similarity", "double")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return top_per(out, ["query"], k, F.col("similarity").desc(), F.col("vec_id"))
 
 
 def fault_exercises(exercises: DataFrame, faults: Sequence[str], families: Sequence[str], max_complexity: int, n: int = 10) -> DataFrame:

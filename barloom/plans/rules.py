@@ -97,6 +97,17 @@ def estimates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ESTIMATES, "lift string, reference string, ratio double")
 
 
+# Names of the measures, of the phases and of the reasons of a decision.
+MEASURES = {"adherence": "Adherence", "make_rate": "Make rate", "rpe_deviation": "RPE deviation"}
+PHASE_LABELS = {"general_prep": "General Prep", "accumulation": "Accumulation", "intensification": "Intensification", "realization": "Realization"}
+REASONS = {
+    "cold_start": "No previous phase — starting at Accumulation",
+    "realization_rebuild": "Realization complete — rebuilding with Accumulation",
+    "advanced": "All thresholds met — phase advanced",
+    "at_top": "Already at highest phase",
+}
+
+
 def ramp(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(float(r[0]), *r[1:]) for r in RAMP], "pct double, reps int, rest_seconds int, rpe_target double")
 
@@ -151,6 +162,23 @@ def verdict(previous: Column, adherence: Column, success: Column, effort: Column
     return F.struct(next_phase(previous, adherence, success, effort).alias("next"), failing.alias("failing"), load_notes(adherence, success, effort).alias("adjustments"))
 
 
+def verdict_reason(decision: Column, failing: Column, effort: Column) -> Column:
+    """The reason of a decision (struct of next_phase) in words; failing: the names of the checks that failed."""
+    status = decision["status"]
+    out = F.lit(None).cast("string")
+    for name, text in REASONS.items():
+        out = F.when(status == name, F.lit(text)).otherwise(out)
+    held = F.format_string("RPE deviation too high (%+.2f) — phase held despite good adherence and make rate", effort)
+    names = F.transform(failing, lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), c))
+    repeated = F.concat(F.lit("Phase repeated — "), F.array_join(names, ", "), F.lit(" below threshold"))
+    return F.when(status == "rpe_held", held).when(status == "repeated", repeated).otherwise(out)
+
+
+def phase_label(phase: Column) -> Column:
+    """A phase in words; an unknown one is itself, none a dash."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PHASE_LABELS.items() for x in kv]), F.coalesce(phase, F.lit(""))), phase, F.lit("—"))
+
+
 def default_weeks(phase: Column) -> Column:
     out = F.lit(4)
     for p in PHASES:

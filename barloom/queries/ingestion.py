@@ -107,11 +107,11 @@ def html_text(t: Tables) -> DataFrame:
 
 
 @twin(r"""
-SELECT page_id, array_to_string(list_distinct(list_transform(regexp_extract_all(html, 'href=["'']([^"'']*/[a-z]+[^"'']*)["'']', 1), lambda u: CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'https://x.example' || u END)), ' ') IS NOT NULL AS has_links,
-  len(list_distinct(regexp_extract_all(html, 'href=["'']([^"'']*/[a-z]+[^"'']*)["'']', 1))) AS n_links FROM pages""")
+WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, 'href=["'']([^"'']*/[a-z]+[^"'']*)["'']', 1), lambda u: CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'https://x.example' || u END) AS u FROM pages)
+SELECT page_id, array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i), ' ') AS links, len(list_distinct(u)) AS n_links FROM l""")
 def article_links(t: Tables) -> DataFrame:
     out = W.article_links(t.pages, "page_id", "html", "https://x.example", "/[a-z]+")
-    return out.select("page_id", F.array_join("urls", " ").isNotNull().alias("has_links"), F.size("urls").cast("long").alias("n_links"))
+    return out.select("page_id", F.array_join("urls", " ").alias("links"), F.size("urls").cast("long").alias("n_links"))
 
 
 @twin("""

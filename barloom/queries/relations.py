@@ -159,13 +159,13 @@ def text_windows(t: Tables) -> DataFrame:
 
 
 @twin("""
-WITH o AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS purpose, p_size AS size FROM part WHERE p_partkey % 2 = 0),
-n AS (SELECT p_partkey AS id, p_type AS purpose, p_size + 1 AS size FROM part WHERE p_partkey % 3 = 0)
+WITH o AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS purpose, p_size AS size FROM part WHERE p_partkey % 3 <> 0),
+n AS (SELECT p_partkey AS id, p_type AS purpose, p_size + 1 AS size FROM part WHERE p_partkey % 3 <> 1)
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.purpose WHEN o.id IS NULL THEN n.purpose ELSE coalesce(nullif(o.purpose, ''), n.purpose) END AS purpose,
   CASE WHEN n.id IS NULL THEN o.size ELSE n.size END AS size FROM o FULL OUTER JOIN n ON o.id = n.id""")
 def upsert_coalesce(t: Tables) -> DataFrame:
-    old = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_name")).alias("purpose"), F.col("p_size").alias("size"))
-    new = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("purpose"), (F.col("p_size") + 1).alias("size"))
+    old = t.part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_name")).alias("purpose"), F.col("p_size").alias("size"))
+    new = t.part.where("p_partkey % 3 <> 1").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("purpose"), (F.col("p_size") + 1).alias("size"))
     return M.upsert(old, new, ["id"], {"purpose": M.curated})
 
 
@@ -183,10 +183,10 @@ def insert_ignore_pairs(t: Tables) -> DataFrame:
 
 @twin("""
 WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN NULL ELSE p_brand END AS s, md5(p_name || p_type) AS h FROM part),
-f AS (SELECT *, row_number() OVER (PARTITION BY s, h ORDER BY id) AS rn FROM r) SELECT id FROM f WHERE rn = 1 AND id % 2 = 0""")
+f AS (SELECT *, row_number() OVER (PARTITION BY s, h ORDER BY id) AS rn FROM r) SELECT id FROM f WHERE rn = 1""")
 def insert_ignore_null_safe(t: Tables) -> DataFrame:
     rows = t.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") <= 25, F.col("p_brand")).alias("s"), F.md5(F.concat("p_name", "p_type")).alias("h"))
-    return M.insert_ignore(rows.where("id < 0"), rows, ["s", "h"], ["id"], null_safe=True).where("id % 2 = 0").select("id")
+    return M.insert_ignore(rows.where("id < 0"), rows, ["s", "h"], ["id"], null_safe=True).select("id")
 
 
 @twin("""

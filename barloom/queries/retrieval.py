@@ -35,15 +35,17 @@ def cosine_topk_filtered(t: Tables) -> DataFrame:
 @twin(f"""
 WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query, vec_id, label, {SIM} AS sim FROM embeddings e, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS rn FROM s)
-SELECT query, count(*) AS results, count(DISTINCT label) AS sources, round_even(min(sim), 3) AS low, round_even(max(sim), 3) AS high, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM r WHERE rn <= 5 GROUP BY query""")
+SELECT query, count(*) AS results, count(DISTINCT label) AS sources, round_even(min(sim), 3) AS low, round_even(max(sim), 3) AS high, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels,
+  bool_or(label IN (query % 7, query % 3 + 5)) AS topic_hit, bool_or(label = query % 10) AS type_hit FROM r WHERE rn <= 5 GROUP BY query""")
 def retrieval_eval(t: Tables) -> DataFrame:
     """Quality figures of the top 5 of a fixed set of queries."""
     queries = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qvec"))
     hits = V.cosine_topk_batch(t.embeddings, queries).join(t.embeddings.select("vec_id", "label"), "vec_id")
     label = F.col("label").cast("string")
     hits = hits.select("query", F.col("label").alias("source"), "similarity", F.array(label).alias("topics"), label.alias("chunk_type"))
-    cases = queries.select("query", F.array().cast("array<string>").alias("expected_topics"), F.array().cast("array<string>").alias("expected_types"))
-    return A.retrieval_quality(hits, cases).select("query", "results", "sources", "low", "high", F.array_join("topics", ",").alias("labels"))
+    q = F.col("query")
+    cases = queries.select("query", F.array((q % 7).cast("string"), (q % 3 + 5).cast("string")).alias("expected_topics"), F.array((q % 10).cast("string")).alias("expected_types"))
+    return A.retrieval_quality(hits, cases).select("query", "results", "sources", "low", "high", F.array_join("topics", ",").alias("labels"), "topic_hit", "type_hit")
 
 
 @twin("""
@@ -101,10 +103,11 @@ def hash_dedup_keep_first(t: Tables) -> DataFrame:
 
 
 @twin("""
-WITH a AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey < 40) SELECT x.name AS exercise, string_agg(DISTINCT y.name, ',' ORDER BY y.name) AS substitutes FROM a x JOIN a y ON y.id = (x.id * 7 + 3) % 40 GROUP BY 1""")
+WITH a AS (SELECT p_partkey AS id, p_name AS name, (SELECT max(p_partkey) + 1 FROM part) AS n FROM part) SELECT x.name AS exercise, string_agg(DISTINCT y.name, ',' ORDER BY y.name) AS substitutes FROM a x JOIN a y ON y.id = (x.id * 7 + 3) % x.n GROUP BY 1""")
 def substitutes(t: Tables) -> DataFrame:
-    parts = t.part.where("p_partkey < 40").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    pairs = parts.select(F.col("id").alias("exercise_id"), ((F.col("id") * 7 + 3) % 40).alias("substitute_id"))
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    n = t.part.agg(F.max("p_partkey") + 1).scalar()
+    pairs = parts.select(F.col("id").alias("exercise_id"), ((F.col("id") * 7 + 3) % n).alias("substitute_id"))
     return V.substitutes(pairs, parts).select("exercise", F.array_join("substitutes", ",").alias("substitutes"))
 
 
@@ -136,9 +139,9 @@ def archive_index(t: Tables) -> DataFrame:
 
 
 @twin("""
-SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) ORDER BY page_id, url LIMIT 50""")
+SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)""")
 def pending_urls(t: Tables) -> DataFrame:
     from barloom.sources.web import pending
 
     rows = t.pages.select(F.col("page_id").alias("position"), "url")
-    return pending(rows, rows.where("position % 3 = 0"), 50).select(F.col("position").alias("page_id"), "url")
+    return pending(rows, rows.where("position % 3 = 0")).select(F.col("position").alias("page_id"), "url")

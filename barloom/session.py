@@ -23,6 +23,16 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return builder.config(map=settings | conf).getOrCreate()
 
 
+def alive(spark: SparkSession) -> DataFrame:
+    """One row with 1: the session answers."""
+    return spark.range(1).selectExpr("1 AS alive")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did."""
     env = spark.sparkContext.environment

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
@@ -23,6 +24,8 @@ BLOCKS = {"p", "div", "section", "article", "main", "h1", "h2", "h3", "h4", "h5"
 LINES = {"br", "td", "th"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 LEAST_TEXT = 100
+#: Pages of one call to a reading service.
+OCR_BATCH = 5
 
 
 class MainText(HTMLParser):
@@ -99,6 +102,7 @@ def main_text(html: str | None) -> str:
 def html_text(df: DataFrame, html: str = "html", to: str = "text") -> DataFrame:
     """Adds the main text of a page; the parser is Python, batches are Arrow."""
     ship(df.sparkSession)
+
     @F.pandas_udf("string")
     def extract(pages: pd.Series) -> pd.Series:
         return pages.map(main_text)
@@ -130,12 +134,38 @@ def with_fallback(readers: Sequence[Callable[[bytes], list[str]]], least: int =
     return read
 
 
-def split_page_reply(raw: Column, n: int) -> Column:
+def split_page_reply(raw: Column, n: int | Column) -> Column:
     """Array of n page texts from a reply with page marks; too few are padded, without marks all is page one."""
     parts = F.filter(F.transform(F.split(raw, r"===\s*Page\s+\d+\s*==="), strip), lambda p: p != "")
     return F.slice(F.concat(parts, F.array_repeat(F.lit(""), n)), 1, n)
 
 
+def batched_pages(pages: DataFrame, read: Callable[[list[bytes]], str], size: int = OCR_BATCH, pause: float = 0.0) -> DataFrame:
+    """path, page, text of page images (path, page, image) by a service that reads ``size`` pages of a file a call.
+
+    A batch is pages floor(page / size) of one file; its reply is split by page marks (see split_page_reply), a failed
+    call leaves its pages empty, and ``pause`` seconds lie between the calls of a task.
+    """
+    ship(pages.sparkSession)
+    number = F.floor(F.col("page") / size)
+    batch = pages.groupBy("path", number.alias("batch_no")).agg(F.array_sort(F.collect_list(F.struct("page", "image"))).alias("own"))  # ``size`` images at most
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = []
+            for own in b.column(1).to_pylist():
+                try:
+                    said.append(read([x["image"] for x in own]))
+                except Exception:  # an external service: its pages stay empty
+                    said.append("")
+                time.sleep(pause)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[x["page"] for x in own] for own in b.column(1).to_pylist()], pa.list_(pa.int32())), pa.array(said, pa.string())], names=["path", "pages", "reply"])
+
+    replies = batch.select("path", "own").mapInArrow(work, "path string, pages array<int>, reply string")
+    texts = split_page_reply(F.col("reply"), F.size("pages"))
+    return replies.select("path", F.explode(F.arrays_zip(F.col("pages").alias("page"), texts.alias("text"))).alias("p")).select("path", "p.page", "p.text")
+
+
 def pages_of(files: DataFrame, readers: dict[str, Callable[[bytes], list[str]]], max_pages: int = 0) -> DataFrame:
     """path, page, text of binary files, each by the reader of its suffix; '' is the reader of all others."""
     ship(files.sparkSession)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from barloom.compat import strip
 from barloom.operators.relational import keep_first
+from barloom.session import exists, ship
 
-EMBED_CHARS, EMBED_BATCH = 30_000, 100
+EMBED_CHARS, EMBED_BATCH, EMBED_ATTEMPTS = 30_000, 100, 3
 
 
 def new_chunks(batch: DataFrame, loaded: DataFrame | None, order: str = "position") -> DataFrame:
@@ -30,24 +32,47 @@ def embedded(rows: DataFrame, embed: Callable[[Column], Column], text: str = "co
     return rows.withColumn("embedding", embed(F.substring(F.col(text), 1, EMBED_CHARS)))
 
 
+def embedded_in_batches(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], key: str, text: str = "content", attempts: int = EMBED_ATTEMPTS) -> DataFrame:
+    """key, embedding by a service that takes up to EMBED_BATCH texts a call; a call is tried ``attempts`` times, then fails the task."""
+    ship(rows.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), EMBED_BATCH):
+                part = batch.slice(i, EMBED_BATCH)
+                texts = [(t or "")[:EMBED_CHARS] for t in part.column(1).to_pylist()]
+                for attempt in range(attempts):
+                    try:
+                        found = embed(texts)
+                        break
+                    except Exception:  # an external service: any failure is worth another try
+                        if attempt == attempts - 1:
+                            raise
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float32()))], names=[key, "embedding"])
+
+    return rows.select(key, text).mapInArrow(work, f"`{key}` {rows.schema[key].dataType.simpleString()}, embedding array<float>")
+
+
 def load_batch(spark: SparkSession, target: str, ledger: str | None = None, embed: Callable[[Column], Column] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: append new chunks to ``target``, then the batch's ids to ``ledger``."""
+    """A foreachBatch function: append new chunks to ``target``, then the batch's ids to ``ledger``.
 
-    def exists(path: str) -> bool:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    The target is laid out by the first byte of the hash, so a batch reads hashes alone, and of those folders that its
+    own rows can be in.  The ledger is made from what the target holds of the batch: a batch that is run again after a
+    crash between the two writes adds to the ledger what is missing there, and nothing to the target.
+    """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        loaded = spark.read.parquet(target) if exists(target) else None
+        slots = [r[0] for r in new_chunks(batch, None).select(F.substring("content_hash", 1, 2)).distinct().collect()]  # 256 at most
+        loaded = spark.read.schema("content_hash string, slot string").parquet(target).where(F.col("slot").isin(slots)) if exists(spark, target) else None
         rows = new_chunks(batch, loaded)
         rows = embedded(rows, embed) if embed else rows
-        rows = rows.withColumn("batch_id", F.lit(batch_id)).persist()
-        try:
-            rows.write.mode("append").parquet(target)
-            if ledger:
-                rows.select("content_hash", "batch_id").write.mode("append").parquet(ledger)
-        finally:
-            rows.unpersist()
+        rows = rows.withColumns({"batch_id": F.lit(batch_id).cast("long"), "slot": F.substring("content_hash", 1, 2)})
+        rows.write.mode("append").partitionBy("slot").parquet(target)
+        if ledger:
+            own = spark.read.schema(rows.schema).parquet(target).where(F.col("slot").isin(slots) & (F.col("batch_id") == batch_id)).select("content_hash", "batch_id")
+            if exists(spark, ledger):
+                own = own.join(spark.read.schema("content_hash string, batch_id long").parquet(ledger), ["content_hash", "batch_id"], "left_anti")
+            own.write.mode("append").parquet(ledger)
 
     return load
 
