@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.compat import nullif_zero
 from barloom.functions.numbers import session_seconds
 from barloom.functions.text import plain_name
-from barloom.plans.rules import zone_of
+from barloom.plans.rules import ZONES, zone_of
 
 # Fixed values of the checks.
 COMP_LIFTS = ["snatch", "clean_and_jerk", "clean"]
@@ -53,29 +53,34 @@ def storable_findings() -> list[Column]:
     return [finding(low("sets"), "sets", "error"), finding(low("reps"), "reps", "error"), finding((pct <= 0) | (pct > 120), "intensity_range", "error"), finding(low("exercise_order"), "order", "error"), finding(F.col("__again"), "duplicate_order", "error", "exercise_order")]
 
 
-def storable(rows: DataFrame) -> DataFrame:
-    return rows_of(with_repeats(rows), *storable_findings())
+def zone_sums() -> list[Column]:
+    """Aggregates: reps of competition lifts above warm-up intensity, one column a zone (null for none)."""
+    reps = F.coalesce("sets", F.lit(0)) * F.coalesce("reps", F.lit(0))
+    own = is_comp() & (F.col("intensity_pct") > WARMUP_VOLUME)
+    return [F.sum(F.when(own & (zone_of(F.col("intensity_pct")) == z[0]), reps)).alias(f"zone_{i}") for i, z in enumerate(ZONES)]
 
 
-def zone_reps(rows: DataFrame) -> DataFrame:
-    """session_id, zone, reps, and the zone's limit: competition lifts above warm-up intensity."""
-    good = rows.where(is_comp() & (F.col("intensity_pct") > WARMUP_VOLUME))
-    out = good.select("session_id", zone_of(F.col("intensity_pct")).alias("zone"), zone_of(F.col("intensity_pct"), 7).alias("most"), (F.coalesce("sets", F.lit(0)) * F.coalesce("reps", F.lit(0))).alias("reps"))
-    return out.where("zone IS NOT NULL").groupBy("session_id", "zone", "most").agg(F.sum("reps").alias("reps"))
+def zone_findings() -> list[Column]:
+    """Reps of each zone against its limit."""
+    out = []
+    for i, z in enumerate(ZONES):
+        reps, most = F.col(f"zone_{i}"), z[7]
+        cap = F.rint(F.lit(most * HARD_CAP))
+        out += [finding(reps > cap, "zone_volume", "error", F.lit(z[0])), finding((reps > most) & (reps <= cap), "zone_volume", "warning", F.lit(z[0]))]
+    return out
 
 
-def zone_volume(rows: DataFrame) -> DataFrame:
-    z = zone_reps(rows)
-    cap = F.rint(F.col("most") * HARD_CAP)
-    return rows_of(z, finding(F.col("reps") > cap, "zone_volume", "error", "zone"), finding((F.col("reps") > F.col("most")) & (F.col("reps") <= cap), "zone_volume", "warning", "zone"))
+def with_running_reps(per: DataFrame) -> DataFrame:
+    """Adds total_reps, the competition reps of a week up to each session (program_id, week, day); rows of no programme stand alone."""
+    alone = F.when(F.col("program_id").isNull(), F.col("session_id"))
+    w = Window.partitionBy("program_id", "week", alone).orderBy("day", "session_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = sum((F.coalesce(f"zone_{i}", F.lit(0)) for i in range(1, len(ZONES))), F.coalesce("zone_0", F.lit(0)))
+    return per.withColumn("total_reps", F.sum(own).over(w))
 
 
-def weekly_budget(rows: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Running competition reps of a week (program_id, week, day) against its budget."""
-    per = sessions.join(zone_reps(rows).groupBy("session_id").agg(F.sum("reps").alias("__reps")), "session_id", "left")
-    w = Window.partitionBy("program_id", "week").orderBy("day", "session_id").rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumn("__total", F.sum(F.coalesce("__reps", F.lit(0))).over(w))
-    return rows_of(per, finding((F.col("budget") > 0) & (F.col("__total") > F.col("budget") * BUDGET_TOLERANCE), "weekly_budget", "warning", "__total"))
+def budget_finding() -> Column:
+    """total_reps against budget."""
+    return finding((F.col("budget") > 0) & (F.col("total_reps") > F.col("budget") * BUDGET_TOLERANCE), "weekly_budget", "warning", "total_reps")
 
 
 def intensity_findings() -> list[Column]:
@@ -86,39 +91,31 @@ def intensity_findings() -> list[Column]:
     return [finding(over & comp, "above_ceiling", "error"), finding(over & ~comp & (pct > SUPRAMAX), "supramaximal", "warning"), finding(under, "below_floor", "warning")]
 
 
-def intensity(rows: DataFrame) -> DataFrame:
-    return rows_of(rows, *intensity_findings())
-
-
 def reps_findings() -> list[Column]:
     pct, reps = F.coalesce("intensity_pct", F.lit(0.0)), F.coalesce("reps", F.lit(0))
     return [finding((pct >= 90) & (reps > 2), "reps_per_set", "error"), finding((pct >= 80) & (pct < 90) & (reps > 4), "reps_per_set", "warning")]
 
 
-def reps_per_set(rows: DataFrame) -> DataFrame:
-    return rows_of(rows, *reps_findings())
-
-
 def avoided_finding() -> Column:
     return finding(F.array_contains(F.transform("avoid", plain_name), plain_name(F.col("exercise_name"))), "avoided", "error")
 
 
-def avoided(rows: DataFrame, athletes: DataFrame) -> DataFrame:
-    """athletes: athlete_id, avoid (names)."""
-    return rows_of(rows.join(athletes.select("athlete_id", "avoid"), "athlete_id"), avoided_finding())
-
-
 def per_session(rows: DataFrame) -> DataFrame:
-    """One aggregate for the checks of whole sessions: exercises, first reference, names, minutes."""
+    """One aggregate for the checks of whole sessions: exercises, first reference, names, minutes, reps by zone."""
     first = F.min_by("intensity_reference", F.struct(F.coalesce("exercise_order", F.lit(2**31 - 1)), "row_id"))
     seconds = F.sum(session_seconds(F.col("sets"), F.col("rest_seconds")))
-    return rows.groupBy("session_id", "athlete_id").agg(F.count(F.lit(1)).alias("n_exercises"), first.alias("first_reference"), F.collect_set(F.lower("exercise_name")).alias("names"), (seconds / 60).alias("minutes"))
+    return rows.groupBy("session_id", "athlete_id").agg(F.count(F.lit(1)).alias("n_exercises"), first.alias("first_reference"), F.collect_set(F.lower("exercise_name")).alias("names"), (seconds / 60).alias("minutes"), *zone_sums())
+
+
+def rule_findings(rules: str) -> Column:
+    """Array of findings of a column of rules: array<struct<rule_id, max_exercises, lifts_first>>."""
+    known = F.col("n_exercises").isNotNull()
 
+    def broken(r: Column) -> Column:
+        over = known & (r["max_exercises"] > 0) & (F.col("n_exercises") > r["max_exercises"])
+        return F.array(finding(over, "too_many_exercises", "warning", r["rule_id"]), finding(known & r["lifts_first"] & ~is_comp("first_reference"), "lifts_first", "warning", r["rule_id"]))
 
-def principles(per: DataFrame, rules: DataFrame) -> DataFrame:
-    """rules: rule_id, max_exercises, lifts_first; a rule table, applied to every session of per_session()."""
-    over = (F.col("max_exercises") > 0) & (F.col("n_exercises") > F.col("max_exercises"))
-    return rows_of(per.join(rules), finding(over, "too_many_exercises", "warning", "rule_id"), finding(F.col("lifts_first") & ~is_comp("first_reference"), "lifts_first", "warning", "rule_id"))
+    return F.flatten(F.transform(rules, broken))
 
 
 def duration_finding() -> Column:
@@ -132,10 +129,6 @@ def effort_findings() -> list[Column]:
     return [finding((pct >= 90) & (rpe < 8), "low_effort_target", "warning"), finding((pct >= 80) & (pct < 90) & (rpe < 7), "low_effort_target", "warning")]
 
 
-def effort(rows: DataFrame) -> DataFrame:
-    return rows_of(rows, *effort_findings())
-
-
 def fault_finding(fault_names: Sequence[str]) -> Column:
     """names against exercises for the athlete's technical_faults."""
     known = F.array(*[F.lit(n.lower()) for n in fault_names]).cast("array<string>")
@@ -157,8 +150,12 @@ def all_checks(rows: DataFrame, sessions: DataFrame, athletes: DataFrame, rules:
     """
     wide = with_repeats(rows).join(sessions.select("session_id", "week_floor", "week_ceiling"), "session_id", "left").join(athletes.select("athlete_id", "avoid"), "athlete_id", "left")
     by_row = rows_of(wide, *storable_findings(), *intensity_findings(), *reps_findings(), avoided_finding(), *effort_findings())
-    per = per_session(rows)
-    known = per.join(sessions.select("session_id", "available_minutes"), "session_id", "left").join(athletes.drop("avoid"), "athlete_id", "left")
+    known = per_session(rows).withColumnRenamed("session_id", "__s").join(sessions.select("session_id", "program_id", "week", "day", "budget", "available_minutes"), F.col("__s") == F.col("session_id"), "full_outer")
+    known = with_running_reps(known.withColumn("session_id", F.coalesce("session_id", "__s")).drop("__s")).join(athletes.drop("avoid"), "athlete_id", "left")
     faults = [] if fault_names is None else [fault_finding(fault_names)]
-    by_session = rows_of(known, duration_finding(), *limiter_findings(), *faults)
-    return by_row.unionByName(by_session).unionByName(principles(per, rules)).unionByName(zone_volume(rows)).unionByName(weekly_budget(rows, sessions))
+    single = F.array(duration_finding(), budget_finding(), *zone_findings(), *limiter_findings(), *faults)
+    # the rule table, a few rows, comes in as a scalar subquery
+    laws = rules.agg(F.collect_list(F.struct("rule_id", "max_exercises", "lifts_first"))).scalar()
+    found = F.array_compact(F.concat(single, rule_findings("__rules")))
+    by_session = known.withColumn("__rules", laws).select("session_id", F.explode(found).alias("f")).select("session_id", "f.check", "f.severity", "f.subject")
+    return by_row.unionByName(by_session)

@@ -46,34 +46,77 @@ def retag_changes(t: Tables) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(~same_set(F.col("old"), F.col("new"))).alias("updated"))
 
 
-CLASSIFY_SQL = r"""
-c AS (SELECT doc_id, text, len(regexp_extract_all(text, '(?m)^.*\|.*\|.*$')) >= 3 AS tab, regexp_matches(text, '[0-9]+%') AS pct, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n,
-  (regexp_matches(text, '(?i)should\s+(?:not\s+)?exceed')::INT + regexp_matches(text, '(?i)never\s+(?:go|exceed|perform|do)')::INT + regexp_matches(text, '(?i)always\s+(?:include|perform|start|use)')::INT + regexp_matches(text, '(?i)(?:reduce|increase|maintain)\s+.*(?:by|to|at)\s+[0-9]+')::INT
-   + regexp_matches(text, '(?i)(?:no more than|at least|a minimum of)\s+[0-9]+')::INT + regexp_matches(text, '(?i)(?:rule of thumb|general guideline|as a rule)')::INT) AS score FROM documents)"""
+def classify_sql(table: str, keys: str, text: str) -> str:
+    """CTE c with what classify() looks at (programme and exercise patterns do not occur in the tables), and expressions of type and confidence."""
+    rules = [r"should\s+(?:not\s+)?exceed", r"never\s+(?:go|exceed|perform|do)", r"always\s+(?:include|perform|start|use)", r"(?:reduce|increase|maintain)\s+.*(?:by|to|at)\s+[0-9]+", r"(?:no more than|at least|a minimum of)\s+[0-9]+", r"(?:rule of thumb|general guideline|as a rule)"]
+    score = " + ".join(f"regexp_matches({text}, '(?i){r}')::INT" for r in rules)
+    return f"""c AS (SELECT {keys}, {text} AS content, len(regexp_extract_all({text}, '(?m)^.*\\|.*\\|.*$')) >= 3 AS tab, regexp_matches({text}, '[0-9]+%') AS pct, len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')) AS n, {score} AS score FROM {table})"""
+
+
+TYPE_SQL = "CASE WHEN tab THEN 'table' WHEN score >= 2 AND n > 100 AND pct THEN 'mixed' WHEN score >= 3 THEN 'principle' ELSE 'prose' END"
+CONFIDENCE_SQL = "CASE WHEN tab THEN 0.85 WHEN score >= 2 AND n > 100 AND pct THEN 0.75 WHEN score >= 3 THEN 0.7 WHEN n >= 50 AND (score >= 1 OR pct) THEN 0.55 WHEN n < 50 THEN 0.6 ELSE 0.8 END::DOUBLE"
 
 
 @twin(f"""
-WITH {CLASSIFY_SQL} SELECT doc_id, CASE WHEN tab THEN 'table' WHEN score >= 2 AND n > 100 AND pct THEN 'mixed' WHEN score >= 3 THEN 'principle' ELSE 'prose' END AS type,
-  CASE WHEN tab THEN 0.85 WHEN score >= 2 AND n > 100 AND pct THEN 0.75 WHEN score >= 3 THEN 0.7 WHEN n >= 50 AND (score >= 1 OR pct) THEN 0.55 WHEN n < 50 THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence FROM c""")
+WITH {classify_sql("documents", "doc_id", "text")} SELECT doc_id, {TYPE_SQL} AS type, {CONFIDENCE_SQL} AS confidence FROM c""")
 def classify(t: Tables) -> DataFrame:
-    out = t.documents.select("doc_id", S.classify(F.col("text")).alias("c"))
+    out = S.classified(t.documents.select("doc_id", "text"), "text")
     return out.select("doc_id", "c.type", F.col("c.confidence").cast("double").alias("confidence"))
 
 
-def section_rows(t: Tables) -> DataFrame:
-    rows = S.sections(t.documents.select("doc_id", "source", "lang", "text"))
-    rows = rows.withColumn("c", S.classify(F.col("content")))
-    return rows.select("doc_id", "source", F.col("ordinal").alias("section_no"), "chapter", "title", "content", F.col("c.type").alias("type"), F.col("c.confidence").alias("confidence"))
+@twin(f"""
+WITH {classify_sql("documents", "source", "text")} SELECT source, {TYPE_SQL} AS type, count(*) AS n FROM c GROUP BY ALL""")
+def type_counts(t: Tables) -> DataFrame:
+    """Sections by type, as a run logs them."""
+    from barloom.operators.jobs import counts_by
 
+    return counts_by(S.classified(t.documents.select("source", "text"), "text"), "source", F.col("c.type").alias("type"))
 
-@twin(None)
+
+def sections_sql(texts: str) -> str:
+    """Sections of texts (doc_id, text) whose headers are lines of their own."""
+    strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"""
+WITH d AS ({texts}), x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+l AS (SELECT *, regexp_matches(line, '^(#{{1,3}}\\s+.+|Chapter\\s+\\d+.*|PART\\s+[IVX]+.*|\\d+\\.\\d+\\s+[A-Z].+)$') AS h FROM x),
+s AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM l),
+b AS (SELECT doc_id, sec, max(CASE WHEN h THEN {strip("line")} END) AS title, {strip("coalesce(string_agg(CASE WHEN NOT h THEN line END, chr(10) ORDER BY i), '')")} AS body FROM s GROUP BY doc_id, sec),
+k AS (SELECT *, last_value(CASE WHEN contains(lower(title), 'chapter') THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM b),
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS section_no, coalesce(chapter, '') AS chapter, coalesce(title, '') AS title, body FROM k WHERE body <> ''
+  UNION ALL SELECT doc_id, 0, '', '', text FROM d WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = d.doc_id AND body <> '')),
+{classify_sql("r", "doc_id, section_no, chapter, title", "body")}
+SELECT doc_id, section_no::INT AS section_no, chapter, title, {TYPE_SQL} AS type, {CONFIDENCE_SQL} AS confidence, CASE {TYPE_SQL} WHEN 'mixed' THEN 'chunks,principles' WHEN 'principle' THEN 'principles' ELSE 'chunks' END AS routes, sha256(content) AS content_hash FROM c"""
+
+
+def section_rows(df: DataFrame) -> DataFrame:
+    rows = S.classified(S.sections(df).withColumnRenamed("ordinal", "section_no"), "content")
+    return rows.select("*", F.col("c.type").alias("type"), F.col("c.confidence").alias("confidence")).drop("c")
+
+
+def routed(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "section_no", "chapter", "title", "type", F.round("confidence", 2).cast("double").alias("confidence"), F.array_join(S.routes(F.col("type")), ",").alias("routes"), F.sha2("content", 256).alias("content_hash"))
+
+
+@twin(sections_sql("SELECT doc_id, coalesce(text, '') AS text FROM documents"))
 def sections(t: Tables) -> DataFrame:
     """Sections of all documents, classified and routed."""
-    return section_rows(t).select("doc_id", "section_no", "chapter", "title", "type", F.round("confidence", 2).alias("confidence"), F.array_join(S.routes(F.col("type")), ",").alias("routes"), F.sha2("content", 256).alias("content_hash"))
+    return routed(section_rows(t.documents.select("doc_id", "text")))
+
+
+HEADING_SQL = "CASE turn % 4 WHEN 0 THEN 'Chapter ' || turn || ' of ' || role WHEN 1 THEN '## ' || role WHEN 2 THEN '1.' || turn || ' About' ELSE 'plain line' END"
+
+
+@twin(sections_sql(f"SELECT conv_id AS doc_id, string_agg({HEADING_SQL} || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1"))
+def headed_sections(t: Tables) -> DataFrame:
+    """Conversations as documents with chapters and headings, cut into sections."""
+    k = F.col("turn")
+    head = F.when(k % 4 == 0, F.concat(F.lit("Chapter "), k.cast("string"), F.lit(" of "), "role")).when(k % 4 == 1, F.concat(F.lit("## "), "role")).when(k % 4 == 2, F.concat(F.lit("1."), k.cast("string"), F.lit(" About"))).otherwise("plain line")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(head, F.lit("\n"), "text").alias("p")))), lambda x: x["p"]), "\n")
+    return routed(section_rows(t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(text.alias("text"))))
 
 
 def chunk_rows(t: Tables) -> DataFrame:
-    rows = section_rows(t).withColumns({"size": F.lit(900), "overlap": F.lit(200), "source_title": F.col("source"), "author": F.lit(""), "chunk_type": S.chunk_type(F.col("title"), F.col("content"), F.col("type"))})
+    rows = section_rows(t.documents.select("doc_id", "source", "text")).withColumns({"size": F.lit(900), "overlap": F.lit(200), "source_title": F.col("source"), "author": F.lit(""), "chunk_type": S.chunk_type(F.col("title"), F.col("content"), F.col("type"))})
     return S.assembled(S.chunks(rows), KEYWORDS)
 
 
