@@ -1,6 +1,9 @@
 """Whole workloads: ingest files, plan programmes for all athletes, export; each composes the operators and writes tables.
 
-    python -m barloom.engine ingest FILES OUT      python -m barloom.engine export-log LOG.parquet OUT
+    python -m barloom.engine ingest FILES OUT
+    python -m barloom.engine log-session LOGS.parquet CHANGES.json OUT
+    python -m barloom.engine log-exercise ENTRIES.json PLANNED.parquet OUT
+    python -m barloom.engine export-log LOG.parquet OUT
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from pyspark.sql import functions as F
 from barloom.functions import dates as D
 from barloom.operators import exports, jobs
 from barloom.operators import sections as S
-from barloom.operators.merge import write_csv
+from barloom.operators.merge import upsert, write_csv
+from barloom.operators.records import logged_entries
 from barloom.plans import rules
 from barloom.session import exists
 from barloom.sources import files
@@ -68,6 +72,16 @@ def plan(athletes: DataFrame, today: Column) -> DataFrame:
     return rules.week_totals(returning.unionByName(first).drop("d_volume", "d_ceiling"), "sessions_per_week")
 
 
+def log_sessions(logs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Session logs after new ones: one a session, and any number without a session."""
+    return upsert(logs, changes, ["session_id"])
+
+
+def log_exercises(entries: DataFrame, planned: DataFrame) -> DataFrame:
+    """Entries with their deviations from the plan, ready to be appended."""
+    return logged_entries(entries, planned)
+
+
 def export_log(rows: DataFrame, path: str) -> None:
     """One athlete's training log as CSV."""
     write_csv(exports.training_log(rows), path)
@@ -82,13 +96,18 @@ def main(args: Sequence[str]) -> None:
     from barloom.session import session
 
     spark = session()
-    command, source, target = args
-    if command == "ingest":
-        ingest(spark, source, target).show()
-    elif command == "export-log":
-        export_log(spark.read.parquet(source), target)
-    else:
-        raise SystemExit(__doc__)
+    match args:
+        case ["ingest", source, target]:
+            ingest(spark, source, target).show()
+        case ["log-session", logs, changes, target]:
+            old = spark.read.parquet(logs)
+            log_sessions(old, spark.read.schema(old.schema).json(changes)).write.parquet(target)
+        case ["log-exercise", entries, planned, target]:
+            log_exercises(spark.read.json(entries), spark.read.parquet(planned)).write.parquet(target)
+        case ["export-log", source, target]:
+            export_log(spark.read.parquet(source), target)
+        case _:
+            raise SystemExit(__doc__)
 
 
 if __name__ == "__main__":

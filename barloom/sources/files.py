@@ -194,8 +194,10 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] | None = None, max_pages: int = 0) -> DataFrame:
-    """Pages of all files of a path.  PDF parsing is a plug-in (see with_fallback); JSON goes through json_seeds."""
-    return pages_of(binary_files(spark, path), READERS | ({"pdf": pdf} if pdf else {}), max_pages)
+    """Pages of all files of a path.  PDF files are read by pdf.read_pdf, or by a reader given; JSON goes through json_seeds."""
+    from barloom.sources.pdf import read_pdf
+
+    return pages_of(binary_files(spark, path), READERS | {"pdf": pdf or read_pdf}, max_pages)
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:

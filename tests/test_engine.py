@@ -180,6 +180,58 @@ def test_plan_for_all_athletes(spark):
     assert all(r.intensity_ceiling <= 75 for r in by[1]) and all(r.total_reps > 0 for r in got)
 
 
+def pdf(pages, compress=True, cmap=False):
+    """A small PDF with one content stream a page."""
+    import zlib
+
+    kids = " ".join(f"{10 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} /Resources << /Font << /F1 3 0 R >> >> >>".encode()}
+    objects[3] = b"<< /Type /Font /BaseFont /Helvetica" + (b" /ToUnicode 4 0 R" if cmap else b"") + b" >>"
+    table = b"1 beginbfchar <01> <0041> endbfchar 1 beginbfrange <02> <03> <0062> endbfrange"
+    objects[4] = b"<< /Length %d >>\nstream\n%s\nendstream" % (len(table), table)
+    for i, text in enumerate(pages):
+        data = zlib.compress(text) if compress else text
+        objects[10 + 2 * i] = f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * i} 0 R >>".encode()
+        objects[11 + 2 * i] = b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), b" /Filter /FlateDecode" if compress else b"", data)
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in sorted(objects.items(), reverse=True)) + b"%%EOF"
+
+
+def test_pdf_readers(spark, tmp_path):
+    import pytest
+
+    from barloom.sources import pdf as D
+
+    first = rb"BT /F1 12 Tf 72 700 Td (Front \(squat\) \351) Tj 0 -14 Td [(5 x) -300 (5)] TJ T* <414243> Tj ET"
+    made = pdf([first, b"BT (page two) Tj ET", b"q Q"])
+    assert D.by_page_tree(made) == ["Front (squat) é\n5 x 5\nABC", "page two", ""] and D.by_page_tree(pdf([first], compress=False)) == ["Front (squat) é\n5 x 5\nABC"]
+    assert D.by_page_tree(pdf([b"BT /F1 9 Tf <010203> Tj ET"], cmap=True)) == ["Abc"]
+    broken = made.replace(b"/Type /Page", b"/Type /Pxge")
+    assert D.by_page_tree(broken) == [] and sorted(D.by_streams(broken)) == ["Front (squat) é\n5 x 5\nABC", "page two"]
+    assert sorted(D.read_pdf(broken)) == sorted(D.by_streams(broken))
+    for bad in (b"no pdf", made + b"/Encrypt 9 0 R"):
+        with pytest.raises(ValueError):
+            D.by_page_tree(bad)
+    (tmp_path / "a.pdf").write_bytes(pdf([b"BT (" + b"word " * 40 + b") Tj ET", b"BT (two) Tj ET"]))
+    got = files.extract(spark, f"file://{tmp_path}/a.pdf", max_pages=1).collect()
+    assert [(r.page, r.text[:9]) for r in got] == [(0, "word word")]
+
+
+def test_commands(spark, tmp_path):
+    import pytest
+
+    at = lambda n: f"{tmp_path}/{n}"
+    spark.createDataFrame([(1, 1, "a"), (None, 2, "b")], "session_id long, log_id long, notes string").write.parquet(at("logs"))
+    (tmp_path / "changes.json").write_text('{"session_id": 1, "log_id": 1, "notes": "new"}\n{"log_id": 3, "notes": "c"}\n')
+    engine.main(["log-session", at("logs"), at("changes.json"), at("out")])
+    assert sorted((r.log_id, r.notes) for r in spark.read.parquet(at("out")).collect()) == [(1, "new"), (2, "b"), (3, "c")]
+    spark.createDataFrame([(7, 1, 80.0, 8.0)], "planned_id long, session_id long, planned_kg double, rpe_target double").write.parquet(at("plan"))
+    (tmp_path / "entries.json").write_text('{"log_id": 1, "session_id": 1, "planned_id": 7, "weight_kg": 82.5, "rpe": 9.0}\n{"log_id": 1, "session_id": 2, "planned_id": 7, "weight_kg": 1.0, "rpe": 9.0}\n')
+    engine.main(["log-exercise", at("entries.json"), at("plan"), at("out2")])
+    assert sorted(((r.planned_id, r.weight_deviation_kg, r.rpe_deviation) for r in spark.read.parquet(at("out2")).collect()), key=str) == [(7, 2.5, 1.0), (None, None, None)]
+    with pytest.raises(SystemExit):
+        engine.main(["nothing"])
+
+
 def test_csv_fields_and_deadline(spark):
     df = spark.createDataFrame([(1, 'a "b", c'), (2, None), (3, "plain"), (4, "two\nlines")], "i int, x string")
     assert [r[0] for r in df.orderBy("i").select(X.csv_line(F.col("x"), F.lit("z"))).collect()] == ['"a ""b"", c",z', ",z", "plain,z", '"two\nlines",z']
