@@ -1,15 +1,16 @@
 """Connected components of a graph of links, in DataFrames alone.
 
-Rounds of three steps, the same at every size:
+Rounds of three steps, the same at every size, until the links are settled:
 
-1. each task joins what its own links connect, some links at a time (a map-side
-   combine: chains inside a partition are gone after one round),
-2. large-star: each node links its larger neighbours to the smallest node it knows,
-3. small-star: each node links its smaller neighbours likewise.
+1. large-star: each node links its larger neighbours to the smallest node it knows,
+2. small-star: each node links its smaller neighbours likewise,
+3. passes without a shuffle, in which each task joins what its own links connect and
+   writes them again.  Spark reads small files together, so a pass leaves fewer, fuller
+   parts, and passes go on as long as their number halves.
 
 Minima are aggregates with map-side combining and go back to the links by a join
 that adaptive execution may split, so a node with very many links is no hot spot.
-Links are written to the shared folder after each round; nothing but whether they
+Links are written to the shared folder after each step; nothing but whether they
 are settled reaches the driver.
 """
 
@@ -105,19 +106,30 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 OR (up = 1 AND root = 1)").isEmpty()
 
 
+def _joined(edges: DataFrame) -> DataFrame:
+    """Passes over written links in which each task joins its own, while their parts halve in number."""
+    spark = edges.sparkSession
+    parts = edges.rdd.getNumPartitions()
+    while True:
+        after = staged(edges.mapInArrow(_combined, "a long, b long"), "links")
+        dropped(spark, edges)
+        edges, before, parts = after, parts, after.rdd.getNumPartitions()
+        if before == 1 or parts * 2 > before:
+            return edges
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component for every node of a link; component is the smallest node reachable."""
     spark = links.sparkSession
     ship(spark)
-    own = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b")
-    edges = staged(own.mapInArrow(_combined, "a long, b long").distinct(), "links")
+    edges = staged(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b"), "links")
     for _ in range(ROUNDS):
+        after = staged(_star(_star(edges, True), False).distinct(), "links")
+        dropped(spark, edges)
+        edges = _joined(after)
         if _settled(edges):
             break
-        after = staged(_star(_star(edges, True), False).mapInArrow(_combined, "a long, b long").distinct(), "links")
-        dropped(spark, edges)
-        edges = after
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
