@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._io import ship, staged
+from ._io import dropped, ship, staged
 from .components import components, joins
 
-TREES, LEAF, SPILL, DEPTH, SAMPLE, BLOCK, ROUNDS = 8, 64, 0.035, 6, 4096, 2048, 12
+TREES, LEAF, SPILL, DEPTH, SAMPLE, BLOCK, ROUNDS = 6, 64, 0.02, 6, 4096, 2048, 12
 THRESHOLD = 0.93
 #: Rows of a node that one task splits.
 PIECE = 4096
@@ -101,10 +101,10 @@ def descend(nodes: list[tuple], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(leaf)
 
 
-def trees(rows: DataFrame) -> DataFrame:
-    """node, tree: a subtree for each node, from a sample of about SAMPLE of its vectors (all, if it has fewer)."""
+def trees(rows: DataFrame, vecs: DataFrame) -> DataFrame:
+    """node, tree: a subtree for each node (pid, node, n), from a sample of about SAMPLE of its vectors (all, if it has fewer)."""
     rate = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))
-    chosen = rows.where(F.pmod(F.xxhash64("pid", "node"), F.lit(1 << 30)) < rate * (1 << 30))
+    chosen = rows.where(F.pmod(F.xxhash64("pid", "node"), F.lit(1 << 30)) < rate * (1 << 30)).join(vecs, F.col("pid") == F.col("__pid")).select("node", "n", "vec")
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         n = table.column("n")[0].as_py()
@@ -115,38 +115,42 @@ def trees(rows: DataFrame) -> DataFrame:
 
 
 def leaves(points: DataFrame) -> DataFrame:
-    """pid, node for all leaves; points: pid, root, vec."""
-    kind = points.schema["vec"].dataType.simpleString()
-    rows = points.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("pid", F.xxhash64("root", "t").alias("node"), "vec", F.lit(-1).cast("long").alias("was"))
+    """pid, node for all leaves; points: pid, root, vec.
+
+    What goes from round to round is narrow; vectors are looked up only for nodes that are still split.
+    """
+    vecs = points.select(F.col("pid").alias("__pid"), "vec")
+    rows = points.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("pid", F.xxhash64("root", "t").alias("node"), F.lit(-1).cast("long").alias("was"))
     done = None
     for _ in range(ROUNDS):
+        rows = staged(rows, "forest-rows")
         sizes = rows.groupBy(F.col("node").alias("__node")).agg(F.count(F.lit(1)).alias("n"))
-        rows = staged(rows.join(sizes, F.col("node") == F.col("__node")).drop("__node"), "forest-nodes")
         # a node that hardly shrank is as dense as it gets: its pairs are compared in blocks
         more = (F.col("n") > 2 * LEAF) & ((F.col("was") < 0) | (F.col("n") < 0.8 * F.col("was")))
-        final = rows.where(~more).select("pid", "node")
+        sized = staged(rows.join(sizes, F.col("node") == F.col("__node")).select("pid", "node", "n", more.alias("more")), "forest-nodes")
+        dropped(points.sparkSession, rows)
+        final = sized.where(~F.col("more")).select("pid", "node")
         done = final if done is None else done.unionByName(final)
-        rows = rows.where(more)
-        if rows.isEmpty():
+        big = sized.where("more").select("pid", "node", "n")
+        if big.isEmpty():
             return done
-        grown = trees(rows)
-        counts = rows.groupBy("node").agg(F.first("n").alias("n"))
+        grown = trees(big, vecs)
+        counts = big.groupBy("node").agg(F.first("n").alias("n"))
         pieces = F.ceil(F.col("n") / F.lit(PIECE)).cast("int")
         copies = grown.join(counts, "node").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).select("node", "piece", "tree")
-        parts = rows.withColumn("piece", F.pmod(F.xxhash64("pid"), pieces).cast("int"))
+        parts = big.join(vecs, F.col("pid") == F.col("__pid")).select("pid", "node", "n", "vec", F.pmod(F.xxhash64("pid"), pieces).cast("int").alias("piece"))
 
         def work(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            schema = pa.schema([("pid", pa.int64()), ("node", pa.int64()), ("vec", left.schema.field("vec").type), ("was", pa.int64())])
+            schema = pa.schema([("pid", pa.int64()), ("node", pa.int64()), ("was", pa.int64())])
             if not len(left):
                 return schema.empty_table()
             nodes = pickle.loads(right.column("tree")[0].as_py())
             row, leaf = descend(nodes, unit(matrix(left.column("vec"))))
             node = np.full(len(row), key[0].as_py(), np.int64).view(K.U64)
-            own = left.take(pa.array(row))
-            cols = [own.column("pid").combine_chunks(), pa.array(K.pair(node, leaf.astype(K.U64)).view(np.int64)), own.column("vec").combine_chunks(), own.column("n").combine_chunks()]
-            return pa.Table.from_arrays(cols, schema=schema)
+            pid, n = (np.asarray(left.column(c))[row] for c in ("pid", "n"))
+            return pa.Table.from_arrays([pa.array(pid), pa.array(K.pair(node, leaf.astype(K.U64)).view(np.int64)), pa.array(n)], schema=schema)
 
-        rows = parts.groupBy("node", "piece").cogroup(copies.groupBy("node", "piece")).applyInArrow(work, f"pid long, node long, vec {kind}, was long")
+        rows = parts.groupBy("node", "piece").cogroup(copies.groupBy("node", "piece")).applyInArrow(work, "pid long, node long, was long")
     return done.unionByName(rows.select("pid", "node"))
 
 
