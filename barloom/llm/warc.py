@@ -42,6 +42,8 @@ SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REVISIT_LEAST = 100
 ARCHIVE_BYTES = 32 << 20
+#: Rows that become Python objects at once.
+SLICE = 256
 DICT_BYTES, SAMPLE_BYTES = 64 << 10, 3 << 20
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, records long, bytes long, offsets array<long>"
@@ -176,13 +178,15 @@ def write(records: DataFrame, path: str) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                one = record(row[0], row[1], row[2].encode(), *row[3:])
-                if held and size + len(one) > ARCHIVE_BYTES:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(one)
-                size += len(one)
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                for row in zip(*(part.column(i).to_pylist() for i in range(7))):
+                    one = record(row[0], row[1], row[2].encode(), *row[3:])
+                    if held and size + len(one) > ARCHIVE_BYTES:
+                        yield flush(held)
+                        held, size = [], 0
+                    held.append(one)
+                    size += len(one)
         if held:
             yield flush(held)
 
