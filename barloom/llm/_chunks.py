@@ -85,13 +85,26 @@ def each_chunk(df: DataFrame, work: Callable[..., Iterator[pa.RecordBatch] | Non
     return df.mapInArrow(run, schema)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The values' bytes; of int64, ids and places with many zero bytes, plane by plane, so that they compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() if x.dtype == np.int64 else x.tobytes()
+
+
+def unpacked(blobs: list[bytes], kind: type) -> np.ndarray:
+    """The values of several packed() pieces, one after the other."""
+    if kind is not np.int64:
+        return np.frombuffer(b"".join(blobs), kind)
+    planes = [np.frombuffer(b, np.uint8).reshape(8, -1) for b in blobs]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(np.int64).ravel() if planes else np.zeros(0, np.int64)
+
+
 def questions(chunk: int, names: np.ndarray, buckets: int, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row a bucket: the names (distinct, in order) and what goes with them."""
     bucket = (K.mix(names ^ K.U64(0xC0DE)) % K.U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     full = np.flatnonzero(cut[1:] > cut[:-1])
-    blobs = [[x[order[cut[b] : cut[b + 1]]].tobytes() for b in full] for x in (names, *more)]
+    blobs = [[packed(x[order[cut[b] : cut[b + 1]]]) for b in full] for x in (names, *more)]
     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk))] + [pa.array(b, pa.binary()) for b in blobs], names=["bucket", "chunk", "names", *[f"x{i}" for i in range(len(more))]])
 
 
@@ -106,7 +119,7 @@ def answers(asked: DataFrame, resolve: Callable[..., np.ndarray], types: list) -
         chunk = np.asarray(table.column("chunk"))
         blobs = [table.column(i).to_pylist() for i in range(2, table.num_columns)]
         lens = np.array([len(b) // 8 for b in blobs[0]])
-        parts = [np.frombuffer(b"".join(b), t) for b, t in zip(blobs, [K.U64, *types])]
+        parts = [unpacked(b, t) for b, t in zip(blobs, [K.U64, *types])]
         got = resolve(np.repeat(np.arange(len(chunk)), lens), *parts).astype(np.uint8)
         cut = np.concatenate([[0], np.cumsum(lens)])
         return pa.table({"chunk": pa.array(chunk), "bucket": pa.array(np.full(len(chunk), key[0].as_py(), np.int32)), "said": pa.array([got[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})

@@ -19,7 +19,7 @@ In each round Spark moves the names to the buckets that own them, where they are
 sorted; a name occurs there once for each chunk of documents that has it, so a
 passage that a third of all documents hold is no hot spot.  Every name goes with a
 check, a second name of another kind made from the same bytes where they stand, and
-only rows that agree in both, 128 bits, count as equal.  A bucket holds the names of
+only rows that agree in both, 96 bits, count as equal.  A bucket holds the names of
 about BUCKET_BYTES of compressed texts, however large the input is.
 
 Null and empty texts have no bytes.  A null doc_id sorts with the largest long, after
@@ -79,6 +79,9 @@ class Ranks:
     def _double(x: np.ndarray, by: int) -> np.ndarray:
         return K.pair(x[: len(x) - by], x[by:]) if len(x) > by else x[:0]
 
+    def check(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.checks.between(start, end).astype(np.uint32)
+
     def strings(self, at: np.ndarray) -> np.ndarray:
         """Names of the LENGTH bytes at each place."""
         h64 = K.pair(self.h32[at], self.h32[at + 32])
@@ -96,7 +99,7 @@ class Ranks:
         for i in np.flatnonzero(~full).tolist():
             body = raw[left[i] : right[i]] + int(at[i] - left[i]).to_bytes(2, "little")
             out[i] = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little")
-        return out, K.pair(self.checks.between(left, right), (at - left).astype(K.U64))
+        return out, self.check(left, right) ^ (at - left).astype(np.uint32)
 
 
 def firsts(names: tuple[np.ndarray, ...], *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +161,7 @@ def started(asker: np.ndarray, names: np.ndarray, checks: np.ndarray, ids: np.nd
 
 def first_round(r: Ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct names and checks of anchors, whether each occurs twice here, and which one each anchor has."""
-    checks = r.checks.between(r.anchors, r.anchors + SEED)
+    checks = r.check(r.anchors, r.anchors + SEED)
     first, which = distinct(r.names, (checks,))
     return r.names[first], checks[first], (np.bincount(which) > 1).astype(np.uint8), which
 
@@ -195,7 +198,7 @@ def third_round(r: Ranks, ids: np.ndarray, said1: list[dict] | None, said2: list
     s = K.ranges(lo, count)
     s = np.unique(s[r.floor[s] == np.repeat(r.h32[l_at], count)])
     s_doc = np.searchsorted(r.offsets, s, "right") - 1
-    name, check, pos = r.strings(s), r.checks.between(s, s + LENGTH), s - r.offsets[s_doc]
+    name, check, pos = r.strings(s), r.check(s, s + LENGTH), s - r.offsets[s_doc]
     first, own = distinct(name, (check,), ids[s_doc], pos)
     return np.cumsum(gone[:-1]) > 0, s, name[first], check[first], first, own, ids[s_doc][first], pos[first]
 
@@ -211,21 +214,21 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kept_te
         names, checks, twice, _ = first_round(Ranks(data, offsets))
         yield from C.questions(chunk, names, buckets, checks, twice)
 
-    said1 = staged(C.answers(C.each_chunk(chunks, ask1, C.question_schema(2)), repeated, [K.U64, np.uint8]), "ranks-1")
+    said1 = staged(C.answers(C.each_chunk(chunks, ask1, C.question_schema(2)), repeated, [np.uint32, np.uint8]), "ranks-1")
 
     def ask2(chunk, ids, data, offsets, said) -> Iterator[pa.RecordBatch]:
         _, _, _, _, names, reach, checks, first_id, first_pos = second_round(Ranks(data, offsets), ids, said, buckets)
         yield from C.questions(chunk, names, buckets, reach, checks, first_id, first_pos.astype(np.int64))
 
     asked = C.each_chunk(C.with_answers(chunks, said1), ask2, C.question_schema(4))
-    said2 = staged(C.answers(asked, decided, [K.U64, K.U64, np.int64, np.int64]), "ranks-2")
+    said2 = staged(C.answers(asked, decided, [K.U64, np.uint32, np.int64, np.int64]), "ranks-2")
 
     def ask3(chunk, ids, data, offsets, said_1, said_2) -> Iterator[pa.RecordBatch]:
         _, _, names, checks, _, _, first_id, first_pos = third_round(Ranks(data, offsets), ids, said_1, said_2, buckets)
         yield from C.questions(chunk, names, buckets, checks, first_id, first_pos.astype(np.int64))
 
     asked = C.each_chunk(C.with_answers(chunks, said1, said2), ask3, C.question_schema(3))
-    said3 = staged(C.answers(asked, started, [K.U64, np.int64, np.int64]), "ranks-3")
+    said3 = staged(C.answers(asked, started, [np.uint32, np.int64, np.int64]), "ranks-3")
 
     def finish(chunk, ids, data, offsets, said_1, said_2, said_3) -> Iterator[pa.RecordBatch]:
         r = Ranks(data, offsets)
