@@ -110,12 +110,16 @@ def segment(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
 class Filter:
     """Segments side by side; probes count up until a level is missing."""
 
-    def __init__(self, buckets: int, ids: np.ndarray, blobs: list[bytes]):
+    def __init__(self, buckets: int, sizes: list[tuple[int, int]]):
+        """sizes: (bucket, bytes); put() fills them."""
         self.words = np.zeros(buckets, np.int64)
-        self.words[ids] = [len(b) // 8 for b in blobs]
-        order = np.argsort(ids, kind="stable")
-        self.bits = np.frombuffer(b"".join(blobs[i] for i in order), K.U64)
+        for bucket, length in sizes:
+            self.words[bucket] = length // 8
         self.starts = np.concatenate([[0], np.cumsum(self.words)[:-1]])
+        self.bits = np.zeros(int(self.words.sum()), K.U64)
+
+    def put(self, bucket: int, blob: bytes) -> None:
+        self.bits[self.starts[bucket] : self.starts[bucket] + self.words[bucket]] = np.frombuffer(blob, K.U64)
 
     def count(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Levels found for each key."""
@@ -320,16 +324,15 @@ def packed_words(top: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def collected(df: DataFrame, sizes: list[tuple[int, int]], buckets: int) -> Filter:
     """The segments of these buckets (bucket, bytes), fetched some MB at a time."""
-    ids, blobs, part, size = [], [], [], 0
+    out, part, size = Filter(buckets, sizes), [], 0
     for i, (bucket, length) in enumerate(sizes):
         part.append(bucket)
         size += length
         if size >= FETCH_BYTES or i == len(sizes) - 1:
             for r in df.where(F.col("bucket").isin(part)).select("bucket", "bits").collect():
-                ids.append(r["bucket"])
-                blobs.append(r["bits"])
+                out.put(r["bucket"], r["bits"])
             part, size = [], 0
-    return Filter(buckets, np.array(ids, np.int64), blobs)
+    return out
 
 
 def levelled(rows: DataFrame, model: dict) -> DataFrame:
