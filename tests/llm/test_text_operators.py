@@ -2,7 +2,6 @@
 
 import base64
 import hashlib
-import math
 import random
 import re
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.llm import bpe, debruijn, exact_dedup, mixing, prefix_doubling
 from barloom.llm.queries import ranks_file
 
-from .conftest import LONG
+from .conftest import LONG, copies
 
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -86,26 +85,7 @@ def test_another_pattern_is_refused(make):
 def test_mix_counts(make):
     rows = [(i, f"text {i} " * (1 + i % 3), "big" if i % 10 else "small") for i in range(400)] + [(None, None, None), (7, "", "big")]
     out = mixing.mix(make(rows)).collect()
-    sizes = {}
-    for _, t, s in rows:
-        sizes[s] = sizes.get(s, 0) + max(1, len(t or ""))
-    all_, roots = sum(sizes.values()), sum(math.sqrt(v) for v in sizes.values())
-    want = []
-    for i, t, s in rows:
-        rate = math.sqrt(sizes[s]) / roots * all_ / sizes[s]
-        parts = max(1, math.ceil(rate / 8))
-        total = 0
-        key = f"mix-1|{'null' if i is None else i}"
-        for j in range(1, parts + 1):
-            u = (int(hashlib.md5(f"{key}|{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-            p = cdf = math.exp(-rate / parts)
-            k = 0
-            while u > cdf and k < 48:
-                k += 1
-                p *= rate / parts / k
-                cdf += p
-            total += k
-        want += [(i, s, c) for c in range(total)]
+    want = copies(rows)
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(((r.doc_id, r.source, r.copy_no) for r in out), key=key) == sorted(want, key=key)
     assert mixing.mix(make([])).count() == 0
