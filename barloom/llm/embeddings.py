@@ -33,6 +33,8 @@ from .components import components, joins
 
 TREES, LEAF, SPILL, DEPTH, SAMPLE, BLOCK, ROUNDS = 6, 64, 0.02, 6, 4096, 2048, 12
 THRESHOLD = 0.93
+#: A split counts only if neither side has more than this share of the node's vectors.
+SHRINK = 0.7
 #: Rows of a node that one task splits.
 PIECE = 4096
 
@@ -70,6 +72,10 @@ def grow(x: np.ndarray, rate: float, seed: int) -> list[tuple]:
                 best = (p.std(), d / size, p)
         _, d, p = best
         mid = float(np.median(p))
+        # vectors that lie close together all go both ways: such a node is a leaf, or it would be copied at every level
+        if max((p <= mid + SPILL).mean(), (p > mid - SPILL).mean()) > SHRINK:
+            leaves[0] += 1
+            return -leaves[0]
         me = len(nodes)
         nodes.append(())
         left = split(rows[p <= mid], depth + 1)
