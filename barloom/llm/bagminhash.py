@@ -43,8 +43,10 @@ COMPONENTS = BANDS * ROWS
 #: A pair whose signatures agree less is not verified: five standard deviations below THRESHOLD.
 ESTIMATE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5
 BATCH_BYTES = 6 << 20
-#: Members of a bucket or family compared in one block.
-BLOCK = 512
+#: Members of a bucket or family compared in one block, and bytes of their multisets.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Tasks over which the members of a bucket or family are dealt where they learn its size.
+SALTS = 16
 
 
 def multisets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,8 +213,8 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def blocks(members: DataFrame) -> DataFrame:
-    """Rows for each pair of blocks of a group: n (members of the group) over BLOCK blocks, so a large group is many tasks."""
-    rows = members.withColumn("__k", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    """Rows for each pair of blocks of a group: its n members and bytes over BLOCK and BLOCK_BYTES, so a large group is many tasks."""
+    rows = members.withColumn("__k", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")).drop("bytes")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("__k")).cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
     return rows.withColumns({"lo": F.least("mine", "__other"), "hi": F.greatest("mine", "__other")}).drop("__k", "__other")
@@ -242,7 +244,7 @@ def alike(table: pa.Table, rows: slice, cols: slice) -> np.ndarray:
 def families(members: DataFrame) -> DataFrame:
     """Links that join all pairs of a bucket which may be near copies but are in different groups, at most one a member and block.
 
-    members: bucket, node, comp, sig, n (members of the bucket).
+    members: bucket, node, comp, sig, n (members of the bucket), bytes (0).
     """
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
@@ -256,7 +258,7 @@ def families(members: DataFrame) -> DataFrame:
 def settled(members: DataFrame) -> DataFrame:
     """Links between groups of a family, each verified on the whole multisets.
 
-    members: family, node, comp, sig, bag, n (members of the family).  Pairs are compared until their groups are
+    members: family, node, comp, sig, bag, n (members of the family), bytes (of its bags).  Pairs are compared until their groups are
     joined, so a block gives no more links than it has groups.
     """
 
@@ -334,16 +336,18 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", content
     sig = nodes.select(F.col("node").alias("__s"), "sig")
 
     def several(rows: DataFrame, key: str) -> DataFrame:
-        mixed = rows.groupBy(F.col(key).alias("__b")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-        return rows.drop("n").join(mixed.drop("lo", "hi"), F.col(key) == F.col("__b")).drop("__b")
+        mixed = rows.groupBy(F.col(key).alias("__b")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("lo <> hi")
+        mixed = mixed.select("__b", "n", "bytes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+        return rows.drop("size").join(mixed, (F.col(key) == F.col("__b")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("__salt"))).drop("__b", "__salt")
 
-    members = several(grouped(shared.select("bucket", "node"), "node", "comp"), "bucket").join(sig, F.col("node") == F.col("__s"))
-    kin = components(staged(families(members.select("bucket", "node", "comp", "sig", "n")), "bag-families"))
+    members = several(grouped(shared.select("bucket", "node", F.lit(0).alias("size")), "node", "comp"), "bucket").join(sig, F.col("node") == F.col("__s"))
+    kin = components(staged(families(members.select("bucket", "node", "comp", "sig", "n", "bytes")), "bag-families"))
     kin = staged(kin.select("node", F.col("component").alias("family")), "bag-kin")
     rest = staged(bags_of(kin.select("node").join(wanted, "node", "left_anti")), "bag-texts")
     both = bags.unionByName(rest).select(F.col("node").alias("__t"), "bag")
-    members = several(grouped(kin, "node", "comp"), "family").join(sig, F.col("node") == F.col("__s")).join(both, F.col("node") == F.col("__t"))
-    links = staged(links.unionByName(settled(members.select("family", "node", "comp", "sig", "bag", "n"))), "bag-links")
+    sized = kin.join(both.select(F.col("__t"), F.octet_length("bag").alias("size")), F.col("node") == F.col("__t")).drop("__t")
+    members = several(grouped(sized, "node", "comp"), "family").join(sig, F.col("node") == F.col("__s")).join(both, F.col("node") == F.col("__t"))
+    links = staged(links.unionByName(settled(members.select("family", "node", "comp", "sig", "bag", "n", "bytes"))), "bag-links")
     groups = components(links)
 
     whole = grouped(nodes.select("node", "doc_id", "rows"), "node", "comp")
