@@ -31,10 +31,10 @@ from . import _kernels as K
 from ._io import dropped, ship, staged
 from .components import components, joins
 
-TREES, LEAF, SPILL, DEPTH, SAMPLE, BLOCK, ROUNDS = 6, 64, 0.02, 6, 4096, 2048, 12
+TREES, LEAF, SPILL, DEPTH, SAMPLE, BLOCK, ROUNDS = 8, 64, 0.012, 6, 4096, 2048, 12
 THRESHOLD = 0.93
 #: A split counts only if neither side has more than this share of the node's vectors.
-SHRINK = 0.7
+SHRINK = 0.6
 #: Rows of a node that one task splits.
 PIECE = 4096
 
