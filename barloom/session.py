@@ -33,8 +33,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+#: Rows of an Arrow batch at most: rows hold whole texts, and a batch stands in the memory of both sides.
+BATCH_ROWS = 2500
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did."""
+    """Let Python workers import this package from where the driver did, and send them batches of bounded rows."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
