@@ -42,7 +42,7 @@ BANDS, ROWS = 30, 6
 COMPONENTS = BANDS * ROWS
 #: A pair whose signatures agree less is not verified: five standard deviations below THRESHOLD.
 ESTIMATE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 #: Members of a bucket or family compared in one block, and bytes of their multisets.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Tasks over which the members of a bucket or family are dealt where they learn its size.

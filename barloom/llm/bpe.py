@@ -38,7 +38,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: The pattern that pretokens() stands for; encode() refuses any other.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct merged pre-tokens, and their bytes, that a worker remembers before it starts afresh.
-MEMO, MEMO_BYTES = 400_000, 64 << 20
+MEMO, MEMO_BYTES = 100_000, 16 << 20
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:
