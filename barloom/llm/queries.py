@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, debruijn, embeddings, exact_dedup, lm, mixing, prefix_doubling, quality, warc
+from . import bagminhash, bpe, debruijn, embeddings, exact_dedup, lm, mixing, prefix_doubling, quality, rules, warc
 from ._io import table
 
 
@@ -64,6 +64,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks_file(), keep=["doc_id"], ids=False, pattern=pattern())
 
 
+def op11_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents")).drop("posterior")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
     "op2_lm_score": op2_lm_score,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_doubling": op8_prefix_doubling,
     "op9_debruijn": op9_debruijn,
     "op10_bpe": op10_bpe,
+    "op11_weak_rules": op11_weak_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -139,5 +144,36 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
+""",
+    "op11_weak_rules": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, p, ws[p:p + 2] AS three FROM w, unnest(range(1, len(ws) - 1)) AS t(p)),
+r AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1),
+k AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM r, (VALUES (0), (1), (2)) AS t(o) GROUP BY doc_id),
+c AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(k.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_distinct(ws)) AS n_distinct_words,
+    length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')) AS n_letters, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_ascii_letters,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks,
+    len(list_filter(ws, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS n_letter_words
+  FROM w LEFT JOIN k ON k.doc_id = w.doc_id),
+v AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.REPEAT_PERCENT} * n_words AS base_failed, [{", ".join(r.sql() for r in rules.RULES)}] AS v FROM c),
+pat AS (SELECT v, count(*)::DOUBLE AS n FROM v GROUP BY v),
+em AS (
+  SELECT 0 AS i, {rules.START[0]}::DOUBLE AS good, list_transform(range({len(rules.RULES)}), lambda x: {rules.START[1]}::DOUBLE) AS a, list_transform(range({len(rules.RULES)}), lambda x: {rules.START[2]}::DOUBLE) AS b
+  UNION ALL
+  SELECT i + 1, any_value((up + own * {rules.START[0]}) / (up + down + own)), list((gu + own * {rules.START[1]}) / (gv + own) ORDER BY k), list((bd + own * {rules.START[2]}) / (bv + own) ORDER BY k)
+  FROM (
+    SELECT i, k, {rules.WEIGHT} * greatest(sum(n), 1) AS own, sum(p * n) AS up, sum((1 - p) * n) AS down, coalesce(sum(p * n) FILTER (v[k] > 0), 0) AS gu, coalesce(sum(p * n) FILTER (v[k] <> 0), 0) AS gv,
+      coalesce(sum((1 - p) * n) FILTER (v[k] < 0), 0) AS bd, coalesce(sum((1 - p) * n) FILTER (v[k] <> 0), 0) AS bv
+    FROM (
+      SELECT i, v, n, 1 / (1 + exp(-(ln(good / (1 - good)) + list_sum(list_transform(range(1, {len(rules.RULES) + 1}), lambda j: CASE WHEN v[j] = 0 OR a[j] + b[j] <= 1 THEN 0 WHEN v[j] > 0 THEN ln(a[j] / (1 - b[j])) ELSE ln((1 - a[j]) / b[j]) END))))) AS p
+      FROM em, pat WHERE i < {rules.ROUNDS}), unnest(range(1, {len(rules.RULES) + 1})) AS t(k) GROUP BY i, k) GROUP BY i),
+post AS (
+  SELECT v, 1 / (1 + exp(-(ln(good / (1 - good)) + list_sum(list_transform(range(1, {len(rules.RULES) + 1}), lambda j: CASE WHEN v[j] = 0 OR a[j] + b[j] <= 1 THEN 0 WHEN v[j] > 0 THEN ln(a[j] / (1 - b[j])) ELSE ln((1 - a[j]) / b[j]) END))))) AS p
+  FROM em, pat WHERE i = {rules.ROUNDS})
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND p >= {rules.THRESHOLD} AS kept
+FROM v JOIN post USING (v)
 """,
 }
