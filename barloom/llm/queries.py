@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, debruijn, embeddings, exact_dedup, lm, mixing, prefix_doubling, quality, rules, warc
+from . import bagminhash, bpe, debruijn, divergence, embeddings, exact_dedup, lm, mixing, prefix_doubling, quality, rules, warc
 from ._io import table
 
 
@@ -68,6 +68,10 @@ def op11_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents")).drop("posterior")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
     "op2_lm_score": op2_lm_score,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_debruijn": op9_debruijn,
     "op10_bpe": op10_bpe,
     "op11_weak_rules": op11_weak_rules,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -175,5 +180,23 @@ post AS (
   FROM em, pat WHERE i = {rules.ROUNDS})
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND p >= {rules.THRESHOLD} AS kept
 FROM v JOIN post USING (v)
+""",
+    "op12_divergence": rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT row_number() OVER () AS r, lang, source, ts FROM d),
+o AS (SELECT r, lang, source, unnest(ts) AS term FROM w),
+k AS (SELECT lang, term, count(*) AS n_lang FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY lang, source, term),
+n AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n_lang FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, sum(n_lang) OVER (PARTITION BY lang, source) AS total_lang, count(*) OVER (PARTITION BY lang, source) AS v FROM n),
+p AS (SELECT lang, source, term, n, 1 + ({divergence.SCALE}::HUGEINT * (n + {divergence.SMOOTH})) // (total + {divergence.SMOOTH} * v) AS p, 1 + ({divergence.SCALE}::HUGEINT * (n_lang + {divergence.SMOOTH})) // (total_lang + {divergence.SMOOTH} * v) AS q FROM s),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM y WHERE part = 'pair' OR rank <= {divergence.TOP}
 """,
 }
