@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, debruijn, divergence, embeddings, exact_dedup, lm, mixing, prefix_doubling, quality, rules, warc
+from . import bagminhash, bpe, debruijn, divergence, embeddings, exact_dedup, lm, mixing, prefix_doubling, quality, rules, trie, warc
 from ._io import table
 
 
@@ -72,6 +72,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
     "op2_lm_score": op2_lm_score,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_weak_rules": op11_weak_rules,
     "op12_divergence": op12_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -198,5 +203,29 @@ x AS (
   SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
 y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM y WHERE part = 'pair' OR rank <= {divergence.TOP}
+""",
+    "op13_prefix_trie": """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn FROM conversations),
+p AS (SELECT c, text, digest, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, digest) AS pos FROM t),
+z AS (SELECT c, c - c % 5 AS base, max(pos) AS total, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: unicode(substr(c::VARCHAR, i::INT, 1))::UBIGINT) AS codes FROM p GROUP BY c),
+v AS (
+  SELECT c, base, total, xor(list_reduce(list_prepend(4294967295::UBIGINT, codes), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT) % 9 AS h FROM z),
+b AS (
+  SELECT v.c, p.pos AS d, p.digest, p.text FROM v JOIN p ON p.c = v.base AND p.pos <= v.h
+  UNION ALL
+  SELECT v.c, least(v.h, coalesce(o.total, 0)) + p.pos - v.h, p.digest, p.text FROM v JOIN p ON p.c = v.c AND p.pos > v.h LEFT JOIN v o ON o.c = v.base
+  UNION ALL
+  SELECT c, 0, '', '' FROM v),
+n AS (SELECT c, d, strlen(text) AS bytes, sha256(string_agg(digest, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS name, max(d) OVER (PARTITION BY c) AS last FROM b),
+q AS (SELECT *, lag(name) OVER (PARTITION BY c ORDER BY d) AS above FROM n),
+k AS (SELECT d, name, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = last), '') AS ends FROM q GROUP BY d, name),
+m AS (SELECT d - 1 AS d, above AS name, count(*) AS n_children FROM k WHERE d > 0 GROUP BY 1, 2),
+w AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN m USING (d, name)),
+u AS (SELECT DISTINCT a.d, a.name, b.d AS d2, b.name AS name2 FROM q a JOIN q b ON a.c = b.c AND b.d >= a.d),
+s AS (SELECT u.d, u.name, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.bytes) AS saved FROM u JOIN w ON w.d = u.d2 AND w.name = u.name2 GROUP BY 1, 2)
+SELECT w.conv_id, w.d::BIGINT AS depth, o.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN s USING (d, name) LEFT JOIN w o ON o.d = w.d - 1 AND o.name = w.above
 """,
 }
