@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import text as T
 from barloom.operators import sections as S
+from barloom.operators.keywords import Tagger
 from barloom.queries.registry import Tables, twin
 from barloom.sources import files
 from barloom.sources import web as W
@@ -31,18 +32,39 @@ SELECT doc_id, array_to_string(list_sort(CASE WHEN r THEN list_concat(k, ['recov
 def topic_union(t: Tables) -> DataFrame:
     """Topics of the text and those its type always has."""
     kind = F.when(F.col("doc_id") % 3 == 0, "recovery_adaptation").otherwise("concept")
-    return t.documents.select("doc_id", F.array_join(S.topics_of(F.col("text"), kind, KEYWORDS), ",").alias("topics"))
+    return t.documents.select("doc_id", F.array_join(S.topics_of(F.col("text"), kind, Tagger(t.spark, KEYWORDS)), ",").alias("topics"))
 
 
-@twin("""
-WITH o AS (SELECT doc_id, source, CASE WHEN contains(text, 'the') THEN 'a' ELSE 'b' END AS old, CASE WHEN contains(text, 'ing') THEN 'a' ELSE 'b' END AS new FROM documents)
-SELECT source, count(*) AS scanned, count(*) FILTER (WHERE old <> new) AS updated FROM o GROUP BY source""")
+#: Keywords of benchmark texts: words of six letters or more, each with two topics.
+VOCABULARY_SQL = r"""w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\s+')) AS keyword FROM benchmark),
+v AS (SELECT keyword, 'starts_' || left(keyword, 1) AS topic FROM w WHERE length(keyword) >= 6 UNION ALL SELECT keyword, 'letters_' || length(keyword) FROM w WHERE length(keyword) >= 6)"""
+
+
+def vocabulary(t: Tables) -> DataFrame:
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("keyword")).distinct().where(F.length("keyword") >= 6)
+    topics = F.array(F.concat(F.lit("starts_"), F.left("keyword", F.lit(1))), F.concat(F.lit("letters_"), F.length("keyword").cast("string")))
+    return words.select("keyword", F.explode(topics).alias("topic"))
+
+
+@twin(f"""
+WITH {VOCABULARY_SQL} SELECT doc_id, string_agg(DISTINCT topic, ',' ORDER BY topic) AS topics FROM documents JOIN v ON contains(lower(text), keyword) GROUP BY doc_id""")
+def keyword_tag(t: Tables) -> DataFrame:
+    """Topics of hundreds of keywords, anywhere in the text, also inside words: one automaton over all texts."""
+    return Tagger(t.spark, vocabulary(t)).tagged(t.documents, "doc_id", "text").select("doc_id", F.array_join("topics", ",").alias("topics"))
+
+
+@twin(f"""
+WITH {VOCABULARY_SQL}, d AS (SELECT doc_id, source, lower(text) AS text FROM documents),
+n AS (SELECT doc_id, list_sort(list_distinct(list(topic))) AS topics FROM d JOIN v ON contains(text, keyword) GROUP BY doc_id),
+o AS (SELECT doc_id, list_sort(list_distinct(list(topic))) AS topics FROM d JOIN v ON contains(text, keyword) WHERE length(keyword) < 9 GROUP BY doc_id)
+SELECT source, count(*) AS scanned, count(*) FILTER (WHERE coalesce(n.topics, []) <> coalesce(o.topics, [])) AS updated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id) GROUP BY source""")
 def retag_changes(t: Tables) -> DataFrame:
-    """Rows whose topic set changes, by source."""
+    """Rows whose topic set changes when longer keywords come into the vocabulary, by source."""
     from barloom.functions.collections import same_set
 
-    one = lambda w: F.array(F.when(F.contains("text", F.lit(w)), "a").otherwise("b"))
-    rows = t.documents.withColumns({"old": one("the"), "new": one("ing")})
+    words = vocabulary(t)
+    old, new = Tagger(t.spark, words.where(F.length("keyword") < 9)), Tagger(t.spark, words)
+    rows = t.documents.select("source", old.topics(F.col("text")).alias("old"), new.topics(F.col("text")).alias("new"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(~same_set(F.col("old"), F.col("new"))).alias("updated"))
 
 

@@ -81,18 +81,6 @@ def rule_predicates(t: Tables) -> DataFrame:
     return good.orderBy(F.desc("priority"), "id").limit(20).select(F.col("id").alias("event_id"))
 
 
-@twin("""
-WITH k(keyword, topic) AS (VALUES ('the', 'english'), ('ing', 'english'), ('der', 'german'), ('ung', 'german'), ('que', 'french'), ('ción', 'spanish'))
-SELECT doc_id, string_agg(DISTINCT topic, ',' ORDER BY topic) AS topics FROM documents JOIN k ON contains(lower(text), keyword) GROUP BY doc_id""")
-def keyword_tag(t: Tables) -> DataFrame:
-    """Substring matches, also inside words, by a join with a keyword table."""
-    from barloom.operators.sections import tagged
-
-    rows = [("the", "english"), ("ing", "english"), ("der", "german"), ("ung", "german"), ("que", "french"), ("ción", "spanish")]
-    out = tagged(t.documents, "doc_id", "text", t.spark.createDataFrame(rows, "keyword string, topic string"))
-    return out.select("doc_id", F.array_join("topics", ",").alias("topics"))
-
-
 @twin("""
 WITH h AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents WHERE trim(text) <> '') SELECT doc_id, sha256(text) AS content_hash FROM h WHERE rn = 1""")
 def hash_dedup_keep_first(t: Tables) -> DataFrame:

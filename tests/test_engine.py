@@ -9,6 +9,7 @@ from barloom import engine
 from barloom.operators import exports as X
 from barloom.operators import jobs as J
 from barloom.operators import sections as S
+from barloom.operators.keywords import Tagger
 from barloom.plans import rules as P
 from barloom.sources import articles as H
 from barloom.sources import files
@@ -128,8 +129,8 @@ def test_vocabulary_and_tags(spark, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps({"Clean Pull": ["pulling", "clean"], "jerk": ["jerk"]}))
     words = S.vocabulary(spark, f"file://{tmp_path}/v.json")
     df = spark.createDataFrame([(1, "the CLEAN pull"), (2, "jerky"), (3, "none"), (4, None)], "id int, text string")
-    assert {r.id: r.topics for r in S.tagged(df, "id", "text", words).collect()} == {1: ["clean", "pulling"], 2: ["jerk"]}
-    assert S.tagged(df, "id", "text", words.where("false")).count() == 0
+    assert {r.id: r.topics for r in Tagger(spark, words).tagged(df, "id", "text").collect()} == {1: ["clean", "pulling"], 2: ["jerk"]}
+    assert Tagger(spark, words.where("false")).tagged(df, "id", "text").count() == 0
 
 
 def test_ingest_and_run_again(spark, tmp_path):

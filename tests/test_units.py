@@ -14,6 +14,7 @@ from barloom.operators import merge as M
 from barloom.operators import relational as R
 from barloom.operators import retrieval as V
 from barloom.operators import sections as S
+from barloom.operators.keywords import Tagger
 from barloom.plans import rules as P
 from barloom.plans import validation as L
 from barloom.sources import files, web
@@ -129,7 +130,7 @@ def test_sections_and_chunks(spark):
     kinds = ["a|b|c\nd|e|f\ng|h|i", "Monday:\n  Snatch 5x3\n  Squat 3 sets\n", "Power Snatch\nA fast lift.", "should not exceed 5. always use 10%. at least 3 " + "word " * 110, "never go. always use. at least 3.", "plain text", "at least 3 " + "word " * 60]
     got = column(spark, "string", kinds, S.classify)
     assert [(g.type, float(g.confidence)) for g in got] == [("table", 0.85), ("program_template", 0.8), ("exercise_description", 0.7), ("mixed", 0.75), ("principle", 0.7), ("prose", 0.6), ("prose", 0.55)]
-    assert column(spark, "string", ["a permission to err"], lambda c: S.tags(c, {"miss": ["fault"], "zzz": ["z"]})) == [["fault"]]
+    assert column(spark, "string", ["a permission to err"], lambda c: Tagger(spark, {"miss": ["fault"], "zzz": ["z"]}).topics(c)) == [["fault"]]
     bad = column(spark, "string", ["lower " * 5 + "5x3 @ 70% 5x3 @ 70% 5x3 @ 70%"], lambda c: S.validated(T.token_estimate(c), F.array().cast("array<string>"), c))[0]
     assert bad.issues == ["too_short", "no_topics", "rep_schemes", "starts_lowercase"] and bad.severity == "warning" and not bad.is_valid
     got = column(spark, "string", ["Hang Power Snatch"], lambda c: S.exercise_of(c, F.lit("Fast. Then more.")))[0]
