@@ -48,6 +48,18 @@ def retrieval_eval(t: Tables) -> DataFrame:
     return A.retrieval_quality(hits, cases).select("query", "results", "sources", "low", "high", F.array_join("topics", ",").alias("labels"), "topic_hit", "type_hit")
 
 
+@twin(f"""
+WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id, {SIM} AS sim FROM embeddings e, q)
+SELECT query, vec_id, round(sim, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sim, 12) DESC, vec_id) <= 10""")
+def topk_pruned(t: Tables) -> DataFrame:
+    """The 10 nearest of a fixed set of queries among all vectors, by an index that skips what cannot be near."""
+    from barloom.operators.vector_index import PivotIndex
+
+    queries = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qvec"))
+    found = PivotIndex.build(t.embeddings).topk(queries, 10)
+    return found.select("query", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @twin("""
 SELECT o_orderkey, list_has_any(k, [1, 2]) AS any_of, list_has_all(k, [1, 2]) AS all_of FROM (SELECT o_orderkey, list(DISTINCT l_linenumber) AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)""")
 def array_overlap(t: Tables) -> DataFrame:
