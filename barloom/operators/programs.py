@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from barloom.compat import nullif_blank
 from barloom.functions.numbers import bounded_float, bounded_int, progress, token_cost
-from barloom.operators.merge import insert_ignore, upsert
+from barloom.operators.merge import activated, deleted, insert_ignore, unlinked, upsert
 from barloom.operators.records import checked
 from barloom.operators.relational import keep_first, latest_by
+from barloom.operators.store import Transaction
 
 # Defaults of a percentage scheme and of a profile, labels of goals.
 SCHEME_DEFAULTS = {"scheme_name": "Unknown", "phase": "accumulation", "week_number": 1, "day_number": 1, "exercise_order": 1, "intensity_reference": "competition_lift"}
@@ -29,6 +30,40 @@ def program_tables(plans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return plans.drop("sessions"), sessions.drop("exercises"), exercises.select("program_id", "session_no", "exercise_no", "e.*")
 
 
+def create_programs(tx: Transaction, plans: DataFrame) -> None:
+    """Insert generated plans (see program_tables) with their sessions and exercises: all three tables, or none."""
+    for name, rows in zip(("programs", "sessions", "exercises"), program_tables(plans)):
+        tx.append(name, rows)
+
+
+def activate_programs(tx: Transaction, chosen: DataFrame) -> None:
+    """Drafts among ``chosen`` (program_id) become active, and their athletes' other active programmes superseded."""
+    rows = tx.read("programs").join(chosen.select(F.col("program_id").alias("__c")).distinct(), F.col("program_id") == F.col("__c"), "left")
+    tx.overwrite("programs", activated(rows, F.col("__c").isNotNull()).drop("__c"))
+
+
+def delete_programs(tx: Transaction, gone: DataFrame) -> None:
+    """Delete programmes (program_id, athlete_id: only an athlete's own) with sessions, exercises and generation log.
+
+    Logs and their entries stay, without the session or planned exercise that went.  sessions have a session_id, exercises
+    an exercise_row_id; logs refer to the first, entries to the second.
+    """
+    own = tx.read("programs").join(gone.select("program_id", "athlete_id").distinct(), ["program_id", "athlete_id"], "left_semi").select("program_id")
+    sessions, exercises = tx.read("sessions"), tx.read("exercises")
+    lost = sessions.join(own, "program_id", "left_semi").select("session_id")
+    lost_rows = exercises.join(own, "program_id", "left_semi").select("exercise_row_id")
+    after = {
+        "entries": unlinked(tx.read("entries"), lost_rows, "exercise_row_id"),
+        "logs": unlinked(tx.read("logs"), lost, "session_id"),
+        "generations": deleted(tx.read("generations"), own, "program_id"),
+        "exercises": deleted(exercises, own, "program_id"),
+        "sessions": deleted(sessions, own, "program_id"),
+        "programs": deleted(tx.read("programs"), own, "program_id"),
+    }
+    for name, rows in after.items():
+        tx.overwrite(name, rows)
+
+
 def audit_rows(log: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, error: Column) -> DataFrame:
     """Generations with their attempt number within the key, cost, status and, where they failed, the error."""
     attempt = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from barloom.operators import merge as M
 from barloom.operators import programs as P
 from barloom.operators import records as C
 from barloom.plans import rules
+from barloom.operators.store import Store
 from barloom.queries.registry import Tables, twin
+from barloom.session import shared_dir
 
 
 @twin("""
@@ -28,6 +32,48 @@ def program_tables(t: Tables) -> DataFrame:
     return exercises.select("program_id", "session_no", "exercise_no", "exercise_id", "sets")
 
 
+@twin("""
+WITH p AS (SELECT o_orderkey AS program_id, o_custkey AS athlete_id, CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'draft' END AS status FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+c AS (SELECT max(program_id) AS program_id, athlete_id FROM p WHERE status = 'draft' GROUP BY athlete_id),
+a AS (SELECT p.program_id, p.athlete_id, CASE WHEN c.program_id = p.program_id THEN 'active' WHEN c.program_id IS NOT NULL AND status = 'active' THEN 'superseded' ELSE status END AS status FROM p LEFT JOIN c USING (athlete_id)),
+g AS (SELECT program_id FROM a WHERE status = 'superseded' AND athlete_id % 3 <> 0),
+k AS (SELECT l_orderkey AS program_id, l_linenumber FROM lineitem)
+SELECT a.athlete_id, count(*) FILTER (WHERE g.program_id IS NULL) AS programs, count(*) FILTER (WHERE g.program_id IS NULL AND status = 'active') AS active, count(*) FILTER (WHERE g.program_id IS NULL AND status = 'superseded') AS superseded,
+  coalesce(sum(n) FILTER (WHERE g.program_id IS NULL), 0)::BIGINT AS exercises, count(*) AS logs, count(*) FILTER (WHERE g.program_id IS NULL) AS linked_logs, sum(n)::BIGINT AS entries, coalesce(sum(n) FILTER (WHERE g.program_id IS NULL), 0)::BIGINT AS linked_entries
+FROM a LEFT JOIN g USING (program_id) JOIN (SELECT program_id, count(*) AS n FROM k GROUP BY 1) USING (program_id) GROUP BY a.athlete_id""")
+def committed_programs(t: Tables) -> DataFrame:
+    """Six tables after two commits: plans with their logs are stored, then drafts activated and superseded plans deleted."""
+    store = Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("program_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
+    # an order is a programme of one session, its line items are the exercises
+    row = F.transform("lines", lambda x, i: F.struct(F.concat_ws("-", "program_id", i).alias("exercise_row_id"), x["l_partkey"].alias("exercise_id"), x["l_quantity"].alias("sets")))
+    session = F.struct(F.col("program_id").alias("session_id"), row.alias("exercises"))
+    status = F.when(F.col("o_orderstatus") == "O", "active").otherwise("draft")
+    plans = t.orders.join(lines, F.col("o_orderkey") == F.col("program_id")).select("program_id", F.col("o_custkey").alias("athlete_id"), status.alias("status"), F.array(session).alias("sessions"))
+
+    def created(tx) -> None:
+        P.create_programs(tx, plans)
+        who = tx.read("programs").select("program_id", "athlete_id")
+        tx.append("generations", who.select("program_id", F.lit(1).alias("attempt")))
+        tx.append("logs", tx.read("sessions").join(who, "program_id").select("athlete_id", "session_id"))
+        tx.append("entries", tx.read("exercises").join(who, "program_id").select("athlete_id", "exercise_row_id"))
+
+    def changed(tx) -> None:
+        programs = tx.read("programs")
+        P.activate_programs(tx, programs.where("status = 'draft'").groupBy("athlete_id").agg(F.max("program_id").alias("program_id")))
+        P.delete_programs(tx, tx.read("programs").where("status = 'superseded' AND athlete_id % 3 <> 0"))
+
+    store.change(created)
+    store.change(changed)
+    count = lambda name, *more: store.read(name).groupBy("athlete_id").agg(*more)
+    of = lambda s: F.count_if(F.col("status") == s)
+    rows = store.read("programs").groupBy("athlete_id").agg(F.count(F.lit(1)).alias("programs"), of("active").alias("active"), of("superseded").alias("superseded"))
+    planned = store.read("exercises").join(store.read("programs"), "program_id").groupBy("athlete_id").agg(F.count(F.lit(1)).alias("exercises"))
+    logs = count("logs", F.count(F.lit(1)).alias("logs"), F.count("session_id").alias("linked_logs"))
+    entries = count("entries", F.count(F.lit(1)).alias("entries"), F.count("exercise_row_id").alias("linked_entries"))
+    return logs.join(entries, "athlete_id").join(rows, "athlete_id", "left").join(planned, "athlete_id", "left").fillna(0)
+
+
 @twin("""
 SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS attempt, round((event_id % 100) * 3e-6 + (event_id % 7) * 1.5e-5, 8) AS cost_usd,
   CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN event_type = 'error' THEN props END AS error FROM events""")
