@@ -4,5 +4,5 @@ The tables have no weightlifting data, so operators run on analogues: a customer
 order for a programme, a line item for an entry, a part for an exercise, a document for a chunk, an event for an audit row.
 """
 
-from barloom.queries import analytics, functions, ingestion, planning, programs, records, relations, retrieval  # noqa: F401
+from barloom.queries import analytics, functions, ingestion, planning, programs, records, relations, retrieval, streams  # noqa: F401
 from barloom.queries.registry import ORACLE_SQL, QUERIES  # noqa: F401
