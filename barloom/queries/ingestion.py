@@ -230,3 +230,43 @@ WITH g AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER (PARTITION BY
 k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 4) AS total FROM k GROUP BY user_id, sid""")
 def event_session(t: Tables) -> DataFrame:
     return I.sessions(t.events, "ts", "6 hours", "user_id").withColumn("total", F.round("total", 4))
+
+
+#: Pages as rows of sources: many of a title, some titles with brackets of their own, some rows without URL, each URL again under another title.
+SOURCE_ROWS_SQL = r"""p AS (SELECT page_id, regexp_extract(url, '^https?://(?:m\.|blog\.)?([^./]*)', 1) AS host, url FROM pages),
+rows AS (SELECT page_id AS position, CASE WHEN page_id % 11 = 0 THEN host || ' [' || page_id % 3 || ']' ELSE host END AS title, CASE WHEN page_id % 4 <> 3 THEN regexp_replace(url, '[0-9]+.*$', (page_id % 3)::VARCHAR || '/') || CASE WHEN page_id % 2 = 0 THEN '' ELSE '/' END END AS url FROM p
+  UNION ALL SELECT page_id + 1000000, 'other', regexp_replace(url, '[0-9]+.*$', (page_id % 3)::VARCHAR || '/') FROM p),
+sources AS (SELECT min(page_id) + 1 AS id, host AS title, CASE WHEN min(page_id) % 2 = 1 THEN min(url) END AS url FROM p WHERE page_id % 9 = 0 GROUP BY host)"""
+
+
+@twin(f"""
+WITH RECURSIVE {SOURCE_ROWS_SQL},
+r AS (SELECT row_number() OVER (ORDER BY position) AS n, * FROM rows),
+f AS (
+  SELECT 0::BIGINT AS n, (SELECT list({{'id': id, 'title': title, 'url': url}}) FROM sources) AS s, NULL::BIGINT AS position, NULL::BIGINT AS source_id
+  UNION ALL
+  SELECT n, CASE WHEN hit IS NULL THEN list_append(s, {{'id': new_id, 'title': own, 'url': url}}) WHEN by_url IS NULL AND url IS NOT NULL AND hit.url IS NULL THEN list_transform(s, lambda x: CASE WHEN x.id = hit.id THEN {{'id': x.id, 'title': x.title, 'url': url}} ELSE x END) ELSE s END,
+    position, CASE WHEN hit IS NULL THEN new_id ELSE hit.id END
+  FROM (
+    SELECT *, CASE WHEN by_url IS NOT NULL THEN by_url WHEN NOT clash THEN by_title ELSE list_filter(s, lambda x: x.title = own)[1] END AS hit FROM (
+      SELECT *, CASE WHEN NOT clash THEN title WHEN len(list_filter(s, lambda x: x.title = candidate)) > 0 THEN title || ' [' || left(md5(url), 8) || ']' ELSE candidate END AS own FROM (
+        SELECT *, by_title IS NOT NULL AND url IS NOT NULL AND by_title.url IS NOT NULL AND by_title.url <> url AS clash, title || ' [' || string_split(regexp_replace(url, '/+$', ''), '/')[-1] || ']' AS candidate FROM (
+          SELECT r.n, f.s, r.position, r.title, r.url, (SELECT max(id) FROM sources) + 1 + r.position AS new_id, list_filter(f.s, lambda x: x.url = r.url)[1] AS by_url, list_filter(f.s, lambda x: x.title = r.title)[1] AS by_title
+          FROM f JOIN r ON r.n = f.n + 1))))),
+t AS (SELECT unnest(s, recursive := true) FROM (SELECT s FROM f ORDER BY n DESC LIMIT 1))
+SELECT f.position, f.source_id, t.title, t.url FROM f JOIN t ON t.id = f.source_id WHERE f.position IS NOT NULL""")
+def source_upsert(t: Tables) -> DataFrame:
+    """Pages written as sources, one after the other: the source of each row, as it is after all."""
+    from barloom.operators.source_upsert import upserted
+
+    k = F.col("page_id")
+    p = t.pages.select("page_id", F.regexp_extract("url", r"^https?://(?:m\.|blog\.)?([^./]*)", 1).alias("host"), "url")
+    url = F.regexp_replace("url", "[0-9]+.*$", F.concat((k % 3).cast("string"), F.lit("/")))
+    title = F.when(k % 11 == 0, F.concat("host", F.lit(" ["), (k % 3).cast("string"), F.lit("]"))).otherwise(F.col("host"))
+    rest = [F.lit("curator").alias("author"), F.lit("website").alias("source_type")]
+    rows = p.select(k.alias("position"), title.alias("title"), *rest, F.when(k % 4 != 3, F.concat(url, F.when(k % 2 == 0, "").otherwise("/"))).alias("url"))
+    rows = rows.unionByName(p.select((k + 1_000_000).alias("position"), F.lit("other").alias("title"), *rest, url.alias("url")))
+    low = F.min("page_id")
+    sources = p.where("page_id % 9 = 0").groupBy("host").agg((low + 1).alias("id"), F.when(low % 2 == 1, F.min("url")).alias("url")).select("id", F.col("host").alias("title"), *rest, "url")
+    after, ids = upserted(sources, rows)
+    return ids.join(after.select(F.col("id").alias("source_id"), "title", "url"), "source_id").select("position", "source_id", "title", "url")
