@@ -18,6 +18,8 @@ from barloom.session import ship
 
 LEVELS = {"low": 1, "medium": 2, "high": 3}
 DEFAULT_K, MIN_SIMILARITY = 5, 0.45
+#: Characters of a run in the index of names.
+GRAM = 3
 #: Queries compared in one pass over the vectors.
 QUERY_BLOCK = 2048
 
@@ -146,13 +148,44 @@ def merged_results(results: Sequence[DataFrame], id_column: str = "chunk_id") ->
     return first_seen_union(results, id_column, F.col("similarity").desc())
 
 
+def grams(text: Column, size: Column | int) -> Column:
+    """Distinct runs of ``size`` characters of a text."""
+    n = F.length(text)
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substr(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(needles: DataFrame, texts: DataFrame, size: int = GRAM) -> DataFrame:
+    """needle, text: all pairs of a needle and a text that contains it, by an inverted index of character runs.
+
+    needles (needle) and texts (text) are distinct and not null.  A needle is looked up by one run alone, the one of its runs that
+    the fewest texts have; what shares it is compared whole.  Needles shorter than ``size`` are looked up by runs of
+    their own length; an empty needle, which is in every text, finds none.
+    """
+    short = F.least(F.length("needle"), F.lit(size))
+    own = needles.where("needle <> ''").select("needle", F.explode(grams(F.col("needle"), short)).alias("gram"))
+    wanted = own.select("gram").distinct()
+    # only runs that some needle has are kept of the texts, of each length up to size
+    runs = F.explode(F.flatten(F.array(*[grams(F.col("text"), i) for i in range(1, size + 1)])))
+    index = texts.select("text", runs.alias("gram")).join(wanted, "gram", "left_semi")
+    held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = own.join(held, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(index, "gram").where(F.contains("text", F.col("needle"))).select("needle", "text")
+
+
 def suggestions(rows: DataFrame, names: DataFrame, column: str = "exercise_name", n: int = 3) -> DataFrame:
     """Unknown names with up to n known ones that contain them or are contained; blank names suggest nothing.
 
-    ``names`` (name) is a dimension table; the match is a loop over it, for unknown names alone.
+    Both directions go through an index of character runs (see contained()), so no names are compared that share none.
+    Only the n smallest suggestions of a name are gathered.
     """
-    known = names.select(F.lower("name").alias("__k"), F.col("name").alias("suggestion")).distinct()
-    unknown = rows.select(column).distinct().join(known.select("__k"), F.lower(F.col(column)) == F.col("__k"), "left_anti")
-    low = F.lower(F.trim(F.col(column)))
-    near = unknown.join(known, (low != "") & (F.contains(F.col("__k"), low) | F.contains(low, F.col("__k"))), "left")
-    return near.groupBy(column).agg(F.slice(F.array_sort(F.collect_set("suggestion")), 1, n).alias("suggestions"))
+    known = names.select(F.lower("name").alias("low"), F.col("name").alias("suggestion")).where("low IS NOT NULL").distinct()
+    unknown = rows.select(column).distinct().join(known.select(F.col("low").alias("__k")), F.lower(F.col(column)) == F.col("__k"), "left_anti")
+    asked = unknown.withColumn("__low", F.lower(F.trim(F.col(column))))
+    low, lows = asked.where("__low <> ''").select(F.col("__low").alias("low")).distinct(), known.select("low").distinct()
+    inside = contained(low.withColumnRenamed("low", "needle"), lows.withColumnRenamed("low", "text")).select(F.col("needle").alias("asked"), F.col("text").alias("found"))
+    around = contained(lows.withColumnRenamed("low", "needle"), low.withColumnRenamed("low", "text")).select(F.col("text").alias("asked"), F.col("needle").alias("found"))
+    pairs = inside.unionByName(around).distinct().join(known, F.col("found") == F.col("low")).select("asked", "suggestion").distinct()
+    near = top_per(pairs, ["asked"], n, F.col("suggestion")).groupBy("asked").agg(F.array_sort(F.collect_list("suggestion")).alias("suggestions"))
+    out = asked.join(near, F.col("__low") == F.col("asked"), "left")
+    return out.select(column, F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
