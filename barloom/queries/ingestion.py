@@ -270,3 +270,38 @@ def source_upsert(t: Tables) -> DataFrame:
     sources = p.where("page_id % 9 = 0").groupBy("host").agg((low + 1).alias("id"), F.when(low % 2 == 1, F.min("url")).alias("url")).select("id", F.col("host").alias("title"), *rest, "url")
     after, ids = upserted(sources, rows)
     return ids.join(after.select(F.col("id").alias("source_id"), "title", "url"), "source_id").select("position", "source_id", "title", "url")
+
+
+@twin(sections_sql("SELECT doc_id, coalesce(text, '') AS text FROM documents"))
+def sections_function(t: Tables) -> DataFrame:
+    """Sections by the table function, from SQL."""
+    from barloom.sql import register
+
+    register(t.spark)
+    rows = t.spark.sql("SELECT doc_id, ordinal AS section_no, chapter, title, content FROM sections(TABLE({docs}))", docs=t.documents.select("doc_id", "text"))
+    rows = S.classified(rows, "content")
+    return routed(rows.select("*", F.col("c.type").alias("type"), F.col("c.confidence").alias("confidence")).drop("c"))
+
+
+@twin(r"""
+WITH RECURSIVE p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_replace(text, '^\s+|\s+$', '', 'g') AS para FROM conversations),
+q AS (SELECT *, floor(len(list_filter(regexp_split_to_array(para, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE) AS cost FROM p WHERE para <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k FROM q),
+f AS (
+  SELECT conv_id, k, para AS chunk, cost AS used, NULL::VARCHAR AS done FROM r WHERE k = 1
+  UNION ALL
+  SELECT conv_id, k, next, CASE WHEN full_ THEN floor(len(list_filter(regexp_split_to_array(next, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE) ELSE used + cost END, CASE WHEN full_ THEN chunk END
+  FROM (
+    SELECT *, CASE WHEN NOT full_ THEN chunk || chr(10) || chr(10) || para WHEN tail = '' THEN para ELSE tail || chr(10) || chr(10) || para END AS next FROM (
+      SELECT *, coalesce(trim(array_to_string(list_filter(sentences, lambda s, i: floor(list_sum(list_transform(sentences[i:], lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')))) * 1.3::DOUBLE) <= 60), ' ')), '') AS tail FROM (
+        SELECT r.conv_id, r.k, f.chunk, f.used, r.para, r.cost, f.used + r.cost > 250 AS full_, string_split(regexp_replace(f.chunk, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS sentences
+        FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1)))),
+o AS (SELECT conv_id, k, done AS content FROM f WHERE done IS NOT NULL UNION ALL SELECT conv_id, k + 1, chunk FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1)::INT AS ordinal, sha256(content) AS content_hash, length(content)::INT AS n_chars FROM o""")
+def packed_turns(t: Tables) -> DataFrame:
+    """Conversations packed into chunks, turn by turn in order, by the table function."""
+    from barloom.sql import register
+
+    register(t.spark)
+    rows = t.spark.sql("SELECT conv_id, ordinal, content FROM packed_chunks(TABLE(SELECT conv_id, turn, text FROM {turns}) PARTITION BY conv_id ORDER BY turn, size => 250, overlap => 60)", turns=t.conversations)
+    return rows.select("conv_id", "ordinal", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
