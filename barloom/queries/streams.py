@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.queries.registry import Tables, twin
 from barloom.session import shared_dir
-from barloom.streaming import state
+from barloom.streaming import committed, state
 
 
 def stream(t: Tables, name: str) -> DataFrame:
@@ -51,3 +51,14 @@ def warning_starts(t: Tables) -> DataFrame:
     upto = t.events.agg(F.date_trunc("day", F.max("ts"))).scalar()
     found = found.withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
     return found.where(F.col("started_at") <= upto).withColumn("value", F.round("value", 6))
+
+
+@twin("""
+SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, (SELECT count(*) FROM orders) AS audited FROM orders GROUP BY 1""")
+def committed_rows(t: Tables) -> DataFrame:
+    """Orders written in units of 50 rows, each with an audit row, and read back."""
+    path = f"{shared_dir(t.spark)}/committed-{uuid.uuid4().hex}"
+    committed.write(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), path)
+    rows = committed.rows(t.spark, path, "o_orderstatus string, o_totalprice double")
+    audited = committed.audit(t.spark, path).agg(F.sum("n_rows")).scalar()
+    return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).withColumn("audited", audited)

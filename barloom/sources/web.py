@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from barloom.compat import strip
 from barloom.functions.text import plausible_author, without_page_suffix
@@ -71,7 +71,12 @@ class PageRange(InputPartition):
 
 
 class CrawlSource(DataSource):
-    """Reads pages start, start + step, ... through ``fetch`` (option: module:function), one partition a page range."""
+    """Listing pages start, start + step, ... through ``fetch`` (option: module:function), one partition a range of pages.
+
+    As a batch: ``pages`` pages.  As a stream: all pages that there are, up to ``pages`` if that is given; a page that links to a later
+    one has a successor.  The stream's offset is the number of pages read, so its checkpoint is the progress of the crawl: a query that
+    is stopped goes on with the first page it has not finished, and pages that came since are read in the next batch.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -83,25 +88,96 @@ class CrawlSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return CrawlReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return CrawlStream(dict(self.options))
+
+
+class Listing:
+    """The pages of a listing, by options of the source."""
 
-class CrawlReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
+        self.step = int(options.get("step", 1))
 
-    def partitions(self) -> Sequence[InputPartition]:
-        n, size = int(self.options.get("pages", 1)), int(self.options.get("pagesPerTask", 10))
-        return [PageRange(i, min(n, i + size)) for i in range(0, n, size)]
+    def ranges(self, start: int, end: int) -> list[InputPartition]:
+        size = int(self.options.get("pagesPerTask", 10))
+        return [PageRange(i, min(end, i + size)) for i in range(start, end, size)]
 
-    def read(self, partition: PageRange) -> Iterator[tuple]:
+    def page(self, i: int) -> tuple[int, str, int, str]:
         import importlib
 
         module, _, function = self.options["fetch"].partition(":")
-        fetch = getattr(importlib.import_module(module), function)
-        step = int(self.options.get("step", 1))
-        for i in range(partition.start, partition.end):
-            url = f"{self.options['path']}{'&' if '?' in self.options['path'] else '?'}start={i * step}"
-            status, html = fetch(url)
-            yield (i, url, status, html)
+        url = f"{self.options['path']}{'&' if '?' in self.options['path'] else '?'}start={i * self.step}"
+        status, html = getattr(importlib.import_module(module), function)(url)
+        return (i, url, status, html)
+
+    def has_next(self, i: int) -> bool:
+        """Some link of the page starts at a later item."""
+        _, _, status, html = self.page(i)
+        return 200 <= status < 300 and any(int(x) > i * self.step for x in re.findall(r"start=(\d+)", html or ""))
+
+    def count(self, known: int) -> int:
+        """How many pages there are, of which ``known`` are known: by doubling steps, then halves, so few pages are asked."""
+        low, jump = max(known, 1), 1
+        if not self.has_next(low - 1):
+            return low
+        low += 1
+        while self.has_next(low - 1 + jump):
+            low, jump = low + jump + 1, jump * 2
+        # low pages are there, and none after low + jump
+        high = low + jump
+        while low < high:
+            middle = (low + high) // 2
+            if self.has_next(middle - 1):
+                low = middle + 1
+            else:
+                high = middle
+        return low
+
+
+class CrawlReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.listing = Listing(options)
+
+    def partitions(self) -> Sequence[InputPartition]:
+        return self.listing.ranges(0, int(self.listing.options.get("pages", 1)))
+
+    def read(self, partition: PageRange) -> Iterator[tuple]:
+        return map(self.listing.page, range(partition.start, partition.end))
+
+
+class CrawlStream(DataSourceStreamReader):
+    def __init__(self, options: dict[str, str]):
+        self.listing, self.known = Listing(options), 0
+
+    def initialOffset(self) -> dict:
+        return {"page": 0}
+
+    def latestOffset(self) -> dict:
+        most = self.listing.options.get("pages")
+        if most is None or self.known < int(most):
+            self.known = self.listing.count(self.known)
+        if most is not None:
+            self.known = min(self.known, int(most))
+        return {"page": self.known}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        self.known = max(self.known, end["page"])
+        return self.listing.ranges(start["page"], end["page"])
+
+    def read(self, partition: PageRange) -> Iterator[tuple]:
+        return map(self.listing.page, range(partition.start, partition.end))
+
+
+def crawled_links(spark: SparkSession, url: str, base: str, fetch: str, pattern: str = r"/article/\d+/", **options: str) -> DataFrame:
+    """Stream of (url, position): each article of a listing once, over all pages, batches and restarts."""
+    from barloom.streaming.state import FirstSeen
+
+    register(spark)
+    pages = spark.readStream.format("barloom_crawl").options(fetch=fetch, **options).load(url)
+    links = article_links(pages.where(F.col("status").between(200, 299)), "position", "html", base, pattern)
+    rows = links.select(F.explode("urls").alias("url"), "position")
+    return rows.groupBy("url").transformWithState(FirstSeen("position"), outputStructType=rows.schema, outputMode="append", timeMode="none")
 
 
 def register(spark: SparkSession) -> None:
