@@ -56,7 +56,7 @@ def ingest(spark: SparkSession, path: str, target: str, keywords: Mapping[str, S
 
 
 def plan(athletes: DataFrame, today: Column) -> DataFrame:
-    """Weekly targets of the next programme of every athlete.
+    """Weekly targets of the next programme of every athlete, with the hardest exercises it may have.
 
     athletes: athlete_id, level, goal, event_date, sessions_per_week, previous_phase, adherence_pct, make_rate,
     rpe_deviation (the outcome of the previous programme, null without one).
@@ -65,7 +65,7 @@ def plan(athletes: DataFrame, today: Column) -> DataFrame:
     decided = rules.next_phase(previous, *outcome)
     chosen = rules.phase_and_weeks(D.weeks_out(F.col("event_date"), today), previous, decided["phase"], F.col("goal"))
     volume, ceiling = rules.load_deltas(*outcome)
-    rows = athletes.select("athlete_id", "level", "sessions_per_week", "previous_phase", chosen["phase"].alias("phase"), chosen["weeks"].alias("duration"), F.coalesce(volume, F.lit(0.0)).alias("d_volume"), F.coalesce(ceiling, F.lit(0.0)).alias("d_ceiling"))
+    rows = athletes.select("athlete_id", "level", "sessions_per_week", "previous_phase", chosen["phase"].alias("phase"), F.when(previous.isNull(), F.least(chosen["weeks"], F.lit(rules.FIRST_WEEKS))).otherwise(chosen["weeks"]).alias("duration"), rules.max_complexity(previous, F.col("level")).alias("max_complexity"), F.coalesce(volume, F.lit(0.0)).alias("d_volume"), F.coalesce(ceiling, F.lit(0.0)).alias("d_ceiling"))
     targets = rules.weekly_targets(rows)
     returning = rules.adjusted_targets(targets.where("previous_phase IS NOT NULL"), F.col("d_volume"), F.col("d_ceiling"))
     first = rules.cold_start(targets.where("previous_phase IS NULL"))

@@ -70,7 +70,7 @@ RATIOS = [
 RAMP = [(50, 3, 90, 5.0), (60, 2, 90, 6.0), (70, 2, 120, 7.0), (77, 1, 180, 7.5), (83, 1, 180, 8.0), (88, 1, 240, 8.5), (93, 1, 240, 9.0), (97, 1, 300, 9.5), (100, 1, 300, 10.0)]
 # Thresholds of advancing and adjusting.
 MIN_ADHERENCE, MIN_SUCCESS, MAX_EFFORT, ADJUST_EFFORT, TOP_ADHERENCE, TOP_SUCCESS = 70.0, 0.75, 1.5, 1.0, 90.0, 0.85
-MIN_SESSION_REPS = 3
+MIN_SESSION_REPS, FIRST_WEEKS = 3, 4
 
 
 def zones(spark: SparkSession) -> DataFrame:

@@ -86,6 +86,43 @@ def phase_decision(t: Tables) -> DataFrame:
     return out.select("o_custkey", F.col("v.next.phase").alias("phase"), F.col("v.next.advanced").alias("advanced"), F.col("v.next.status").alias("status"), F.array_join("v.failing", ",").alias("failing"), F.array_join("v.adjustments", ",").alias("adjustments"), F.col("plan.phase").alias("plan_phase"), F.col("plan.weeks").alias("plan_weeks"))
 
 
+GOAL_ROWS = ", ".join(f"({i}, '{g}', '{p}', {w})" for i, (g, (p, w)) in enumerate(P.GOALS.items()))
+LEVEL_NAMES = ", ".join(f"({i}, '{x[0]}')" for i, x in enumerate(P.LEVELS))
+
+
+@twin(f"""
+WITH {TARGETS}, {METRICS}, goals(k, goal, gphase, gweeks) AS (VALUES {GOAL_ROWS}), names(k, level) AS (VALUES {LEVEL_NAMES}), d(sessions, day, share) AS (VALUES {DAY_ROWS}),
+a AS (SELECT c_custkey AS athlete_id, names.level, (c_custkey % 7 + 1)::INT AS per_week, gphase, gweeks, m.previous, adherence, success, effort, CASE WHEN c_custkey % 7 < 3 THEN (c_custkey % 12)::INT END AS wo FROM customer JOIN goals ON goals.k = c_custkey % 6 JOIN names ON names.k = c_nationkey % 4 LEFT JOIN m ON o_custkey = c_custkey),
+n AS (SELECT *, CASE WHEN previous = 'realization' THEN 'accumulation' WHEN adherence >= 70 AND success >= 0.75 AND NOT effort > 1.5 THEN CASE previous WHEN 'general_prep' THEN 'accumulation' WHEN 'accumulation' THEN 'intensification' ELSE 'realization' END ELSE previous END AS nextp FROM a),
+c AS (SELECT *, CASE WHEN wo >= 8 THEN 'accumulation' WHEN wo >= 4 THEN 'intensification' WHEN wo IS NOT NULL THEN 'realization' WHEN previous IS NOT NULL THEN nextp ELSE gphase END AS phase,
+  CASE WHEN wo >= 4 THEN 4 WHEN wo IS NOT NULL THEN least(3, greatest(1, wo)) WHEN previous IS NOT NULL THEN CASE nextp WHEN 'general_prep' THEN 5 WHEN 'realization' THEN 3 ELSE 4 END ELSE gweeks END AS weeks FROM n),
+r AS (SELECT c.athlete_id, c.level, c.per_week, c.previous, tt.phase, tt.duration, week_number, reps_low, reps_high, is_deload, intensity_floor AS fl, intensity_ceiling AS ce, volume_modifier AS vm, CASE c.level WHEN 'beginner' THEN 75.0 ELSE 80.0 END::DOUBLE AS cap,
+    CASE WHEN previous IS NULL THEN 0 ELSE CASE WHEN adherence < 70 THEN -0.10::DOUBLE ELSE 0 END + CASE WHEN effort > 1 THEN -0.05::DOUBLE ELSE 0 END END AS dv, CASE WHEN previous IS NULL THEN 0 ELSE CASE WHEN success < 0.75 THEN -3.0::DOUBLE ELSE 0 END + CASE WHEN adherence >= 90 AND success >= 0.85 THEN 2.0::DOUBLE ELSE 0 END END AS dc
+  FROM c JOIN tt ON tt.phase = c.phase AND tt.level = c.level AND tt.duration = CASE WHEN previous IS NULL THEN least(4, weeks) ELSE weeks END),
+k AS (SELECT *, CASE WHEN previous IS NULL THEN least(fl, cap) ELSE fl END AS f2, CASE WHEN previous IS NULL THEN least(ce, cap) WHEN NOT is_deload AND (dv <> 0 OR dc <> 0) THEN round_even(greatest(fl, least(100.0, ce + dc)), 1) ELSE ce END AS c2, CASE WHEN previous IS NOT NULL AND NOT is_deload AND (dv <> 0 OR dc <> 0) THEN round_even(greatest(0.4, vm + dv), 2) ELSE vm END AS v2 FROM r),
+s AS (SELECT k.*, CASE WHEN per_week <= 3 THEN 3 WHEN per_week = 4 THEN 4 ELSE 5 END AS sessions FROM k)
+SELECT *, max(CASE WHEN NOT is_deload THEN week_number END) OVER (PARTITION BY athlete_id) AS peak_week FROM (
+  SELECT athlete_id, phase, duration, CASE WHEN previous IS NOT NULL THEN 5 WHEN level = 'beginner' THEN 2 ELSE 3 END AS max_complexity, week_number, f2 AS intensity_floor, c2 AS intensity_ceiling, round(v2, 6) AS volume_modifier, reps_low, reps_high, is_deload,
+    sum(greatest(3, round_even({ZONE_CASE.format(x="((f2 + c2) / 2)")} * share::DOUBLE * v2, 0)))::BIGINT AS total_reps
+  FROM s JOIN d USING (sessions) GROUP BY ALL)""")
+def athlete_plans(t: Tables) -> DataFrame:
+    """The next programme of every customer, week by week, from the outcome of their orders: phase, length, targets, first-programme caps, peak week."""
+    from barloom import engine
+
+    k, n = F.col("c_custkey"), F.count(F.lit(1))
+    pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
+    made = t.orders.groupBy("o_custkey").agg((F.count_if(F.col("o_orderstatus") != "P") * 100.0 / n).alias("adherence_pct"), (F.count_if(F.col("o_orderpriority") != "5-LOW") * 1.0 / n).alias("make_rate"), (F.count_if(F.col("o_orderstatus") == "O") * 4.0 / n).alias("rpe_deviation"))
+    made = made.withColumn("previous_phase", pick(P.PHASES, F.col("o_custkey") % 5 - 1))
+    today = F.lit("1998-08-02").cast("date")
+    athletes = t.customer.join(made, k == F.col("o_custkey"), "left").select(
+        k.alias("athlete_id"), pick([x[0] for x in P.LEVELS], F.col("c_nationkey") % 4).alias("level"), pick(list(P.GOALS), k % 6).alias("goal"), (k % 7 + 1).cast("int").alias("sessions_per_week"),
+        F.when(k % 7 < 3, F.date_add(today, (k % 12 * 7 + k % 5).cast("int"))).alias("event_date"), "previous_phase", "adherence_pct", "make_rate", "rpe_deviation",
+    )
+    weeks = engine.plan(athletes, today)
+    out = weeks.join(P.peak_week(weeks, ["athlete_id"]), "athlete_id")
+    return out.select("athlete_id", "phase", "duration", "max_complexity", "week_number", "intensity_floor", "intensity_ceiling", F.round("volume_modifier", 6).alias("volume_modifier"), "reps_low", "reps_high", "is_deload", "total_reps", "peak_week")
+
+
 LIFT_SQL = """
 mx AS (SELECT o_custkey AS athlete_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'snatch' WHEN '2-HIGH' THEN 'clean_and_jerk' WHEN '3-MEDIUM' THEN 'back_squat' ELSE 'snatch_pull' END AS lift, max(o_totalprice) / 1000 AS weight_kg FROM orders GROUP BY 1, 2)"""
 ESTIMATE_ROWS = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in P.ESTIMATES)
@@ -169,7 +206,11 @@ def zone_targets(t: Tables) -> DataFrame:
 
 
 @twin("""
-SELECT p_brand, p_partkey, k FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS k FROM part) WHERE k <= 3""")
+WITH f AS (SELECT DISTINCT event_type AS fault, length(event_type) % 5 AS k FROM events), x AS (SELECT p_partkey, p_name, p_size, [p_partkey % 5, (p_partkey * 3 + 1) % 5] AS addressed FROM part),
+c AS (SELECT fault, p_partkey, row_number() OVER (PARTITION BY fault ORDER BY p_size, p_partkey) AS k FROM f JOIN x ON list_contains(addressed, f.k)) SELECT fault, p_partkey, k::INT AS k FROM c WHERE k <= 3""")
 def faults_top3(t: Tables) -> DataFrame:
-    """Top three of each fault, numbered."""
-    return R.ranked(t.part, ["p_brand"], F.col("p_size"), F.col("p_partkey"), name="k").where("k <= 3").select("p_brand", "p_partkey", "k")
+    """Each fault with the three simplest exercises that address it."""
+    faults = t.events.select(F.col("event_type").alias("fault")).distinct().withColumn("code", (F.length("fault") % 5).cast("long"))
+    k = F.col("p_partkey")
+    addressed = t.part.select("p_partkey", "p_size", F.explode(F.array_distinct(F.array(k % 5, (k * 3 + 1) % 5))).alias("code"))
+    return R.ranked(faults.join(addressed, "code"), ["fault"], F.col("p_size"), k, name="k").where("k <= 3").select("fault", "p_partkey", "k")
