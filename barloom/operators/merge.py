@@ -1,6 +1,7 @@
 """Sinks over Parquet: insert-ignore, upserts with a policy by column, deletes with cascade, ledgers, CSV.
 
-A merge returns the new state of the table; write() puts it at a new path.
+A merge returns the new state of the table; operators/store.py puts it in the place of the old, with other tables' changes if
+there are any.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.compat import nullif_blank
+from barloom.compat import all_of, nullif_blank
 from barloom.functions.text import csv_safe
 
 Policy = Callable[[Column, Column], Column]
@@ -35,9 +36,31 @@ def fill(old: Column, new: Column) -> Column:
     return F.coalesce(new, old)
 
 
-def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str], policies: Mapping[str, Policy] | None = None, insert: bool = True) -> DataFrame:
-    """The table after a merge.  Rows whose key has a null never match: those of ``changes`` are added."""
+def complete(keys: Sequence[str]) -> Column:
+    return all_of(*[F.col(k).isNotNull() for k in keys])
+
+
+def one_a_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """Of changes with one key the last in the given order; rows whose key has a null stay all.  Combines before it shuffles."""
+    whole = complete(keys)
+    last = changes.where(whole).groupBy(*keys).agg(F.max_by(F.struct(*[c for c in changes.columns if c not in keys], F.lit(0).alias("__any")), F.struct(*order)).alias("__r"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in changes.columns]).unionByName(changes.where(~whole))
+
+
+def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str], policies: Mapping[str, Policy] | None = None, insert: bool = True, order: Sequence[str | Column] | None = None) -> DataFrame:
+    """The table after a merge.  Rows whose key has a null never match: those of ``changes`` are added.
+
+    order: of changes with one key the last in this order is made, as if they came one after the other.  Without it a key that
+    ``changes`` has twice fails the query, as it would multiply rows of the table.
+    """
     policies = policies or {}
+    if order is not None:
+        changes = one_a_key(changes, keys, order)
+    else:
+        whole = complete(keys)
+        twice = F.raise_error(F.concat(F.lit(f"changes have a key ({', '.join(keys)}) twice: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+        counted = changes.where(whole).withColumn("__times", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        changes = counted.where(F.when(F.col("__times") > 1, twice.cast("boolean")).otherwise(True)).drop("__times").unionByName(changes.where(~whole))
     a, b = table.withColumn("__old", F.lit(True)).alias("a"), changes.withColumn("__new", F.lit(True)).alias("b")
     same = F.lit(True)
     for k in keys:

@@ -138,12 +138,13 @@ def program_status(t: Tables) -> DataFrame:
 
 @twin("""
 WITH r AS (SELECT p_partkey AS id, p_brand AS s, p_name AS n, p_size % 13 AS priority, nullif(p_type, 'ECONOMY') AS kind FROM part), g AS (SELECT * FROM r WHERE priority BETWEEN 1 AND 10 AND kind IS NOT NULL)
-SELECT id, 'added' AS what, '' AS broken FROM (SELECT *, row_number() OVER (PARTITION BY s, n ORDER BY id) AS rn FROM g) f WHERE rn = 1
+SELECT id, 'added' AS what, '' AS broken FROM (SELECT *, row_number() OVER (PARTITION BY s, n ORDER BY id) AS rn FROM g) f WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM r o JOIN lineitem ON l_partkey = o.id AND l_quantity > 49 WHERE o.s = f.s AND o.n = f.n)
 UNION ALL SELECT id, 'refused', concat_ws(',', CASE WHEN NOT priority BETWEEN 1 AND 10 THEN 'priority' END, CASE WHEN kind IS NULL THEN 'kind' END) FROM r WHERE NOT priority BETWEEN 1 AND 10 OR kind IS NULL""")
 def valid_inserts(t: Tables) -> DataFrame:
-    """Bad rows are refused one by one, the others inserted unless their key is there."""
+    """Bad rows are refused one by one, the others inserted unless their key is among those of parts sold in large quantities."""
     rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("s"), F.col("p_name").alias("n"), (F.col("p_size") % 13).alias("priority"), F.nullif(F.col("p_type"), F.lit("ECONOMY")).alias("kind"))
-    new, bad = P.valid_inserts(rows.where("id < 0"), rows, ["s", "n"], ["id"], {"priority": F.col("priority").between(1, 10), "kind": F.col("kind").isNotNull()})
+    old = rows.join(t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("id")), "id", "left_semi")
+    new, bad = P.valid_inserts(old, rows, ["s", "n"], ["id"], {"priority": F.col("priority").between(1, 10), "kind": F.col("kind").isNotNull()})
     return new.select("id", F.lit("added").alias("what"), F.lit("").alias("broken")).unionByName(bad.select("id", F.lit("refused").alias("what"), F.array_join("broken_rules", ",").alias("broken")))
 
 

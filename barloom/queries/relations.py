@@ -182,11 +182,13 @@ def insert_ignore_pairs(t: Tables) -> DataFrame:
 
 
 @twin("""
-WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN NULL ELSE p_brand END AS s, md5(p_name || p_type) AS h FROM part),
-f AS (SELECT *, row_number() OVER (PARTITION BY s, h ORDER BY id) AS rn FROM r) SELECT id FROM f WHERE rn = 1""")
+WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN NULL ELSE p_brand END AS s, md5(p_name || p_type) AS h FROM part), o AS (SELECT DISTINCT s, h FROM r JOIN lineitem ON l_partkey = id WHERE l_quantity > 49),
+f AS (SELECT *, row_number() OVER (PARTITION BY s, h ORDER BY id) AS rn FROM r) SELECT id FROM f WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.s IS NOT DISTINCT FROM f.s AND o.h = f.h)""")
 def insert_ignore_null_safe(t: Tables) -> DataFrame:
+    """Parts are added unless their key, null keys included, is among those of parts sold in large quantities."""
     rows = t.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") <= 25, F.col("p_brand")).alias("s"), F.md5(F.concat("p_name", "p_type")).alias("h"))
-    return M.insert_ignore(rows.where("id < 0"), rows, ["s", "h"], ["id"], null_safe=True).select("id")
+    old = rows.join(t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("id")), "id", "left_semi").select("s", "h")
+    return M.insert_ignore(old, rows, ["s", "h"], ["id"], null_safe=True).select("id")
 
 
 @twin("""
