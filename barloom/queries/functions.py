@@ -187,6 +187,12 @@ def snapshot_values(t: Tables) -> DataFrame:
     return A.snapshot_rows(t.part.select("p_partkey", text.alias("maxes")), ["p_partkey"], "maxes").select("p_partkey", "name", "value")
 
 
+#: Main text of the tables' pages, each of which has one article element with paragraphs and headings: blocks end lines, two entities occur.
+STRIPPED_SQL = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+DECODED_SQL = "regexp_replace(replace({x}, '&quot;', chr(34)), '&amp;?', '&', 'g')"
+MAIN_TEXT_SQL = f"""art AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS head FROM pages),
+plain AS (SELECT page_id, {DECODED_SQL.format(x="regexp_replace(regexp_replace(regexp_replace(art, '</?(p|h1)>', chr(10) || chr(10), 'g'), '<br>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g')")} AS plain FROM art),
+body AS (SELECT page_id, {STRIPPED_SQL.format(x="regexp_replace(regexp_replace(regexp_replace(plain, '[ \\t\\r\\f\\v]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS body FROM plain)"""
 CONTAINS = " OR ".join(f"contains(lower(source), '{w}')" for w in ("web",))
 
 
@@ -200,11 +206,15 @@ def profile_and_size(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", S.profile_of(F.col("source"), {"web": "web_article", "a": "soviet"}).alias("profile"), pair["size"].alias("size"), pair["overlap"].alias("overlap"))
 
 
-@twin(r"""
-WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</\1\s*>', '', 'g'), '', '') AS h FROM pages) SELECT page_id, 1 AS pages FROM t""".replace(r".*?</\1\s*>", ".*?</[a-z]+>"))
+@twin(f"""
+WITH {MAIN_TEXT_SQL},
+l AS (SELECT page_id, head, list_filter(list_transform(flatten(list_transform(string_split(regexp_replace(art, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: string_split({DECODED_SQL.format(x="x")}, chr(10)))), lambda x: {STRIPPED_SQL.format(x="x")}), lambda x: x <> '') AS lines FROM art)
+SELECT page_id, CASE WHEN length(lines[1]) >= 6 THEN lines[1] ELSE {STRIPPED_SQL.format(x=DECODED_SQL.format(x="head"))} END AS title, CASE WHEN regexp_matches(lines[2], '^[A-Z][a-zA-Z\\s\\-\\.]{{3,40}}$') THEN lines[2] ELSE 'nobody' END AS author, length(body) AS n_chars, sha256(body) AS text_hash, CASE WHEN length(body) >= 200 THEN 'ok' ELSE 'skip' END AS status
+FROM l JOIN body USING (page_id)""")
 def live_articles(t: Tables) -> DataFrame:
-    """Every page read as a live article: a row each, whatever it holds."""
-    return H.articles(t.pages).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("pages"))
+    """Every page read as a live article: title, author, text and status."""
+    rows = H.articles(t.pages, author="nobody")
+    return rows.select("page_id", "title", "author", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_hash"), "status")
 
 
 @twin("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions import text as T
 from barloom.operators import sections as S
 from barloom.operators.keywords import Tagger
+from barloom.queries.functions import MAIN_TEXT_SQL, STRIPPED_SQL
 from barloom.queries.registry import Tables, twin
 from barloom.sources import files
 from barloom.sources import web as W
@@ -164,7 +165,8 @@ def validate_documents(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(v["issues"], ",").alias("issues"))
 
 
-@twin(None)
+@twin(f"""
+WITH {MAIN_TEXT_SQL} SELECT page_id, {STRIPPED_SQL.format(x="head")} AS title, length(body)::INT AS n_chars, sha256(body) AS text_hash FROM art JOIN body USING (page_id)""")
 def html_text(t: Tables) -> DataFrame:
     """Main text of every page."""
     rows = files.html_text(t.pages)
