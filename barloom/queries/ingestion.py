@@ -143,13 +143,33 @@ def chunk_rows(t: Tables) -> DataFrame:
     return S.assembled(S.chunks(rows), KEYWORDS)
 
 
-@twin(None)
+def chunk_sql() -> str:
+    """CTE k: chunks of the documents, whose texts have neither headers nor empty lines, so that each is one chunk of one section."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kind = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lead, {quoted(w)})' for w in words)} THEN '{name}'" for name, words in S.TYPE_WORDS.items()) + " WHEN type = 'mixed' THEN 'programming_rationale' ELSE 'concept' END"
+    numbers = " OR ".join(f"regexp_matches(raw, {quoted(p)})" for p in (T.REP_SCHEME, T.PERCENT_OF_MAX, T.PERCENT_SERIES))
+    score = f"len(regexp_extract_all(raw, {quoted(T.PERCENT)})) * 2 + len(regexp_extract_all(raw, {quoted(T.SETS_BY_REPS)})) * 3 + len(regexp_extract_all(raw, {quoted(T.LIFT_WORDS)})) + CASE WHEN {numbers} THEN 5 ELSE 0 END"
+    found = ", ".join(f"CASE WHEN contains(lower(raw), '{k}') THEN '{x}' END" for k, topics in KEYWORDS.items() for x in topics)
+    fixed = "CASE kind " + " ".join(f"WHEN '{name}' THEN [{', '.join(map(quoted, topics))}]" for name, topics in S.TYPE_TOPICS.items()) + " ELSE [] END"
+    return f"""{classify_sql("documents", "doc_id, source", "text")},
+h AS (SELECT doc_id, source, {TYPE_SQL} AS type, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS raw, lower(left(content, 800)) AS lead FROM c),
+i AS (SELECT *, {kind} AS kind, floor((len(list_filter(regexp_split_to_array(raw, '\\s+'), lambda w: w <> '')) + CASE WHEN source <> '' THEN 2 ELSE 0 END) * 1.3::DOUBLE)::INT AS tokens, {score} AS score FROM h WHERE raw <> ''),
+k AS (SELECT *, list_sort(list_distinct(list_filter(list_concat([{found}], {fixed}), lambda x: x IS NOT NULL))) AS topics, CASE WHEN score >= 10 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS density FROM i)"""
+
+
+@twin(f"""
+WITH {chunk_sql()} SELECT doc_id, 0 AS section_no, 0 AS chunk_no, '' AS section_title, 0 AS chunk_index, kind AS chunk_type, tokens AS token_count, density AS information_density, array_to_string(topics, ',') AS topics, sha256(raw) AS content_hash FROM k""")
 def chunks(t: Tables) -> DataFrame:
     """Chunks of all documents with their metadata."""
     return chunk_rows(t).select("doc_id", "section_no", F.col("ordinal").alias("chunk_no"), "section_title", "chunk_index", "chunk_type", "token_count", "information_density", F.array_join("topics", ",").alias("topics"), "content_hash")
 
 
-@twin(None)
+@twin(f"""
+WITH {chunk_sql()},
+v AS (SELECT *, tokens < 50 AS a, tokens > 1500 AS b, len(topics) = 0 AS c, len(regexp_extract_all(raw, '{T.REP_SCHEME}')) >= 3 AS d,
+  len(list_filter(string_split(raw, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 2 OR length(x) - length(replace(x, chr(9), '')) >= 2)) >= 3 AS e, regexp_matches(raw, '^\\p{{Ll}}') AS f FROM k)
+SELECT doc_id, 0 AS section_no, 0 AS chunk_no, sha256(raw) AS content_hash, concat_ws(',', CASE WHEN a THEN 'too_short' END, CASE WHEN b THEN 'too_long' END, CASE WHEN c THEN 'no_topics' END, CASE WHEN d THEN 'rep_schemes' END, CASE WHEN e THEN 'table_like' END, CASE WHEN f THEN 'starts_lowercase' END) AS issues,
+  CASE WHEN e OR f THEN 'warning' WHEN d THEN 'info' WHEN a OR b OR c THEN 'warning' ELSE 'info' END AS severity, NOT (a OR b OR c OR d OR e OR f) AS is_valid FROM v""")
 def chunk_validate(t: Tables) -> DataFrame:
     """Findings and severity of every chunk."""
     rows = chunk_rows(t).withColumn("v", S.validated(F.col("token_count"), F.col("topics"), F.col("raw_content")))
