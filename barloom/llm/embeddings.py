@@ -2,8 +2,13 @@
 
 Vectors of one label (and length) start in one root per tree.  A node of more than
 2 * LEAF vectors is split by hyperplanes between random vectors of a bounded sample
-(about SAMPLE vectors per node, see ``trees``); vectors within SPILL of a hyperplane
-go to both sides.  Rounds of up to DEPTH levels go on until leaves are small or a
+(about SAMPLE vectors per node, see ``trees``); vectors near a hyperplane go to both
+sides.  How near follows the node: a linked pair lies at most a chord of the threshold
+apart, and a hyperplane's direction shows about spread / radius of a distance, with the
+node's standard deviations along the direction and over all of them.  SPILL times that
+product goes both ways, so nodes split alike in few dimensions and in a thousand, while
+a node that is not much wider than the chord, where most pairs are links, would be
+copied whole: it is a leaf.  Rounds of up to DEPTH levels go on until leaves are small or a
 node no longer shrinks.  All vectors of a leaf are compared, in blocks of BLOCK, by
 cosine in double precision.  A pair that shares several leaves, in one tree or in
 several, counts in the smallest of them only, so links are counted exactly once and
@@ -31,10 +36,12 @@ from . import _kernels as K
 from ._io import dropped, ship, staged
 from .components import components, joins
 
-TREES, LEAF, SPILL, DEPTH, SAMPLE, BLOCK, ROUNDS = 8, 64, 0.012, 6, 4096, 2048, 12
+TREES, LEAF, SPILL, DEPTH, SAMPLE, BLOCK, ROUNDS = 8, 64, 0.26, 6, 4096, 2048, 12
 THRESHOLD = 0.93
 #: A split counts only if neither side has more than this share of the node's vectors.
-SHRINK = 0.6
+SHRINK = 0.75
+#: Percentiles of a node's vectors that a hyperplane may go through; the middle one wins a tie.
+CUTS = (50, 45, 55, 40, 60, 35, 65, 30, 70)
 #: Rows of a node that one task splits.
 PIECE = 4096
 
@@ -51,8 +58,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def grow(x: np.ndarray, rate: float, seed: int) -> list[tuple]:
-    """A subtree over the sampled unit vectors: (direction, threshold, left, right); a child below 0 is leaf -child - 1."""
+def chord(threshold: float) -> float:
+    """How far apart unit vectors of that cosine are."""
+    return float(np.sqrt(2 * (1 - threshold)))
+
+
+def grow(x: np.ndarray, rate: float, seed: int, apart: float = chord(THRESHOLD)) -> list[tuple]:
+    """A subtree over the sampled unit vectors: (direction, threshold, left, right, spill); a child below 0 is leaf -child - 1.
+
+    apart: how far apart linked vectors are at most.
+    """
     rng = np.random.default_rng(seed % 2**63)
     nodes: list[tuple] = []
     leaves = [0]
@@ -68,19 +83,26 @@ def grow(x: np.ndarray, rate: float, seed: int) -> list[tuple]:
             if (size := np.linalg.norm(d)) < 1e-6:
                 d, size = rng.standard_normal(x.shape[1]), np.sqrt(x.shape[1])
             p = x[rows] @ (d / size)
-            if best is None or p.std() > best[0]:
-                best = (p.std(), d / size, p)
-        _, d, p = best
-        mid = float(np.median(p))
+            # the two vectors themselves lie far out and do not count
+            width = np.delete(p, (i, j)).std()
+            if best is None or width > best[0]:
+                best = (width, d / size, p)
+        spread, d, p = best
+        radius = np.sqrt(max(1 - float((x[rows].mean(0) ** 2).sum()), 1e-12))
+        spill = SPILL * apart * float(spread) / radius
+        # the hyperplane of the least work, as the sides' pairs: not through a dense group if there is room beside it
+        sides = lambda m: ((p <= m + spill).mean(), (p > m - spill).mean())
+        mid = min(np.percentile(p, CUTS), key=lambda m: sum(z * z for z in sides(m)))
         # vectors that lie close together all go both ways: such a node is a leaf, or it would be copied at every level
-        if max((p <= mid + SPILL).mean(), (p > mid - SPILL).mean()) > SHRINK:
+        if max(sides(mid)) > SHRINK:
             leaves[0] += 1
             return -leaves[0]
+        mid = float(mid)
         me = len(nodes)
         nodes.append(())
         left = split(rows[p <= mid], depth + 1)
         right = split(rows[p > mid], depth + 1) if (p > mid).any() else left
-        nodes[me] = (d, mid, left, right)
+        nodes[me] = (d, mid, left, right, spill)
         return me
 
     split(np.arange(len(x)), 0)
@@ -97,30 +119,30 @@ def descend(nodes: list[tuple], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             rows.append(own)
             leaf.append(np.full(len(own), -at - 1))
             continue
-        d, mid, left, right = nodes[at]
+        d, mid, left, right, spill = nodes[at]
         p = x[own] @ d - mid
         if left == right:
             stack.append((left, own))
             continue
-        stack.append((left, own[p <= SPILL]))
-        stack.append((right, own[p > -SPILL]))
+        stack.append((left, own[p <= spill]))
+        stack.append((right, own[p > -spill]))
     return np.concatenate(rows), np.concatenate(leaf)
 
 
-def trees(rows: DataFrame, vecs: DataFrame) -> DataFrame:
+def trees(rows: DataFrame, vecs: DataFrame, apart: float) -> DataFrame:
     """node, tree: a subtree for each node (pid, node, n), from a sample of about SAMPLE of its vectors (all, if it has fewer)."""
     rate = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))
     chosen = rows.where(F.pmod(F.xxhash64("pid", "node"), F.lit(1 << 30)) < rate * (1 << 30)).join(vecs, F.col("pid") == F.col("__pid")).select("node", "n", "vec")
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         n = table.column("n")[0].as_py()
-        nodes = grow(unit(matrix(table.column("vec"))), min(1.0, SAMPLE / n), key[0].as_py())
+        nodes = grow(unit(matrix(table.column("vec"))), min(1.0, SAMPLE / n), key[0].as_py(), apart)
         return pa.table({"node": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps(nodes)], pa.binary())})
 
     return chosen.groupBy("node").applyInArrow(work, "node long, tree binary")
 
 
-def leaves(points: DataFrame) -> DataFrame:
+def leaves(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """pid, node for all leaves; points: pid, root, vec.
 
     What goes from round to round is narrow; vectors are looked up only for nodes that are still split.
@@ -140,7 +162,7 @@ def leaves(points: DataFrame) -> DataFrame:
         big = sized.where("more").select("pid", "node", "n")
         if big.isEmpty():
             return done
-        grown = trees(big, vecs)
+        grown = trees(big, vecs, chord(threshold))
         counts = big.groupBy("node").agg(F.first("n").alias("n"))
         pieces = F.ceil(F.col("n") / F.lit(PIECE)).cast("int")
         copies = grown.join(counts, "node").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).select("node", "piece", "tree")
@@ -219,7 +241,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     usables = rows.where("pid is not null")
     points = usables.groupBy("pid", "label", "vec").agg(F.count(F.lit(1)).alias("n_rows"), F.min("vec_id").alias("first_id"))
     points = staged(points.select("pid", F.xxhash64("label", F.size("vec")).alias("root"), "vec", "n_rows", "first_id"), "forest-points")
-    found = staged(leaves(points.select("pid", "root", "vec")), "forest-leaves")
+    found = staged(leaves(points.select("pid", "root", "vec"), threshold), "forest-leaves")
     pairs = staged(compared(points, found, threshold), "forest-links")
     groups = components(pairs.select(F.col("pid").alias("a"), F.col("low").alias("b")))
     counts = pairs.groupBy(F.col("pid").alias("__l")).agg(F.sum("links").alias("links"))
