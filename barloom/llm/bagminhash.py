@@ -125,7 +125,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return names
 
 
-def content(text: Column) -> Column:
+def content_of(text: Column) -> Column:
     """A digest that tells texts of one doc_id apart."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
@@ -150,7 +150,7 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "content", "node", "sig", "bands"])
 
     own = F.col(f"`{text}`")
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own.alias("text"), content(own).alias("content")).mapInArrow(work, "doc_id long, content binary, node long, sig binary, bands array<long>")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own.alias("text"), content_of(own).alias("content")).mapInArrow(work, "doc_id long, content binary, node long, sig binary, bands array<long>")
 
 
 def agreement(a: list[bytes] | np.ndarray, b: list[bytes] | np.ndarray) -> np.ndarray:
@@ -290,7 +290,7 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
     # by doc_id and content, as an id may repeat with other texts
     kept = classes(docs, text, doc_id, content=True).where("kept").select("doc_id", "content").distinct()
-    same = docs[f"`{doc_id}`"].cast("long").eqNullSafe(kept["doc_id"]) & (content(docs[f"`{text}`"]) == kept["content"])
+    same = docs[f"`{doc_id}`"].cast("long").eqNullSafe(kept["doc_id"]) & (content_of(docs[f"`{text}`"]) == kept["content"])
     return docs.join(kept, same, "left_semi")
 
 
@@ -301,7 +301,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", content
     """
     sigs = staged(signed(docs, text, doc_id), "bag-signatures")
     # equal word sequences are one node; its signature is the same in every row
-    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "content")).alias("of"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = staged(nodes, "bag-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     low = buckets.groupBy(F.col("bucket").alias("__b")).agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -311,11 +311,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", content
 
     # texts of what may be verified, each once
     wanted = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
-    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    # by id and content, as rows without an id, or with a much-repeated one, are many
+    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), content_of(F.col(f"`{text}`")).alias("content"), F.col(f"`{text}`").alias("text"))
 
     def bags_of(wanted: DataFrame) -> DataFrame:
-        ids = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("__id"))
-        found = some.join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
+        ids = nodes.join(wanted, "node").select("node", F.col("of.doc_id").alias("__id"), F.col("of.content").alias("__content"))
+        found = some.join(ids, (F.col("content") == F.col("__content")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
         return packed(found).groupBy("node").agg(F.first("bag").alias("bag"))
 
     bags = staged(bags_of(wanted), "bag-texts")
