@@ -10,6 +10,7 @@ from barloom.operators import exports as X
 from barloom.operators import jobs as J
 from barloom.operators import sections as S
 from barloom.operators.keywords import Tagger
+from barloom.operators.store import Store
 from barloom.plans import rules as P
 from barloom.sources import articles as H
 from barloom.sources import files
@@ -140,12 +141,36 @@ def test_ingest_and_run_again(spark, tmp_path):
     first = engine.ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", {"snatch": ["snatch_technique"]}, "run-1").collect()
     assert [(r.run_id, r.chunks) for r in first] == [("run-1", 3)] and first[0].tokens > 100
     assert engine.ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", {}, "run-2").collect() == []
-    rows = spark.read.parquet(f"{tmp_path}/out/chunks")
+    rows = Store(spark, f"file://{tmp_path}/out").read("chunks")
     assert rows.count() == 3 and {tuple(r.topics) for r in rows.collect()} >= {("snatch_technique",)}
     (tmp_path / "in" / "new.txt").write_text("Deload weeks are easy. " * 40)
     assert [r.chunks for r in engine.ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", {}, "run-3").collect()] == [1]
 
 
+def test_sources_dry_runs_and_retagging(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, word in (("One", "Snatch"), ("Two", "Deload")):
+        (tmp_path / "in" / f"{name}.txt").write_text(f"{word} is a word of the text. " * 40)
+    at, to = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    store = Store(spark, to)
+    seen = engine.ingest(spark, at, to, {}, "dry", author="A. Writer", dry_run=True).collect()
+    assert [r.chunks for r in seen] == [2] and store.version() == 0
+    engine.ingest(spark, at, to, {}, "run", author="A. Writer", doc_type="program")
+    assert store.version() == 1
+    sources = {r.title: r for r in store.read("sources").collect()}
+    assert {(r.author, r.source_type) for r in sources.values()} == {("A. Writer", "manual")} and set(sources) == {"One", "Two"}
+    chunks = store.read("chunks").select("source_id", "raw_content", "topics").collect()
+    assert {r.source_id for r in chunks if "Snatch" in r.raw_content} == {sources["One"].id} and all(not r.topics for r in chunks)
+    words = {"snatch": ["lifts"], "deload": ["rest"], "word": ["words"]}
+    counts = lambda *a, **k: tuple(engine.retag(spark, to, *a, **k).first())
+    assert counts(words, dry_run=True) == (2, 2, 2) and store.version() == 1
+    assert counts(words, source_id=sources["One"].id) == (1, 1, 1) and store.version() == 2
+    assert counts(words) == (2, 1, 1) and counts(words) == (2, 0, 0) and store.version() == 3
+    assert counts({"word": ["words"]}) == (2, 2, 0)
+    assert sorted(tuple(r.topics) for r in store.read("chunks", 3).collect()) == [("lifts", "words"), ("rest", "words")]
+    assert engine.ingest(spark, at, to, {}, "again", author="A. Writer").collect() == [] and store.read("sources").count() == 2
+
+
 def test_load_batch_after_a_crash_between_its_writes(spark, tmp_path):
     target, ledger = f"file://{tmp_path}/t", f"file://{tmp_path}/l"
     batch = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one"), (4, " ")], "position long, raw_content string")
