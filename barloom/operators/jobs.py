@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import ship
+
 #: Seconds that a request blocks its athlete at most, seconds of a job, and those kept back from it.
 IN_FLIGHT_SECONDS, JOB_SECONDS, RESERVE_SECONDS = 660, 600, 30
 FLUSH_EVERY, CHECKPOINT_EVERY = 10, 10
@@ -26,20 +29,26 @@ def counts_by(rows: DataFrame, *keys: Column | str, name: str = "n") -> DataFram
 def admitted(requests: DataFrame, seconds: int = IN_FLIGHT_SECONDS) -> DataFrame:
     """Requests (athlete_id, request_id, at, finished_at) with ``admitted``: one an athlete is in flight at a time.
 
-    A request that is let in blocks its athlete until it finishes, or for ``seconds`` at most.  The requests of one
-    athlete are folded in order of time; athletes are independent.
+    A request that is let in blocks its athlete until it finishes, or for ``seconds`` at most.  An athlete's requests
+    stream through in order of time and request_id; all that is held of them is until when the athlete is blocked.
     """
-    until = F.least(F.coalesce("finished_at", F.col("at") + F.make_interval(secs=F.lit(float(seconds)))), F.col("at") + F.make_interval(secs=F.lit(float(seconds))))
-    queue = requests.groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("at", "request_id", until.alias("until")))).alias("q"))
-    kind = requests.schema["request_id"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(requests.schema["at"].dataType).alias("until"), F.array().cast(f"array<{kind}>").alias("ids"))
-
-    def step(state: Column, r: Column) -> Column:
-        free = state["until"].isNull() | (r["at"] >= state["until"])
-        return F.when(free, F.struct(r["until"].alias("until"), F.array_append(state["ids"], r["request_id"]).alias("ids"))).otherwise(state)
-
-    rows = queue.select("athlete_id", "q", F.aggregate("q", start, step, lambda s: s["ids"]).alias("ids")).select("athlete_id", F.explode("q").alias("r"), "ids")
-    return rows.select("athlete_id", F.col("r.request_id").alias("request_id"), F.col("r.at").alias("at"), F.array_contains("ids", F.col("r.request_id")).alias("admitted"))
+    ship(requests.sparkSession)
+    limit = F.col("at") + F.make_interval(secs=F.lit(float(seconds)))
+    rows = requests.select("athlete_id", "request_id", "at", F.unix_micros(F.col("at").cast("timestamp")).alias("__at"), F.unix_micros(F.least(F.coalesce("finished_at", limit), limit).cast("timestamp")).alias("__until"))
+    rows = rows.repartition("athlete_id").sortWithinPartitions("athlete_id", F.asc_nulls_first("__at"), "request_id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        until = None
+        for batch in batches:
+            said = []
+            for at, to in zip(batch.column("__at").to_pylist(), batch.column("__until").to_pylist()):
+                free = until is None or at is not None and at >= until
+                until = to if free else until
+                said.append(free)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("athlete_id", "request_id", "at")), pa.array(said, pa.bool_())], names=["athlete_id", "request_id", "at", "admitted"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("athlete_id", "request_id", "at"))
+    return rows.groupBy("athlete_id").applyInArrow(work, f"{schema}, admitted boolean")
 
 
 def deadline(started: Column, seconds: int = JOB_SECONDS, reserve: int = RESERVE_SECONDS) -> Column:

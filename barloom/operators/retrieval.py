@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,12 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
 
 from barloom.compat import all_of, any_of, array_length, asc, desc
 from barloom.functions.collections import contains_all, open_or_contains, open_or_equal, overlaps
 from barloom.operators.relational import first_seen_union, top_per
-from barloom.session import ship
+from barloom.session import shared_dir, ship
 
 LEVELS = {"low": 1, "medium": 2, "high": 3}
 DEFAULT_K, MIN_SIMILARITY = 5, 0.45
@@ -70,8 +70,8 @@ def cosine_topk(vectors: DataFrame, query: Sequence[float] | Column, k: int = DE
 def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, floor: float | None = None) -> DataFrame:
     """As cosine_topk for a table of queries (query, qvec), each with its own top k over all vectors.
 
-    Queries go through in blocks of about QUERY_BLOCK, one pass over the vectors each, so what is sent to the tasks is
-    bounded.  A task compares its vectors with the block batch by batch and keeps k a query: no pairs are listed, and
+    Queries go through in blocks of about QUERY_BLOCK, one pass over the vectors each; with several blocks, each is written to
+    the shared folder and what was sent to the tasks is gone before the next, so it is bounded.  A task compares its vectors with the block batch by batch and keeps k a query: no pairs are listed, and
     only those rows are shuffled.  Similarities within 1e-12 count as equal, and ids break ties.
     """
     spark = vectors.sparkSession
@@ -80,7 +80,7 @@ def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K
     schema = pa.schema([*[(c, to_arrow_type(t)) for c, t in kinds.items()], ("similarity", pa.float64())])
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = []
+    path = f"{shared_dir(spark)}/barloom-topk-{uuid.uuid4().hex}" if blocks > 1 else None
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", F.col("qvec").cast("array<double>").alias("q")).where("q IS NOT NULL").toArrow()
         shared = spark.sparkContext.broadcast(block)
@@ -104,11 +104,13 @@ def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K
                 query, vec, sim = query[kept], vec[kept], sim[kept]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(vec, schema.field("vec_id").type), pa.array(sim)], schema=schema)
 
-        parts.append(rows.mapInArrow(work, StructType().add("query", kinds["query"]).add("vec_id", kinds["vec_id"]).add("similarity", "double")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_per(out, ["query"], k, F.col("similarity").desc(), F.col("vec_id"))
+        found = rows.mapInArrow(work, f"query {kinds['query'].simpleString()}, vec_id {kinds['vec_id'].simpleString()}, similarity double")
+        found = top_per(found, ["query"], k, F.col("similarity").desc(), F.col("vec_id"))
+        if path is None:
+            return found
+        found.write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def fault_exercises(exercises: DataFrame, faults: Sequence[str], families: Sequence[str], max_complexity: int, n: int = 10) -> DataFrame:

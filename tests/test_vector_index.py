@@ -57,6 +57,16 @@ def test_vectors_without_structure(spark, tmp_path, monkeypatch, floor):
     assert got(found) == brute(x, q, 25, floor)
 
 
+def test_full_scans_block_by_block(spark, monkeypatch):
+    from barloom.operators import retrieval as V
+
+    monkeypatch.setattr(V, "QUERY_BLOCK", 9)
+    x = np.random.default_rng(8).standard_normal((300, 6))
+    q = x[::11]
+    found = V.cosine_topk_batch(table(spark, x), table(spark, q, "query", "qvec"), 5)
+    assert got(found) == brute(x, q, 5)
+
+
 def test_odd_vectors(spark, tmp_path):
     rows = [np.array([1.0, 0]), None, np.array([0.0, 0]), np.array([-1e200, 1e200]), np.array([1e-200, 1e-200])]
     index = PivotIndex.build(table(spark, rows), str(tmp_path / "i"))
