@@ -20,7 +20,8 @@ Null, empty and blank texts have no shingles: each is a group of its own.  Rows
 with the same doc_id fall in one group only if their texts do; rows that repeat
 the kept doc_id in a group all stay.  A null doc_id sorts below all others.  Ties:
 the smallest doc_id of a group stays.  An empty table gives an empty result.
-Further columns, whatever their names, pass through representatives() unchanged.
+Further columns, whatever their names, pass through representatives() unchanged.  A very
+long text is signed and compared whole, as a batch of its own.
 """
 
 from __future__ import annotations

@@ -294,7 +294,10 @@ def encode(docs: DataFrame, ranks_file: str, text: str = "text", keep: list[str]
 
 
 def decode(rows: DataFrame, ranks_file: str, ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
-    """The text of each row's ids, as binary column ``decoded`` (a cut text need not be UTF-8); null ids are empty."""
+    """The text of each row's ids, as binary column ``decoded`` (a cut text need not be UTF-8); null ids are empty.
+
+    Rows do not depend on each other: repeated rows are decoded each, and there are no ties.
+    """
     spark = rows.sparkSession
     keep = [c for c in rows.columns if c not in (ids, "decoded")] if keep is None else keep
     with open(ranks_file, "rb") as f:

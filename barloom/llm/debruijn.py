@@ -26,7 +26,8 @@ edge may be split.
 
 Null, empty and blank texts have no words.  A null doc_id sorts with the largest long,
 after all others.  Rows with the same doc_id do not remove each other's words.  An empty
-table gives an empty result; further columns are not looked at.
+table gives an empty result; further columns are not looked at.  A very long text is a
+chunk of its own, worked on whole in one task.
 """
 
 from __future__ import annotations

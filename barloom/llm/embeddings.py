@@ -20,7 +20,8 @@ their number, so large groups of copies cost one comparison.
 
 Vectors that are null, zero, or hold null or non-finite components, and those with a
 null label, link with nothing and are components of their own.  Rows that repeat a
-vec_id count as further vectors.  A null vec_id sorts below all others.
+vec_id count as further vectors.  A null vec_id sorts below all others.  An empty table
+gives an empty result.  Further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -23,6 +23,8 @@ others are looked up by a join.
 Tokens: words of the text with A-Z lower-cased, named by 64-bit hashes, then one
 end.  Null and empty texts have the end alone.  Rows with a null doc_id are held out.
 Repeated rows count, and are scored, each.  Without training documents N and V are 0.
+An empty table gives an empty result.  A very long text is tokenised whole, as a batch
+of its own.  Further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ about BUCKET_BYTES of compressed texts, however large the input is.
 Null and empty texts have no bytes.  A null doc_id sorts with the largest long, after
 all others.  Rows with the same doc_id count as one document's: of equal strings at
 equal offsets both stay.  Matches never cross rows.  An empty table gives an empty
-result; further columns are not looked at.
+result; further columns are not looked at.  A very long text is a chunk of its own, named
+whole in one task, whose memory is some 70 bytes for each of its bytes.
 """
 
 from __future__ import annotations

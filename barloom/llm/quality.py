@@ -13,7 +13,8 @@ used; none are sampled.
 
 Nulls: a null text is empty; null labels are skipped; several labels of a row all
 count; a row with a null doc_id is never learned from.  Empty texts get a score like any other.
-Without any label every score is 0.5.  Repeated rows are scored alike.  An empty
+Without any label every score is 0.5.  Repeated rows are scored alike.  A very long
+text is measured whole, as a batch of its own.  An empty
 table gives an empty result; further columns are not looked at, and pass through
 accepted() unchanged.
 """

@@ -16,7 +16,8 @@ share is no hot spot.
 Nulls: a null html is an empty payload; a null url gives no target URI; a row
 with a null page_id revisits if a row with an id has its payload, else it is a
 response.  Rows that repeat the smallest page_id of a payload are all responses.
-An empty table gives no archive.  Further columns are not archived.
+An empty table gives no archive.  Further columns are not archived.  A very long
+payload is one record, compressed whole in the memory of one task.
 
 An archive is written under a name of its own and counts only once the task that
 wrote it succeeded (its manifest row is committed), so retried tasks do no harm.
