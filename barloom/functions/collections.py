@@ -35,8 +35,8 @@ def first_seen(*arrays: Column, most: int | None = None) -> Column:
 
 
 def bounded_ints(text: Column, lo: int, hi: int) -> Column:
-    """Whole numbers of a comma list; one that is no number or out of range empties the list."""
-    parts = F.transform(F.split(text, ","), lambda p: F.trim(p).try_cast("int"))
+    """Whole numbers of a comma list, blank entries left out; one that is no number or out of range empties the list."""
+    parts = F.transform(F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != ""), lambda p: p.try_cast("int"))
     good = F.forall(parts, lambda x: F.coalesce((x >= lo) & (x <= hi), F.lit(False)))
     return F.when(good, parts).otherwise(F.array().cast("array<int>"))
 

@@ -7,9 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.compat import nullif_blank
-from barloom.functions.numbers import deviation, token_cost
+from barloom.compat import all_of, nullif_blank, nullif_zero
+from barloom.functions.collections import bounded_ints
+from barloom.functions.dates import clamped_log_date
+from barloom.functions.numbers import bounded_float, bounded_int, deviation, token_cost
 from barloom.functions.text import lift_ref
+from barloom.operators.merge import one_a_key
 
 # Words for a goal and the goal they stand for; vocabularies of a profile.
 GOAL_WORDS = {
@@ -19,6 +22,7 @@ GOAL_WORDS = {
     "technique": "technique_focus",
     "conditioning": "work_capacity",
 }
+MOST_REPS = 999
 LEVELS = ["beginner", "intermediate", "advanced", "elite"]
 
 
@@ -62,6 +66,59 @@ def logged_entries(entries: DataFrame, planned: DataFrame) -> DataFrame:
     return out.drop("__p", "__s").withColumns({"weight_deviation_kg": deviation(F.col("weight_kg"), F.col("planned_kg"), 2), "rpe_deviation": deviation(F.col("rpe"), F.col("rpe_target"), 1)})
 
 
+def log_values(forms: DataFrame, today: Column) -> DataFrame:
+    """Fields of a session log from a form's texts, beside log_id and position: what is no number in range is null, a blank note too.
+
+    forms: log_id, position, log_date, overall_rpe, duration, bodyweight, sleep_quality, stress_level, notes.
+    """
+    c = F.col
+    return forms.select(
+        "log_id", "position", clamped_log_date(c("log_date"), today).alias("log_date"), bounded_float(c("overall_rpe")).alias("overall_rpe"), bounded_int(c("duration"), 1).cast("int").alias("session_duration_minutes"),
+        bounded_float(c("bodyweight")).alias("bodyweight_kg"), bounded_int(c("sleep_quality"), 1, 5).cast("int").alias("sleep_quality"), bounded_int(c("stress_level"), 1, 5).cast("int").alias("stress_level"), nullif_blank(c("notes")).alias("athlete_notes"),
+    )
+
+
+def entry_values(forms: DataFrame) -> DataFrame:
+    """Fields of an exercise entry from a form's texts, beside id, log_id and position; sets default to the number of rep entries, or 1.
+
+    forms: id, log_id, position, weight_kg, rpe, make_rate (percent), reps_per_set, sets_completed, technical_notes.
+    """
+    c = F.col
+    reps = F.nullif(bounded_ints(c("reps_per_set"), 1, MOST_REPS), F.array().cast("array<int>"))
+    return forms.select(
+        "id", "log_id", "position", bounded_float(c("weight_kg")).alias("weight_kg"), bounded_float(c("rpe")).alias("rpe"), (bounded_float(c("make_rate")) / 100).alias("make_rate"), reps.alias("reps_per_set"),
+        F.coalesce(nullif_zero(bounded_int(c("sets_completed"))), F.array_size(reps), F.lit(1)).cast("int").alias("sets_completed"), nullif_blank(c("technical_notes")).alias("technical_notes"),
+    )
+
+
+def overwritten(table: DataFrame, values: DataFrame, keys: Mapping[str, str]) -> DataFrame:
+    """The table with the columns of ``values`` in the rows that agree in all keys (of the table -> of the values); of several the last position."""
+    last = one_a_key(values, list(keys.values()), ["position"])
+    fields = [c for c in values.columns if c not in (*keys.values(), "position")]
+    new = last.select(*[F.col(v).alias(f"__k_{k}") for k, v in keys.items()], *[F.col(c).alias(f"__{c}") for c in fields], F.lit(True).alias("__hit"))
+    rows = table.join(new, all_of(*[F.col(k) == F.col(f"__k_{k}") for k in keys]), "left")
+    return rows.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in table.columns])
+
+
+def updated_logs(logs: DataFrame, forms: DataFrame, today: Column) -> DataFrame:
+    """Session logs (id, ...) after forms of some: all fields of a form are stored, blank ones as null."""
+    return overwritten(logs, log_values(forms, today), {"id": "log_id"})
+
+
+def updated_entries(entries: DataFrame, forms: DataFrame, planned: DataFrame) -> DataFrame:
+    """Exercise entries after forms of some, with deviations from what the entry was prescribed and from its plan's effort.
+
+    A form counts only for an entry of its own log.  A weight left blank is stored as 0 and has no deviation.
+    entries: id, log_id, planned_id, prescribed_weight_kg, weight_deviation_kg, rpe_deviation and the fields of entry_values().
+    planned: planned_id, rpe_target.
+    """
+    own = entries.select(F.col("id").alias("__e"), F.col("log_id").alias("__l"), "planned_id", "prescribed_weight_kg")
+    values = entry_values(forms).join(own, (F.col("id") == F.col("__e")) & (F.col("log_id") == F.col("__l")))
+    values = values.join(planned.select(F.col("planned_id").alias("__p"), "rpe_target"), F.col("planned_id") == F.col("__p"), "left")
+    values = values.withColumns({"weight_deviation_kg": deviation(F.col("weight_kg"), F.col("prescribed_weight_kg"), 2), "rpe_deviation": deviation(F.col("rpe"), F.col("rpe_target"), 1), "weight_kg": F.coalesce("weight_kg", F.lit(0.0))})
+    return overwritten(entries, values.drop("__e", "__l", "__p", "planned_id", "prescribed_weight_kg", "rpe_target"), {"id": "id", "log_id": "log_id"})
+
+
 def token_totals(log: DataFrame, key: str) -> DataFrame:
     """Tokens and cost by key."""
     tin, tout = F.coalesce("input_tokens", F.lit(0)), F.coalesce("output_tokens", F.lit(0))
