@@ -19,6 +19,7 @@ changes nothing.  Columns of rows beyond those named are left out; sources keep
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,17 +35,17 @@ STEM = 250
 FOLDED = "id long, title string, author string, source_type string, url string, position long, made boolean"
 
 
-def slug(url: str) -> str:
-    return url.rstrip("/").rsplit("/", 1)[-1]
+def marks(url: str) -> tuple[str, str]:
+    """What tells a page from others of its title: the last part of its path, and a digest of the URL."""
+    return re.search(r"([^/]*)/*$", url)[1], hashlib.md5(url.encode()).hexdigest()[:8]
 
 
 def own_title(title: str, url: str, taken) -> str:
-    """A title for a second page of a title."""
-    found = f"{title} [{slug(url)}]"[:TITLE]
-    if found == title or found in taken:
-        suffix = f" [{hashlib.md5(url.encode()).hexdigest()[:8]}]"
-        found = title[: TITLE - len(suffix)] + suffix
-    return found
+    """A title for a second page of a title.  The path's mark may be cut off at the end, for the digest the title is cut."""
+    part, digest = (f"[{m}]" for m in marks(url))
+    by_path = " ".join((title, part))[:TITLE]
+    free = by_path != title and by_path not in taken
+    return by_path if free else " ".join((title[: TITLE - 1 - len(digest)], digest))
 
 
 def folded(first_id: int):

@@ -12,28 +12,29 @@ ROWS = "position long, title string, author string, source_type string, url stri
 
 
 def one_by_one(sources, rows):
-    """(sources, id by position) as a loop over the rows."""
-    table = [list(s[:5]) for s in sources]
-    first_id, said = max((s[0] for s in sources), default=0) + 1, {}
+    """(sources, id by position) as a loop over the rows, with dictionaries by URL and by title."""
+    first_id = max((s[0] for s in sources), default=0) + 1
+    stored = {s[0]: dict(zip(("id", "title", "author", "kind", "url"), s)) for s in sources}
+    for s in stored.values():
+        s["url"] = (s["url"] or "").strip()
+    said = {}
     for position, title, author, kind, url in sorted(r[:5] for r in rows):
-        url, title = (url or "").strip() or None, title[:300]
-        hit = next((s for s in table if url and (s[4] or "").strip() == url), None)
-        if hit is None:
-            hit = next((s for s in table if s[1] == title and s[2] == author), None)
-            if hit and url and hit[4] and hit[4] != url:
-                own = f"{title} [{url.rstrip('/').split('/')[-1]}]"[:300]
-                if own == title or any(s[1] == own and s[2] == author for s in table):
-                    tail = f" [{hashlib.md5(url.encode()).hexdigest()[:8]}]"
-                    own = title[: 300 - len(tail)] + tail
-                title = own
-                hit = next((s for s in table if s[1] == title and s[2] == author), None)
-            if hit is None:
-                hit = [first_id + position, title, author, kind, url]
-                table.append(hit)
-            elif url and not (hit[4] or "").strip():
-                hit[4] = url
-        said[position] = hit[0]
-    return sorted((s[0], s[1], s[2] or "", s[3], s[4] or "") for s in table), said
+        url, title = (url or "").strip(), title[:300]
+        by_url = {s["url"]: i for i, s in stored.items() if s["url"]}
+        by_name = {(s["title"], s["author"]): i for i, s in stored.items()}
+        known = by_url.get(url) if url else None
+        if known is None:
+            known = by_name.get((title, author))
+            if known is not None and url and stored[known]["url"] not in ("", url):
+                names = [("%s [%s]" % (title, [p for p in url.split("/") if p][-1]))[:300], "%s [%s]" % (title[:289], hashlib.md5(url.encode()).hexdigest()[:8])]
+                title = names[1] if names[0] == title or (names[0], author) in by_name else names[0]
+                known = by_name.get((title, author))
+        if known is None:
+            known = first_id + position
+            stored[known] = {"id": known, "title": title, "author": author, "kind": kind, "url": url}
+        said[position] = known
+        stored[known]["url"] = stored[known]["url"] or url
+    return sorted((s["id"], s["title"], s["author"] or "", s["kind"], s["url"]) for s in stored.values()), said
 
 
 def compare(spark, sources, rows):
