@@ -1,9 +1,10 @@
 """A sink that commits rows in units, with an audit row a unit after the commit: Python data source ``barloom_committed``.
 
-Tasks write units of ``rowsPerCommit`` rows as Parquet files that nobody reads yet, and tell the driver what they wrote.  The
-driver commits a write by putting one manifest in its place, and writes the audit rows after that.  A task that
-fails takes its own files with it, a write that fails takes those of its other tasks: neither rows nor audit rows stay.
-Reading the source gives the rows of committed units alone.
+Tasks write units of ``rowsPerCommit`` rows as Parquet files that nobody reads yet, numbered by task, and tell the driver how many
+they wrote.  The driver commits a write by putting one manifest in its place, and writes the audit after that; both have an entry a
+task, whatever the number of units, and audit() gives a row a unit.  A task that fails takes its own files with it, a write that
+fails takes those of its other tasks: neither rows nor audit rows stay.  Reading the source gives the rows of committed units alone,
+many units a task.
 
 As a stream sink a batch commits once: a batch that is run again after its commit changes nothing, but for audit rows that
 are missing.  ``path`` is a folder that all executors share and pyarrow's file systems can open.
@@ -14,27 +15,43 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, InputPartition, WriterCommitMessage
 
-from barloom.session import ship
+from barloom.session import BATCH_ROWS, ship
 
 UNIT_ROWS = 50
+#: Units and rows that one task reads at most (one unit at least).
+READ_UNITS, READ_ROWS = 250, 100_000
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Files of a task, and rows of each."""
+    """What a task wrote: files ``prefix``-000000.parquet and so on, each of ``size`` rows but the last."""
 
-    units: list[tuple[str, int]]
+    prefix: str
+    units: int
+    n_rows: int
+    size: int
+
+    def names(self) -> list[str]:
+        return [unit_name(self.prefix, i) for i in range(self.units)]
 
 
 @dataclass
-class UnitFile(InputPartition):
-    path: str
+class UnitFiles(InputPartition):
+    prefix: str
+    begin: int
+    end: int
+
+
+def unit_name(prefix: str, i: int) -> str:
+    return f"{prefix}-{i:06d}.parquet"
 
 
 class Folder:
@@ -63,10 +80,10 @@ class Folder:
         with self.fs.open_input_stream(f"{self.root}/{folder}/{name}") as f:
             return json.loads(f.read())
 
-    def remove(self, units: Sequence[tuple[str, int]]) -> None:
+    def remove(self, names: Sequence[str]) -> None:
         from pyarrow import fs
 
-        for name, _ in units:
+        for name in names:
             if self.fs.get_file_info(f"{self.root}/{name}").type != fs.FileType.NotFound:
                 self.fs.delete_file(f"{self.root}/{name}")
 
@@ -75,13 +92,14 @@ def units_of(folder: Folder, batches: Iterator[pa.RecordBatch], size: int, at: s
     """Write a task's rows in units below ``at``; on failure none stays."""
     import pyarrow.parquet as pq
 
-    done: list[tuple[str, int]] = []
+    done = Written(f"{at}/{uuid.uuid4().hex}", 0, 0, size)
     held: list[pa.RecordBatch] = []
 
     def flush() -> None:
         table = pa.Table.from_batches(held)
-        name = f"{at}/{uuid.uuid4().hex}.parquet"
-        done.append((name, len(table)))
+        name = unit_name(done.prefix, done.units)
+        done.units += 1
+        done.n_rows += len(table)
         pq.write_table(table, f"{folder.root}/{name}", filesystem=folder.fs)
         held.clear()
 
@@ -97,21 +115,23 @@ def units_of(folder: Folder, batches: Iterator[pa.RecordBatch], size: int, at: s
         if held:
             flush()
     except BaseException:
-        folder.remove(done)
+        folder.remove(done.names())
         raise
-    return Written(done)
+    return done
 
 
 def committed(folder: Folder, name: str, messages: Sequence[Written | None]) -> None:
-    """One manifest, then one file of audit rows."""
-    units = [u for m in messages if m for u in m.units]
+    """One manifest, then one file of audit entries."""
+    tasks = [m for m in messages if m and m.units]
     if f"{name}.json" in folder.names("commits"):  # a batch that is run again: the first commit stands
-        folder.remove(units)
-        units = folder.get("commits", f"{name}.json")
+        for m in tasks:
+            folder.remove(m.names())
+        tasks = [Written(**x) for x in folder.get("commits", f"{name}.json")]
     else:
-        folder.put("commits", f"{name}.json", units)
+        folder.put("commits", f"{name}.json", [asdict(m) for m in tasks])
     if f"{name}.json" not in folder.names("audit"):
-        folder.put("audit", f"{name}.json", [{"write": name, "unit": i, "file": f, "n_rows": n} for i, (f, n) in enumerate(units)])
+        first = accumulate((m.units for m in tasks), initial=0)
+        folder.put("audit", f"{name}.json", [{"write": name, "first": i, **asdict(m)} for i, m in zip(first, tasks)])
 
 
 class BatchWriter(DataSourceArrowWriter):
@@ -144,7 +164,7 @@ class StreamWriter(DataSourceStreamArrowWriter):
         committed(Folder(self.path), f"{self.name}-{batchId:012d}", messages)
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:
-        Folder(self.path).remove([u for m in messages if m for u in m.units])
+        Folder(self.path).remove([n for m in messages if m for n in m.names()])
 
 
 class UnitReader(DataSourceReader):
@@ -152,14 +172,22 @@ class UnitReader(DataSourceReader):
         self.path, self.columns = path, columns
 
     def partitions(self) -> Sequence[InputPartition]:
-        folder = Folder(self.path)
-        return [UnitFile(f) for name in folder.names("commits") for f, _ in folder.get("commits", name)]
+        folder, out = Folder(self.path), []
+        for m in (Written(**x) for name in folder.names("commits") for x in folder.get("commits", name)):
+            step = max(1, min(READ_UNITS, READ_ROWS // m.size))
+            out += [UnitFiles(m.prefix, i, min(i + step, m.units)) for i in range(0, m.units, step)]
+        return out
 
-    def read(self, partition: UnitFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: UnitFiles) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
-        folder = Folder(self.path)
-        yield from pq.read_table(f"{folder.root}/{partition.path}", filesystem=folder.fs, columns=self.columns).to_batches()
+        folder, held = Folder(self.path), []
+        for i in range(partition.begin, partition.end):
+            with folder.fs.open_input_file(f"{folder.root}/{unit_name(partition.prefix, i)}") as f:
+                held.append(pq.ParquetFile(f).read(self.columns, use_threads=False).select(self.columns))
+            if i + 1 == partition.end or sum(map(len, held)) >= BATCH_ROWS:
+                yield from pa.concat_tables(held).combine_chunks().to_batches(BATCH_ROWS)
+                held.clear()
 
 
 class CommittedSource(DataSource):
@@ -206,4 +234,7 @@ def rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def audit(spark: SparkSession, path: str) -> DataFrame:
     """write, unit, file, n_rows: an audit row a unit."""
-    return spark.read.schema("write string, unit int, file string, n_rows long").json(f"{path}/audit/*.json")
+    tasks = spark.read.schema("write string, first long, prefix string, units long, n_rows long, size long").json(f"{path}/audit/*.json")
+    units, i = tasks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("units") - 1))), F.col("i")
+    file = F.format_string("%s-%06d.parquet", "prefix", i)
+    return units.select("write", (F.col("first") + i).cast("int").alias("unit"), file.alias("file"), F.least("size", F.col("n_rows") - i * F.col("size")).alias("n_rows"))

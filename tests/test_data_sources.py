@@ -123,3 +123,16 @@ def test_as_a_stream_sink(spark, tmp_path):
         df.writeStream.format("barloom_committed").option("path", path).option("query", "q").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(200)
     assert sorted(r.id for r in C.rows(spark, path, SCHEMA).collect()) == [*range(60), *range(100, 160)]
     assert sorted(r.n_rows for r in C.audit(spark, path).collect()) == [10, 10, 50, 50]
+
+
+def test_many_units_are_few_tasks_and_entries(spark, tmp_path):
+    path = str(tmp_path / "t")
+    C.write(spark.range(0, 3005, 1, 2).selectExpr("id", "'a' AS name"), path, 5)
+    back = C.rows(spark, path, SCHEMA)
+    assert back.rdd.getNumPartitions() <= 4
+    assert sorted(r.id for r in back.collect()) == list(range(3005))
+    found = C.audit(spark, path).orderBy("unit").collect()
+    assert [r.unit for r in found] == list(range(602)) and sorted({r.file.split("/")[-1] for r in found}) == files(path)
+    assert sum(r.n_rows for r in found) == 3005 and sorted(r.n_rows for r in found)[:3] == [2, 3, 5]
+    (manifest,) = (tmp_path / "t/commits").glob("write-*.json")
+    assert len(manifest.read_text()) < 500
