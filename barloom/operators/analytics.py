@@ -162,7 +162,7 @@ def success_by_lift(entries: DataFrame, keys: Sequence[str], lift: str = "lift")
 
 
 def warning_rows(logs: DataFrame, entries: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
-    """athlete_id, kind, subject, value: one row for each warning of the last days."""
+    """athlete_id, kind, subject, value: one row for each warning of the last days.  Means add up in order of log_id, wherever rows lie."""
     recent = logs.where(F.col("log_date") >= F.date_sub(as_of, days))
     day = F.col("log_date").cast("string")
 
@@ -172,7 +172,9 @@ def warning_rows(logs: DataFrame, entries: DataFrame, as_of: Column, days: int =
     own = F.array_compact(F.array(when(F.col("overall_rpe") >= 9, "high_effort", "overall_rpe"), when((F.col("sleep_quality") != 0) & (F.col("sleep_quality") <= 2), "poor_sleep", "sleep_quality"), when(F.col("stress_level") >= 4, "high_stress", "stress_level")))
     daily = recent.select("athlete_id", F.explode(own).alias("w")).select("athlete_id", "w.*")
     stats = entries.join(recent.select("log_id", "athlete_id"), "log_id").where("rpe IS NOT NULL OR make_rate IS NOT NULL")
-    stats = stats.groupBy("athlete_id", "exercise").agg(F.avg("rpe_deviation").alias("d"), F.avg("make_rate").alias("m"), F.count("rpe_deviation").alias("nd"), F.count("make_rate").alias("nm"))
+    so_far = Window.partitionBy("athlete_id", "exercise").orderBy("log_id", "rpe_deviation", "make_rate").rowsBetween(Window.unboundedPreceding, 0)
+    stats = stats.select("athlete_id", "exercise", F.struct(*[F.count(F.lit(1)).over(so_far).alias("n"), *[f(c).over(so_far).alias(x) for x, f, c in (("d", F.avg, "rpe_deviation"), ("m", F.avg, "make_rate"), ("nd", F.count, "rpe_deviation"), ("nm", F.count, "make_rate"))]]).alias("s"))
+    stats = stats.groupBy("athlete_id", "exercise").agg(F.max("s").alias("s")).select("athlete_id", "exercise", "s.*")
     stats = stats.where("nd >= 2 OR nm >= 2")
     found = F.array_compact(F.array(
         F.when((F.col("nd") >= 2) & (F.col("d") > 1.5), F.struct(F.lit("effort_above_target").alias("kind"), F.col("exercise").alias("subject"), F.bround("d", 1).alias("value"))),

@@ -241,3 +241,13 @@ def test_stream_windows_match_batch(spark, tmp_path):
     key = lambda r: (r.event_type, r.window_start)
     got, want = ({key(r): r.n for r in d.collect()} for d in (spark.table("w"), I.tumbling(events, "ts", "1 day", "event_type")))
     assert got == want
+
+
+def test_warnings_add_up_in_order_of_logs(spark):
+    rates = {"forward": [0.08, 0.12, 0.11, 0.47], "back": [0.47, 0.11, 0.12, 0.08]}  # 19.5 percent, and a sum that depends on the order
+    logs = spark.range(4).select(F.col("id").alias("log_id"), F.lit(1).alias("athlete_id"), F.lit("2024-01-30").cast("date").alias("log_date"), *[F.lit(3).alias(c) for c in ("overall_rpe", "sleep_quality", "stress_level")])
+    entries = spark.createDataFrame([(i, x, None, None, m) for x, own in rates.items() for i, m in enumerate(own)], "log_id long, exercise string, rpe double, rpe_deviation double, make_rate double")
+    for order in (F.col("log_id"), F.desc("log_id"), F.col("make_rate")):
+        for parts in (1, 3):
+            found = A.warning_rows(logs, entries.repartition(parts, "log_id").sortWithinPartitions(order), F.lit("2024-01-31").cast("date"))
+            assert sorted(map(tuple, found.collect())) == [(1, "low_make_rate", "back", 19.0), (1, "low_make_rate", "forward", 20.0)]
