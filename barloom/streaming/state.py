@@ -6,8 +6,9 @@ has and reads nothing of what was written before.  A query that is stopped goes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from math import fsum
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from barloom.session import ship
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY = 86_400_000_000
+#: Digits of a mean: past them doubles differ by the order in which they are added, so a mean of 0.7 might be below 0.7.
+MEAN_DIGITS = 12
 
 
 @contextmanager
@@ -63,6 +66,11 @@ def new_chunks_stream(chunks: DataFrame, order: str = "position", text: str = "r
     return rows.groupBy("content_hash").transformWithState(FirstSeen(order), outputStructType=rows.schema, outputMode="append", timeMode="none")
 
 
+def mean(values: Sequence[float]) -> float | None:
+    """The same in any order of the values."""
+    return round(fsum(values) / len(values), MEAN_DIGITS) if values else None
+
+
 class WarningStarts(StatefulProcessor):
     """When a condition on the events of the last days begins to hold.
 
@@ -92,7 +100,6 @@ class WarningStarts(StatefulProcessor):
 
     def _conditions(self, recent: list[tuple]) -> dict[str, tuple[bool, float | None]]:
         efforts, makes = [e for _, e, _ in recent if e is not None], [m for _, _, m in recent if m is not None]
-        mean = lambda x: sum(x) / len(x) if x else None
         return {
             "effort_above_target": (len(efforts) >= self.least and mean(efforts) > self.effort_above, mean(efforts)),
             "low_make_rate": (len(makes) >= self.least and mean(makes) < self.make_below, mean(makes)),
@@ -159,7 +166,7 @@ def warning_starts_batch(events: DataFrame, keys: dict[str, str], upto: Column,
     points = rows.select(*keys, F.explode(F.array("at", F.col("at") + days * DAY)).alias("point")).where(F.col("point") <= F.unix_micros(upto)).distinct()
     same = [F.col(f"p.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
     inside = points.alias("p").join(rows.alias("e"), [*same, F.col("e.at") <= F.col("point"), F.col("e.at") > F.col("point") - days * DAY], "left")
-    stats = inside.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], "point").agg(F.count("effort").alias("ne"), F.avg("effort").alias("effort"), F.count("make").alias("nm"), F.avg("make").alias("make"))
+    stats = inside.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], "point").agg(F.count("effort").alias("ne"), F.round(F.avg("effort"), MEAN_DIGITS).alias("effort"), F.count("make").alias("nm"), F.round(F.avg("make"), MEAN_DIGITS).alias("make"))
     on = {"effort_above_target": ((F.col("ne") >= least) & (F.col("effort") > effort_above), "effort"), "low_make_rate": ((F.col("nm") >= least) & (F.col("make") < make_below), "make")}
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(c, F.lit(False)).alias("on"), F.col(v).alias("value")) for k, (c, v) in on.items()]))
     tall = stats.select(*keys, "point", kinds.alias("x")).select(*keys, "point", "x.*")

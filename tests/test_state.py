@@ -1,6 +1,7 @@
 """Streams with keyed state against tables: restarts, order of arrival, expiry."""
 
 import datetime
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -92,3 +93,15 @@ def test_warnings_over_restarts_and_out_of_order(spark, tmp_path):
         spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(src)
         got = run(spark, state.warning_starts(spark.readStream.schema(EVENTS).parquet(src), KEYS, delay="4 days"), str(tmp_path / "out"))
     assert shown(got, upto) == plain(rows, upto)
+
+
+def test_a_mean_at_the_threshold_is_no_warning(spark):
+    starts = state.WarningStarts(["who"], 14, 2, 1.5, 0.7)
+    # means of 0.7 and 1.5, whose doubles add up to less and to more
+    makes, efforts = [0.7, 0.82, 0.58], [2.95, 1.6, 0.05, 0.2, 2.7]
+    for p in itertools.permutations(makes):
+        assert starts._conditions([(0, None, m) for m in p])["low_make_rate"] == (False, 0.7)
+    for p in itertools.permutations(efforts):
+        assert starts._conditions([(0, e, None) for e in p])["effort_above_target"] == (False, 1.5)
+    rows = spark.createDataFrame([(who, 1, START, e, m) for who, own in (("a", [(None, m) for m in makes]), ("b", [(e, None) for e in efforts])) for e, m in own], EVENTS)
+    assert not state.warning_starts_batch(rows, KEYS, F.lit(START)).collect()
