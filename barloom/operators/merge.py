@@ -41,9 +41,15 @@ def complete(keys: Sequence[str]) -> Column:
 
 
 def one_a_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """Of changes with one key the last in the given order; rows whose key has a null stay all.  Combines before it shuffles."""
+    """Of changes with one key the last in the given order; rows whose key has a null stay all.  Combines before it shuffles.
+
+    Where the order leaves a tie, the largest of the other columns decides (maps aside, which have no order): one result, wherever rows lie.
+    """
     whole = complete(keys)
-    last = changes.where(whole).groupBy(*keys).agg(F.max_by(F.struct(*[c for c in changes.columns if c not in keys], F.lit(0).alias("__any")), F.struct(*order)).alias("__r"))
+    rest = [c for c in changes.columns if c not in keys]
+    ordered = [c for c in rest if "map<" not in changes.schema[c].dataType.simpleString()]
+    place = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"__o{i}") for i, o in enumerate(order)], *ordered)
+    last = changes.where(whole).groupBy(*keys).agg(F.max(place).alias("__r") if ordered == rest else F.max_by(F.struct(*rest), place).alias("__r"))
     return last.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in changes.columns]).unionByName(changes.where(~whole))
 
 
