@@ -37,13 +37,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 #: Rows of an Arrow batch at most: rows hold whole texts, and a batch stands in the memory of both sides.
 BATCH_ROWS = 2500
+#: And its bytes at most, where texts are long.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, and send them batches of bounded rows."""
+    """Let Python workers import this package from where the driver did, and send them batches of bounded rows and bytes."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

@@ -251,3 +251,24 @@ def test_warnings_add_up_in_order_of_logs(spark):
         for parts in (1, 3):
             found = A.warning_rows(logs, entries.repartition(parts, "log_id").sortWithinPartitions(order), F.lit("2024-01-31").cast("date"))
             assert sorted(map(tuple, found.collect())) == [(1, "low_make_rate", "back", 19.0), (1, "low_make_rate", "forward", 20.0)]
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    import pyarrow as pa
+
+    texts = ["", None, "x" * 400_000, "y" * 3_000_000, *["z" * 300_000] * 9, ""]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(len(texts))), "t": texts})
+    parts = list(S.by_bytes(batch, 1))
+    assert pa.Table.from_batches(parts).combine_chunks().to_pylist() == batch.to_pylist() and len(parts) >= 4
+    longest = lambda b: sum(len(t or "") for t in b.column(1).to_pylist()) - max(len(t or "") for t in b.column(1).to_pylist())
+    assert max(map(longest, parts)) <= S.PIECE_BYTES
+    assert [len(b) for b in S.by_bytes(batch.slice(0, 0), 1)] == [0]
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+
+    from barloom.session import ship
+
+    ship(spark)
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("w"), 100_000).alias("t"))
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) < 10_000_000
