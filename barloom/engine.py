@@ -112,9 +112,13 @@ def plan(athletes: DataFrame, today: Column) -> DataFrame:
     volume, ceiling = rules.load_deltas(*outcome)
     rows = athletes.select("athlete_id", "level", "sessions_per_week", "previous_phase", chosen["phase"].alias("phase"), F.when(previous.isNull(), F.least(chosen["weeks"], F.lit(rules.FIRST_WEEKS))).otherwise(chosen["weeks"]).alias("duration"), rules.max_complexity(previous, F.col("level")).alias("max_complexity"), F.coalesce(volume, F.lit(0.0)).alias("d_volume"), F.coalesce(ceiling, F.lit(0.0)).alias("d_ceiling"))
     targets = rules.weekly_targets(rows)
-    returning = rules.adjusted_targets(targets.where("previous_phase IS NOT NULL"), F.col("d_volume"), F.col("d_ceiling"))
-    first = rules.cold_start(targets.where("previous_phase IS NULL"))
-    return rules.week_totals(returning.unionByName(first).drop("d_volume", "d_ceiling"), "sessions_per_week")
+    # one pass for both kinds of programmes: first ones have no changes but a cap
+    first, bounds = F.col("previous_phase").isNull(), ("intensity_floor", "intensity_ceiling")
+    change = lambda c: F.when(first, F.lit(0.0)).otherwise(F.col(c))
+    adjusted = rules.adjusted_targets(targets, change("d_volume"), change("d_ceiling"))
+    capped = rules.cold_start(adjusted.withColumns({f"__{c}": F.col(c) for c in bounds}))
+    out = capped.withColumns({c: F.when(first, F.col(c)).otherwise(F.col(f"__{c}")) for c in bounds}).drop(*[f"__{c}" for c in bounds])
+    return rules.week_totals(out.drop("d_volume", "d_ceiling"), "sessions_per_week")
 
 
 def log_sessions(logs: DataFrame, changes: DataFrame) -> DataFrame:

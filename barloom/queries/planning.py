@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import relational as R
@@ -118,8 +118,9 @@ def athlete_plans(t: Tables) -> DataFrame:
         k.alias("athlete_id"), pick([x[0] for x in P.LEVELS], F.col("c_nationkey") % 4).alias("level"), pick(list(P.GOALS), k % 6).alias("goal"), (k % 7 + 1).cast("int").alias("sessions_per_week"),
         F.when(k % 7 < 3, F.date_add(today, (k % 12 * 7 + k % 5).cast("int"))).alias("event_date"), "previous_phase", "adherence_pct", "make_rate", "rpe_deviation",
     )
-    weeks = engine.plan(athletes, today)
-    out = weeks.join(P.peak_week(weeks, ["athlete_id"]), "athlete_id")
+    # over a window: joined to itself, the plan would be made twice
+    peak = F.max(F.when(~F.col("is_deload"), F.col("week_number"))).over(Window.partitionBy("athlete_id"))
+    out = engine.plan(athletes, today).withColumn("peak_week", peak)
     return out.select("athlete_id", "phase", "duration", "max_complexity", "week_number", "intensity_floor", "intensity_ceiling", F.round("volume_modifier", 6).alias("volume_modifier"), "reps_low", "reps_high", "is_deload", "total_reps", "peak_week")
 
 

@@ -272,3 +272,11 @@ def test_batches_of_long_texts_are_bounded(spark):
     ship(spark)
     rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("w"), 100_000).alias("t"))
     assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) < 10_000_000
+
+
+def test_plans_are_made_once(spark):
+    from barloom.queries import QUERIES
+
+    df = QUERIES["athlete_plans"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_orderpriority") and len([x for x in plan.splitlines() if "Relation [" in x and "o_custkey" in x]) == 1
