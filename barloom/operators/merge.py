@@ -128,6 +128,15 @@ def deleted(table: DataFrame, gone: DataFrame, on: str, gone_key: str | None = N
     return table.join(ids, F.col(on) == F.col("__gone"), "left_anti")
 
 
+def marked(table: DataFrame, gone: DataFrame, keys: Sequence[str], mark: str) -> DataFrame:
+    """The table with a mark: whether the row agrees with one of ``gone`` in all keys."""
+    ids = gone.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct().withColumn(mark, F.lit(True))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    return table.join(ids, same, "left").withColumn(mark, F.col(mark).isNotNull()).drop(*[f"__{k}" for k in keys])
+
+
 def deleted_keys(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The table without the rows that agree with one of ``gone`` in all keys."""
     ids = gone.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.compat import nullif_blank
 from barloom.functions.numbers import bounded_float, bounded_int, progress, token_cost
-from barloom.operators.merge import activated, deleted, insert_ignore, unlinked, upsert
+from barloom.operators.merge import activated, deleted, insert_ignore, marked, unlinked, upsert
 from barloom.operators.records import checked
 from barloom.operators.relational import keep_first, latest_by
 from barloom.operators.store import Transaction
@@ -30,10 +30,15 @@ def program_tables(plans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return plans.drop("sessions"), sessions.drop("exercises"), exercises.select("program_id", "session_no", "exercise_no", "e.*")
 
 
-def create_programs(tx: Transaction, plans: DataFrame) -> None:
-    """Insert generated plans (see program_tables) with their sessions and exercises: all three tables, or none."""
+def create_programs(tx: Transaction, plans: DataFrame) -> DataFrame:
+    """Insert generated plans (see program_tables) with their sessions and exercises: all three tables, or none.
+
+    The plans are made once, whatever they cost; gives them as they were made.
+    """
+    plans = tx.staged("plans", plans)
     for name, rows in zip(("programs", "sessions", "exercises"), program_tables(plans)):
         tx.append(name, rows)
+    return plans
 
 
 def activate_programs(tx: Transaction, chosen: DataFrame) -> None:
@@ -42,26 +47,25 @@ def activate_programs(tx: Transaction, chosen: DataFrame) -> None:
     tx.overwrite("programs", activated(rows, F.col("__c").isNotNull()).drop("__c"))
 
 
-def delete_programs(tx: Transaction, gone: DataFrame) -> None:
+def delete_programs(tx: Transaction, gone: DataFrame, many: bool = False) -> None:
     """Delete programmes (program_id, athlete_id: only an athlete's own) with sessions, exercises and generation log.
 
     Logs and their entries stay, without the session or planned exercise that went.  sessions have a session_id, exercises
     an exercise_row_id; logs refer to the first, entries to the second.
+
+    many: what goes is a share of the tables, so its ids are shuffled; else Spark may broadcast them, going by the size of
+    their compressed files.
     """
-    own = tx.read("programs").join(gone.select("program_id", "athlete_id").distinct(), ["program_id", "athlete_id"], "left_semi").select("program_id")
-    sessions, exercises = tx.read("sessions"), tx.read("exercises")
-    lost = sessions.join(own, "program_id", "left_semi").select("session_id")
-    lost_rows = exercises.join(own, "program_id", "left_semi").select("exercise_row_id")
-    after = {
-        "entries": unlinked(tx.read("entries"), lost_rows, "exercise_row_id"),
-        "logs": unlinked(tx.read("logs"), lost, "session_id"),
-        "generations": deleted(tx.read("generations"), own, "program_id"),
-        "exercises": deleted(exercises, own, "program_id"),
-        "sessions": deleted(sessions, own, "program_id"),
-        "programs": deleted(tx.read("programs"), own, "program_id"),
-    }
-    for name, rows in after.items():
-        tx.overwrite(name, rows)
+    def split(name: str, lost: DataFrame, keys: Sequence[str], key: str) -> DataFrame:
+        ids = tx.split(name, marked(tx.read(name), lost, keys, "__lost"), "__lost", key)
+        return ids.hint("shuffle_merge") if many else ids
+
+    gone = gone.hint("shuffle_merge") if many else gone
+    own = split("programs", gone, ["program_id", "athlete_id"], "program_id")
+    lost, lost_rows = split("sessions", own, ["program_id"], "session_id"), split("exercises", own, ["program_id"], "exercise_row_id")
+    tx.overwrite("generations", deleted(tx.read("generations"), own, "program_id"))
+    tx.overwrite("logs", unlinked(tx.read("logs"), lost, "session_id"))
+    tx.overwrite("entries", unlinked(tx.read("entries"), lost_rows, "exercise_row_id"))
 
 
 def audit_rows(log: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, error: Column) -> DataFrame:
