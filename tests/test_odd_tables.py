@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from barloom.queries import ORACLE_SQL, QUERIES
-from barloom.sources import files
+from barloom.sources import articles, files
 
 
 def both(spark, tmp_path, name, table, columns):
@@ -42,3 +42,14 @@ def test_references_without_semicolons():
 def test_html_text_of_cut_headings(spark, tmp_path):
     got, want = both(spark, tmp_path, "html_text", "pages", pages(heads()))
     assert got == want
+
+
+def test_live_articles_of_cut_headings(spark, tmp_path):
+    got, want = both(spark, tmp_path, "live_articles", "pages", pages(heads()))
+    assert got == want
+
+
+def test_titles_without_semicolons():
+    page = "<title>Notes on &quot</title><h1 class='entry-title'>&quot;Old&quot; &copy=1</h1><article><p>ab</p><p>c &amp</p></article>"
+    assert articles.live_article(page, "N")[:3] == ("Notes on &quot", "N", "ab\n\nc &")
+    assert articles.archived_article(page, "http://u", "C")[0] == '"Old" &copy=1'
