@@ -11,6 +11,11 @@ def py_round(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
 
+def round_even(x: Column, digits: int = 0) -> Column:
+    """As SQL's round_even: half to even of the product in doubles, so what comes next to a half by its last bits is one."""
+    return F.rint(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def floor_div(a: Column, b: int) -> Column:
     """Division that rounds towards minus infinity."""
     return F.floor(a / F.lit(b)).cast("int")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.compat import present
+from barloom.compat import present, round_even
 from barloom.functions.numbers import adherence, dual_reps, mean_of, representative_reps, scaled_pct
 
 RPE_TREND, SUCCESS_TREND = 0.5, 0.07
@@ -177,8 +177,8 @@ def warning_rows(logs: DataFrame, entries: DataFrame, as_of: Column, days: int =
     stats = stats.groupBy("athlete_id", "exercise").agg(F.max("s").alias("s")).select("athlete_id", "exercise", "s.*")
     stats = stats.where("nd >= 2 OR nm >= 2")
     found = F.array_compact(F.array(
-        F.when((F.col("nd") >= 2) & (F.col("d") > 1.5), F.struct(F.lit("effort_above_target").alias("kind"), F.col("exercise").alias("subject"), F.bround("d", 1).alias("value"))),
-        F.when((F.col("nm") >= 2) & (F.col("m") < 0.7), F.struct(F.lit("low_make_rate").alias("kind"), F.col("exercise").alias("subject"), F.bround(F.col("m") * 100, 0).alias("value"))),
+        F.when((F.col("nd") >= 2) & (F.col("d") > 1.5), F.struct(F.lit("effort_above_target").alias("kind"), F.col("exercise").alias("subject"), round_even(F.col("d"), 1).alias("value"))),
+        F.when((F.col("nm") >= 2) & (F.col("m") < 0.7), F.struct(F.lit("low_make_rate").alias("kind"), F.col("exercise").alias("subject"), round_even(F.col("m") * 100).alias("value"))),
     ))
     return daily.unionByName(stats.select("athlete_id", F.explode(found).alias("w")).select("athlete_id", "w.*"))
 

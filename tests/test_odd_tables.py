@@ -1,5 +1,8 @@
 """Queries against their SQL on small tables of odd values."""
 
+import datetime
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -53,3 +56,21 @@ def test_titles_without_semicolons():
     page = "<title>Notes on &quot</title><h1 class='entry-title'>&quot;Old&quot; &copy=1</h1><article><p>ab</p><p>c &amp</p></article>"
     assert articles.live_article(page, "N")[:3] == ("Notes on &quot", "N", "ab\n\nc &")
     assert articles.archived_article(page, "http://u", "C")[0] == '"Old" &copy=1'
+
+
+def events(groups):
+    """Events of an hour each at the end of January, a user for each list of values; every id is divisible by 6."""
+    rows = [(user, v) for user, own in enumerate(groups) for v in own]
+    n = len(rows)
+    return {"event_id": [6 * i for i in range(n)], "ts": [datetime.datetime(2024, 1, 29) + datetime.timedelta(minutes=i) for i in range(n)], "user_id": [r[0] for r in rows], "event_type": ["view"] * n, "value": [r[1] for r in rows], "props": ["{}"] * n}
+
+
+def test_warnings_list_of_means_next_to_a_half(spark, tmp_path):
+    rng = random.Random(4)
+    # means of 1.65, 1.75, ... whose sums end a bit above or below
+    groups = []
+    for _ in range(300):
+        own, total = [round(rng.uniform(20, 50), 2) for _ in range(rng.randint(2, 9))], rng.randint(16, 24) * 2 + 1
+        groups.append([*own, round(total * (len(own) + 1) - sum(own), 2)])
+    got, want = both(spark, tmp_path, "warnings_list", "events", events(groups))
+    assert got == want and sum(r["kind"] == "effort_above_target" for r in got) > 200
