@@ -47,7 +47,7 @@ def warning_starts(t: Tables) -> DataFrame:
     events = stream(t, "events")
     rows = events.select("user_id", "event_type", "ts", F.when(F.col("event_id") % 3 == 0, F.col("value") / 20).alias("effort"), F.when(F.col("event_id") % 2 == 0, F.col("value") / 100).alias("make"))
     keys = {c: events.schema[c].dataType.simpleString() for c in ("user_id", "event_type")}
-    found = finished(state.warning_starts(rows, keys), "warnings")
+    found = finished(state.warning_starts(rows, keys, mean=state.mean_of_doubles), "warnings")
     upto = t.events.agg(F.date_trunc("day", F.max("ts"))).scalar()
     found = found.withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
     return found.where(F.col("started_at") <= upto).withColumn("value", F.round("value", 6))

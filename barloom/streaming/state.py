@@ -6,7 +6,7 @@ has and reads nothing of what was written before.  A query that is stopped goes
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from math import fsum
 
@@ -71,16 +71,30 @@ def mean(values: Sequence[float]) -> float | None:
     return round(fsum(values) / len(values), MEAN_DIGITS) if values else None
 
 
+def mean_of_doubles(values: Sequence[float]) -> float | None:
+    """As SQL averages a column of doubles: added up one by one in their order, with what each addition loses."""
+    total = 0.0
+    for v in values:  # sum() makes up for what additions lose
+        total += v
+    return total / len(values) if values else None
+
+
+def in_time(event: tuple) -> tuple:
+    """Order of events; of the same time the smaller values first, wherever rows lie."""
+    return event[0], *[(v is not None, v or 0.0) for v in event[1:]]
+
+
 class WarningStarts(StatefulProcessor):
     """When a condition on the events of the last days begins to hold.
 
     State of a key: events that the watermark has not reached yet, those of the last days, and which conditions hold.
     Events take effect in order of time, whatever order they come in, once the watermark is past them; one timer a key
-    waits for the next event to take effect or to leave.  A key without events has no state.
+    waits for the next event to take effect or to leave.  A key without events has no state.  ``mean`` takes values in
+    order of time.
     """
 
-    def __init__(self, keys: list[str], days: int, least: int, effort_above: float, make_below: float):
-        self.keys = keys
+    def __init__(self, keys: list[str], days: int, least: int, effort_above: float, make_below: float, mean: Callable[[Sequence[float]], float | None] = mean):
+        self.keys, self.mean = keys, mean
         self.span, self.least, self.effort_above, self.make_below = days * DAY, least, effort_above, make_below
 
     def init(self, handle) -> None:
@@ -100,14 +114,15 @@ class WarningStarts(StatefulProcessor):
 
     def _conditions(self, recent: list[tuple]) -> dict[str, tuple[bool, float | None]]:
         efforts, makes = [e for _, e, _ in recent if e is not None], [m for _, _, m in recent if m is not None]
+        effort, make = self.mean(efforts), self.mean(makes)
         return {
-            "effort_above_target": (len(efforts) >= self.least and mean(efforts) > self.effort_above, mean(efforts)),
-            "low_make_rate": (len(makes) >= self.least and mean(makes) < self.make_below, mean(makes)),
+            "effort_above_target": (len(efforts) >= self.least and effort > self.effort_above, effort),
+            "low_make_rate": (len(makes) >= self.least and make < self.make_below, make),
         }
 
     def _moved(self, key, to: int) -> Iterator[Row]:
         """Go through all points of time up to the watermark at which an event comes or leaves."""
-        pending, recent = sorted(map(tuple, self.pending.get()), key=lambda e: e[0]), [tuple(e) for e in self.recent.get()]
+        pending, recent = sorted(map(tuple, self.pending.get()), key=in_time), [tuple(e) for e in self.recent.get()]
         holds = dict(zip(("effort_above_target", "low_make_rate"), self.holding.get() if self.holding.exists() else (False, False)))
         out, came = [], 0
         while True:
@@ -145,16 +160,17 @@ class WarningStarts(StatefulProcessor):
         pass
 
 
-def warning_starts(events: DataFrame, keys: dict[str, str], days: int = 14, least: int = 2, effort_above: float = 1.5, make_below: float = 0.7, delay: str = "0 seconds") -> DataFrame:
+def warning_starts(events: DataFrame, keys: dict[str, str], days: int = 14, least: int = 2, effort_above: float = 1.5, make_below: float = 0.7, delay: str = "0 seconds", mean: Callable[[Sequence[float]], float | None] = mean) -> DataFrame:
     """Stream of (keys, kind, started_at, value): a row when the mean of the last ``days`` days begins to be a warning.
 
     events: the key columns, ts, effort, make.  keys: name -> type.  A warning that goes on is not repeated; one that ended
-    because its events left may begin again.  Events later than ``delay`` behind the latest are dropped.
+    because its events left may begin again.  Events later than ``delay`` behind the latest are dropped.  mean: that of decimals,
+    or mean_of_doubles.
     """
     ship(events.sparkSession)
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).where("ts IS NOT NULL").withWatermark("ts", delay).select(*keys, "ts", F.unix_micros("ts").alias("at"), F.col("effort").cast("double").alias("effort"), F.col("make").cast("double").alias("make"))
     schema = ", ".join(f"`{k}` {t}" for k, t in keys.items()) + ", kind string, at long, value double"
-    out = rows.groupBy(*keys).transformWithState(WarningStarts(list(keys), days, least, effort_above, make_below), outputStructType=schema, outputMode="append", timeMode="EventTime")
+    out = rows.groupBy(*keys).transformWithState(WarningStarts(list(keys), days, least, effort_above, make_below, mean), outputStructType=schema, outputMode="append", timeMode="EventTime")
     return out.select(*keys, "kind", F.timestamp_micros("at").alias("started_at"), "value")
 
 

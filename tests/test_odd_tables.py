@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 
 from barloom.queries import ORACLE_SQL, QUERIES
 from barloom.sources import articles, files
+from barloom.streaming import state
 
 
 def both(spark, tmp_path, name, table, columns):
@@ -74,3 +75,20 @@ def test_warnings_list_of_means_next_to_a_half(spark, tmp_path):
         groups.append([*own, round(total * (len(own) + 1) - sum(own), 2)])
     got, want = both(spark, tmp_path, "warnings_list", "events", events(groups))
     assert got == want and sum(r["kind"] == "effort_above_target" for r in got) > 200
+
+
+def test_warning_starts_of_means_at_a_threshold(spark, tmp_path):
+    rng = random.Random(5)
+    # decimals with a mean of 0.7, reached from above by the last value: as doubles some are below
+    groups = []
+    for _ in range(150):
+        own = [round(rng.uniform(71, 90), 2) for _ in range(rng.randint(2, 5))]
+        groups.append([*own, round(70 * (len(own) + 1) - sum(own), 2)])
+    got, want = both(spark, tmp_path, "warning_starts", "events", events([*groups, [1.0] * 1440]))
+    assert got == want and 10 < sum(r["value"] == 0.7 for r in got) < 140
+
+
+def test_events_of_one_time_add_up_in_one_order():
+    own = [(0, None, m) for m in (0.7, 0.82, 0.58, 0.1, 0.3)] + [(0, e, None) for e in (2.95, 0.1, 0.2)]
+    orders = {tuple(sorted(p, key=state.in_time)) for p in (own, own[::-1], own[3:] + own[:3])}
+    assert len(orders) == 1 and state.mean_of_doubles([0.1] * 10) == 0.09999999999999999 and state.mean_of_doubles([]) is None
